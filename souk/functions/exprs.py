@@ -26,8 +26,9 @@ SECONDS_PER_DAY = 86400
 # Money has two decimals; sums run in decimal so that they are exact and
 # independent of partitioning and task order.
 MONEY_TYPE = "decimal(18,2)"
-# Fixed-point type used to average coordinates exactly (1e-14 degrees).
-COORD_TYPE = "decimal(38,14)"
+# Fixed-point type for exact sums of doubles (coordinates, rounded means):
+# 14 decimals, 24 integer digits.
+FIXED_TYPE = "decimal(38,14)"
 
 
 def col_(c: Column | str) -> Column:
@@ -94,7 +95,7 @@ def money_mean(c: Column | str) -> Column:
     return F.sum(money(c)).cast("double") / F.nullif(F.count(col_(c)), F.lit(0))
 
 
-def exact_mean(c: Column | str, fixed_type: str = COORD_TYPE) -> Column:
+def exact_mean(c: Column | str, fixed_type: str = FIXED_TYPE) -> Column:
     """Mean of a double column from an exact fixed-point sum.
 
     Unlike ``avg(double)`` the result does not depend on the order in which
