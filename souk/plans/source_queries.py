@@ -1,2 +1,91 @@
-def source_queries():
-    return {}
+"""Query keys for sources, sinks, profiling and the view registry.
+
+Jobs that write use a fresh folder under the cluster's shared scratch folder
+(``spark.checkpoint.dir``) and return a DataFrame read back from what they
+wrote. The raw tables come from the driver tables via the adapter; for the
+CSV jobs they are first staged as CSV files, then ingested like the real
+source files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from souk.operators import profile as P
+from souk.plans.build import build_and_export, ingest_raw, stage_csv
+from souk.plans.queries import TEST_PARAMS, Query, model_for
+from souk.plans.registry import register_views, view_catalog, view_registry
+from souk.schemas import RAW_FILES, RAW_KEYS
+from souk.session import scratch_path
+from souk.sources.csv_source import read_raw_csv
+from souk.sources.marts import load_mart
+from souk.sources.testdata import DriverTables
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return DriverTables(spark, sf_dir).raw()
+
+
+def _csv_ingest(table: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = _raw(spark, sf_dir)
+        paths = stage_csv({table: raw[table]}, scratch_path(spark, "csv"))
+        return read_raw_csv(spark, paths[table], table)
+    return q
+
+
+def raw_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw(spark, sf_dir)
+    paths = stage_csv({"raw_orders": raw["raw_orders"]}, scratch_path(spark, "csv"))
+    stored, _ = ingest_raw(spark, paths, scratch_path(spark, "raw"))
+    return stored["raw_orders"]
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = stage_csv(_raw(spark, sf_dir), scratch_path(spark, "csv"))
+    _, report = ingest_raw(spark, paths, scratch_path(spark, "raw"))
+    return report
+
+
+def mart_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "marts")
+    build_and_export(_raw(spark, sf_dir), base, TEST_PARAMS)
+    return load_mart(spark, "logistics_route_performance", base)
+
+
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_and_export(_raw(spark, sf_dir), scratch_path(spark, "marts"), TEST_PARAMS)
+
+
+def mart_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "marts")
+    build_and_export(_raw(spark, sf_dir), base, TEST_PARAMS, names=("reviews_score_by_payment",))
+    return load_mart(spark, "reviews_score_by_payment", base)
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(model_for(spark, sf_dir))
+    return view_catalog(spark)
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "csv_ingest": _csv_ingest("raw_order_reviews"),
+        "csv_ingest_orders": _csv_ingest("raw_orders"),
+        "raw_materialize": raw_materialize,
+        "reconcile_counts": reconcile,
+        "profile_shape": lambda s, d: P.profile_shape(_raw(s, d)),
+        "profile_dtypes": lambda s, d: P.profile_dtypes(_raw(s, d)),
+        "profile_nulls": lambda s, d: P.profile_nulls(_raw(s, d)),
+        "profile_duplicates": lambda s, d: P.profile_duplicates(_raw(s, d)),
+        "profile_sample": lambda s, d: P.profile_sample(_raw(s, d)["raw_orders"],
+                                                        RAW_KEYS["raw_orders"]),
+        "view_registry": lambda s, d: view_registry(model_for(s, d)),
+        "view_catalog": catalog,
+        "mart_export": mart_export,
+        "export_manifest": export_manifest,
+        "mart_load": mart_load,
+    }
+
+
+assert set(RAW_FILES) == set(RAW_KEYS)

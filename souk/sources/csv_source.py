@@ -59,6 +59,8 @@ def write_csv(df: DataFrame, path: str) -> str:
     """Write a table as CSV with a header and RFC 4180 quoting (doubled quotes)."""
     (df.write.mode("overwrite")
      .option("header", True).option("quote", '"').option("escape", '"')
+     # Spark trims whitespace on write by default; keep values as they are.
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
 

@@ -1,2 +1,123 @@
-def source_oracle_sql():
-    return {}
+"""DuckDB SQL twins of the source, profile and registry queries."""
+
+from __future__ import annotations
+
+from souk.schemas import NA_TOKENS, RAW_SCHEMAS
+from souk.testing.oracle_sql import with_ctes
+
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+
+# Columns of the adapter's raw tables that are text; ids are integers in the
+# adapter and become text when read back from CSV with the declared schema.
+_ID_COLS = {"customer_id", "order_id", "product_id", "seller_id", "review_id"}
+
+
+def _csv_roundtrip(table: str) -> str:
+    cols = []
+    for f in RAW_SCHEMAS[table].fields:
+        c = f.name
+        if f.dataType.simpleString() == "string":
+            src = f"CAST({c} AS VARCHAR)" if c in _ID_COLS else c
+            cols.append(f"CASE WHEN {src} IN ({_TOKENS}) THEN NULL ELSE {src} END AS {c}")
+        else:
+            cols.append(c)
+    return f"SELECT {', '.join(cols)} FROM {table}"
+
+
+def _spark_type(col: str) -> str:
+    return (f"CASE typeof(any_value({col})) WHEN 'BIGINT' THEN 'bigint' "
+            f"WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' "
+            f"WHEN 'INTEGER' THEN 'int' ELSE lower(typeof(any_value({col}))) END")
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def _shape() -> str:
+    return _union([f"SELECT '{t}' AS table_name, COUNT(*) AS num_rows, "
+                   f"{len(s.fields)} AS num_columns FROM {t}"
+                   for t, s in RAW_SCHEMAS.items()])
+
+
+def _dtypes() -> str:
+    return _union([
+        f"SELECT '{t}' AS table_name, {i} AS position, '{f.name}' AS column_name, "
+        f"{_spark_type(f.name)} AS data_type, COUNT({f.name}) AS non_null_count FROM {t}"
+        for t, s in RAW_SCHEMAS.items() for i, f in enumerate(s.fields, start=1)])
+
+
+def _nulls() -> str:
+    inner = _union([
+        f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, "
+        f"COUNT(*) - COUNT({f.name}) AS null_count FROM {t}"
+        for t, s in RAW_SCHEMAS.items() for f in s.fields])
+    return f"SELECT * FROM ({inner}) WHERE null_count > 0"
+
+
+def _duplicates() -> str:
+    return _union([
+        f"SELECT '{t}' AS table_name, "
+        f"CAST((SELECT COUNT(*) FROM {t}) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {t}))"
+        f" AS BIGINT) AS duplicate_rows"
+        for t in RAW_SCHEMAS])
+
+
+def _reconcile() -> str:
+    return _union([f"SELECT '{t}' AS table_name, COUNT(*) AS source_rows, "
+                   f"COUNT(*) AS stored_rows, true AS matches FROM {t}" for t in RAW_SCHEMAS])
+
+
+# The view DAG in build order (name, layer, exported).
+_VIEWS = (
+    ("clean_orders", "clean", False), ("clean_products", "clean", False),
+    ("_geo_avg", "helper", False), ("_geo_mode", "helper", False),
+    ("clean_geolocation", "clean", False), ("clean_order_items", "clean", False),
+    ("clean_payments", "clean", False), ("clean_reviews", "clean", False),
+    ("sales_monthly_trend", "sales", True), ("sales_by_category", "sales", True),
+    ("sales_by_state", "sales", True), ("sales_payment_breakdown", "sales", True),
+    ("logistics_delivery_by_state", "logistics", True),
+    ("logistics_delay_distribution", "logistics", True),
+    ("logistics_freight_ratio", "logistics", True),
+    ("logistics_route_performance", "logistics", True),
+    ("reviews_score_distribution", "reviews", True), ("reviews_score_by_delay", "reviews", True),
+    ("reviews_score_by_category", "reviews", True), ("reviews_score_by_payment", "reviews", True),
+)
+
+
+def _registry() -> str:
+    return _union([f"SELECT {i} AS position, '{n}' AS view_name, '{layer}' AS layer, "
+                   f"{str(exp).lower()} AS exported, COUNT(*) AS num_rows FROM {n}"
+                   for i, (n, layer, exp) in enumerate(_VIEWS, start=1)])
+
+
+def _catalog() -> str:
+    return _union([f"SELECT '{n}' AS view_name, COUNT(*) AS num_rows FROM {n}"
+                   for n, _, _ in sorted(_VIEWS)])
+
+
+def _manifest() -> str:
+    exported = [n for n, _, e in _VIEWS if e]
+    return _union([f"SELECT {i} AS export_order, '{n}' AS mart, COUNT(*) AS num_rows, "
+                   f"CAST((SELECT COUNT(*) FROM (DESCRIBE {n})) AS INTEGER) AS num_columns FROM {n}"
+                   for i, n in enumerate(exported, start=1)])
+
+
+def source_oracle_sql() -> dict[str, str]:
+    return {
+        "csv_ingest": with_ctes(_csv_roundtrip("raw_order_reviews")),
+        "csv_ingest_orders": with_ctes(_csv_roundtrip("raw_orders")),
+        "raw_materialize": with_ctes(_csv_roundtrip("raw_orders")),
+        "reconcile_counts": with_ctes(_reconcile()),
+        "profile_shape": with_ctes(_shape()),
+        "profile_dtypes": with_ctes(_dtypes()),
+        "profile_nulls": with_ctes(_nulls()),
+        "profile_duplicates": with_ctes(_duplicates()),
+        "profile_sample": with_ctes(
+            "SELECT * FROM raw_orders ORDER BY order_id ASC NULLS FIRST LIMIT 3"),
+        "view_registry": with_ctes(_registry()),
+        "view_catalog": with_ctes(_catalog()),
+        "mart_export": with_ctes("SELECT * FROM logistics_route_performance"),
+        "export_manifest": with_ctes(_manifest()),
+        "mart_load": with_ctes("SELECT * FROM reviews_score_by_payment"),
+    }
