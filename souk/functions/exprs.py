@@ -10,7 +10,7 @@ get silently wrong:
 * delay in days is elapsed time truncated toward zero (23 h late is 0,
   25 h early is -1), not a calendar-day difference;
 * on-time compares exact instants, independently of the delay;
-* money is summed in exact decimal arithmetic, so totals and averages do
+* money is summed exactly as integer cents, so totals and averages do
   not depend on how rows are split across tasks.
 """
 
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
 
-# Money has two decimals; sums run in decimal so that they are exact and
-# independent of partitioning and task order.
+# Money has two decimals. Sums run on whole cents (64-bit integers), so they
+# are exact and independent of partitioning and task order, and stay on
+# primitive arithmetic inside generated code (no per-row BigDecimal).
 MONEY_TYPE = "decimal(18,2)"
+CENTS_PER_UNIT = 100.0
 # Fixed-point type for exact sums of doubles (coordinates, rounded means):
 # 14 decimals, 24 integer digits.
 FIXED_TYPE = "decimal(38,14)"
@@ -45,33 +47,34 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("SECOND", col_(start), col_(end))
 
 
-def delay_days(delivered_text: Column | str, estimated_text: Column | str) -> Column:
+def delay_days(has_delivery: Column | str, delivered_ts: Column | str,
+               estimated_ts: Column | str) -> Column:
     """Days late (+) or early (-), truncated toward zero; NULL when not delivered.
 
-    The NULL test is on the raw text; an unparsable date on either side
-    also gives NULL (the difference is NULL).
+    ``has_delivery`` is the NULL test on the raw delivery text; an
+    unparsable date on either side also gives NULL (the difference is NULL).
     """
-    secs = seconds_between(parse_ts(estimated_text), parse_ts(delivered_text))
+    secs = seconds_between(estimated_ts, delivered_ts)
     # Casting a double to int truncates toward zero: -1.04 -> -1, 0.96 -> 0.
-    return F.when(col_(delivered_text).isNotNull(),
-                  (secs / F.lit(SECONDS_PER_DAY)).cast("int"))
+    return F.when(col_(has_delivery), (secs / F.lit(SECONDS_PER_DAY)).cast("int"))
 
 
-def duration_days(delivered_text: Column | str, purchased_text: Column | str) -> Column:
+def duration_days(has_delivery: Column | str, delivered_ts: Column | str,
+                  purchased_ts: Column | str) -> Column:
     """Fractional days from purchase to delivery; NULL when not delivered."""
-    secs = seconds_between(parse_ts(purchased_text), parse_ts(delivered_text))
-    return F.when(col_(delivered_text).isNotNull(),
-                  secs.cast("double") / F.lit(float(SECONDS_PER_DAY)))
+    secs = seconds_between(purchased_ts, delivered_ts)
+    return F.when(col_(has_delivery), secs.cast("double") / F.lit(float(SECONDS_PER_DAY)))
 
 
-def on_time_flag(delivered_text: Column | str, estimated_text: Column | str) -> Column:
+def on_time_flag(has_delivery: Column | str, delivered_ts: Column | str,
+                 estimated_ts: Column | str) -> Column:
     """1 if delivered at or before the estimate, 0 otherwise, NULL if not delivered.
 
     An unknown comparison (estimate missing, or delivered text that does not
     parse) falls to 0, as a searched CASE's ELSE arm does.
     """
-    return (F.when(col_(delivered_text).isNull(), F.lit(None).cast("int"))
-            .when(parse_ts(delivered_text) <= parse_ts(estimated_text), F.lit(1))
+    return (F.when(~col_(has_delivery), F.lit(None).cast("int"))
+            .when(col_(delivered_ts) <= col_(estimated_ts), F.lit(1))
             .otherwise(F.lit(0)))
 
 
@@ -85,14 +88,24 @@ def money(c: Column | str) -> Column:
     return col_(c).cast(MONEY_TYPE)
 
 
+def cents(c: Column | str) -> Column:
+    """A money amount as whole cents (nearest; amounts carry two decimals)."""
+    return F.rint(col_(c) * F.lit(CENTS_PER_UNIT)).cast("long")
+
+
+def from_cents(total_cents: Column) -> Column:
+    """Cents -> currency units as the correctly rounded double."""
+    return total_cents.cast("double") / F.lit(CENTS_PER_UNIT)
+
+
 def money_sum(c: Column | str) -> Column:
     """Exact total of a money column, returned as double."""
-    return F.sum(money(c)).cast("double")
+    return from_cents(F.sum(cents(c)))
 
 
 def money_mean(c: Column | str) -> Column:
     """Mean of a money column over its non-NULL values, from an exact sum."""
-    return F.sum(money(c)).cast("double") / F.nullif(F.count(col_(c)), F.lit(0))
+    return from_cents(F.sum(cents(c))) / F.nullif(F.count(col_(c)), F.lit(0))
 
 
 def exact_mean(c: Column | str, fixed_type: str = FIXED_TYPE) -> Column:

@@ -25,20 +25,26 @@ def clean_orders(raw_orders: DataFrame) -> DataFrame:
     instants) are independent: an order up to 24 h late has delay 0 and
     is_on_time 0.
     """
-    d, e, p = ("order_delivered_customer_date", "order_estimated_delivery_date",
-               "order_purchase_timestamp")
-    return raw_orders.select(
+    # Parse each text once; the derived columns reuse the parsed values
+    # (Catalyst keeps the two projections apart rather than parse twice).
+    parsed = raw_orders.select(
         "order_id",
         "customer_id",
         "order_status",
-        parse_ts(p).alias("order_purchase_ts"),
+        parse_ts("order_purchase_timestamp").alias("order_purchase_ts"),
         parse_ts("order_approved_at").alias("order_approved_ts"),
         parse_ts("order_delivered_carrier_date").alias("order_delivered_carrier_ts"),
-        parse_ts(d).alias("order_delivered_customer_ts"),
-        parse_ts(e).alias("order_estimated_delivery_ts"),
-        delay_days(d, e).alias("delivery_delay_days"),
-        duration_days(d, p).alias("delivery_duration_days"),
-        on_time_flag(d, e).alias("is_on_time"),
+        parse_ts("order_delivered_customer_date").alias("order_delivered_customer_ts"),
+        parse_ts("order_estimated_delivery_date").alias("order_estimated_delivery_ts"),
+        F.col("order_delivered_customer_date").isNotNull().alias("_has_delivery"),
+    )
+    d, e, p = ("order_delivered_customer_ts", "order_estimated_delivery_ts", "order_purchase_ts")
+    return parsed.select(
+        "order_id", "customer_id", "order_status", p, "order_approved_ts",
+        "order_delivered_carrier_ts", d, e,
+        delay_days("_has_delivery", d, e).alias("delivery_delay_days"),
+        duration_days("_has_delivery", d, p).alias("delivery_duration_days"),
+        on_time_flag("_has_delivery", d, e).alias("is_on_time"),
     )
 
 

@@ -1,6 +1,6 @@
 """Sales marts (M1-M4).
 
-Revenue is ``price + freight`` per item, summed exactly in decimal.
+Revenue is ``price + freight`` per item, summed exactly as whole cents.
 ``num_orders`` is an exact distinct count of order ids.
 
 Plan shape (M1, M3): items are first reduced to one row per order (a
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
-from souk.functions.exprs import money, money_mean
+from souk.functions.exprs import cents, from_cents, money_mean, money_sum
 
 
 def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
@@ -29,11 +29,11 @@ def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataF
 
 def _revenue_per_order(items: DataFrame) -> DataFrame:
     return (items.groupBy("order_id")
-            .agg(F.sum(money("item_total_value")).alias("_rev")))
+            .agg(F.sum(cents("item_total_value")).alias("_rev")))
 
 
 def _aov_columns(num_orders: str, rev: str) -> list:
-    total = F.col(rev).cast("double")
+    total = from_cents(F.col(rev))
     return [
         F.col(num_orders),
         total.alias("total_revenue"),
@@ -63,7 +63,7 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
     return (j.groupBy("category_english")
             .agg(F.countDistinct("order_id").alias("num_orders"),
                  F.count(F.lit(1)).alias("num_items_sold"),
-                 F.sum(money("item_total_value")).cast("double").alias("total_revenue"),
+                 money_sum("item_total_value").alias("total_revenue"),
                  F.round(money_mean("price"), 2).alias("avg_item_price"))
             .orderBy(F.col("total_revenue").desc_nulls_last(),
                      F.col("category_english").asc_nulls_first()))
@@ -89,7 +89,7 @@ def sales_payment_breakdown(payments: DataFrame) -> DataFrame:
     """
     return (payments.groupBy("payment_type")
             .agg(F.countDistinct("order_id").alias("num_orders"),
-                 F.sum(money("payment_value")).cast("double").alias("total_paid"),
+                 money_sum("payment_value").alias("total_paid"),
                  F.round(F.avg(F.col("payment_installments").cast("double")), 2)
                  .alias("avg_installments"))
             .orderBy(F.col("total_paid").desc_nulls_last(),

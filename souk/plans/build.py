@@ -47,6 +47,6 @@ def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
                      params: Params | None = None, names=EXPORTED_MARTS) -> DataFrame:
     """Build the marts from raw tables, export them, return the manifest."""
     model = Marketplace(raw, params)
-    spark = next(iter(raw.values())).sparkSession
+    spark = model.clean_orders.sparkSession
     export_marts(model.marts(), out_folder, names)
     return export_manifest(spark, out_folder, names)

@@ -75,7 +75,7 @@ class Marketplace:
     """Cleaning views and marts over nine raw DataFrames (all lazy)."""
 
     def __init__(self, raw: Mapping[str, DataFrame], params: Params | None = None):
-        self.raw = dict(raw)
+        self.raw = raw  # may be lazy: a table is resolved on first use
         self.p = params or Params()
 
     # -- cleaning layer -----------------------------------------------------

@@ -15,6 +15,7 @@ layer, as in the real raw tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +33,44 @@ def _text(ts: Column) -> Column:
     return F.date_format(ts, TEXT_TS)
 
 
-class DriverTables:
-    """Lazy raw tables derived from ``{sf_dir}/{table}.parquet``."""
+# One scan relation per (session, file): resolving a Parquet source lists the
+# files and reads a footer on the driver, which is worth doing once. The
+# DataFrame holds no data, only the scan, so sharing it is safe.
+_SCANS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+class DriverTables(Mapping):
+    """Lazy raw tables derived from ``{sf_dir}/{table}.parquet``.
+
+    Behaves as a read-only mapping ``raw table name -> DataFrame``; a raw
+    table (and the driver tables it reads) is only resolved when asked for.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), self.spark.sparkContext.applicationId, path)
+        if key not in _SCANS:
+            _SCANS[key] = self.spark.read.parquet(path)
+        return _SCANS[key]
+
+    # -- Mapping protocol ----------------------------------------------------
+    def __getitem__(self, name: str) -> DataFrame:
+        from souk.schemas import RAW_TABLES
+        if name not in RAW_TABLES:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __iter__(self) -> Iterator[str]:
+        from souk.schemas import RAW_TABLES
+        return iter(RAW_TABLES)
+
+    def __len__(self) -> int:
+        from souk.schemas import RAW_TABLES
+        return len(RAW_TABLES)
 
     # -- raw shapes ---------------------------------------------------------
 
@@ -175,9 +205,8 @@ class DriverTables:
             F.substring("event_type", 1, 1).alias("geolocation_state"),
         )
 
-    def raw(self) -> dict[str, DataFrame]:
-        from souk.schemas import RAW_TABLES
-        return {name: getattr(self, name) for name in RAW_TABLES}
+    def raw(self) -> Mapping[str, DataFrame]:
+        return self
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
