@@ -43,8 +43,14 @@ def parse_ts(c: Column | str) -> Column:
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Whole seconds from ``start`` to ``end`` (negative if end is earlier)."""
-    return F.timestamp_diff("SECOND", col_(start), col_(end))
+    """Whole seconds from ``start`` to ``end`` (negative if end is earlier),
+    truncated toward zero.
+
+    The difference of two ``TIMESTAMP_NTZ`` values is a day-time interval
+    computed without any time zone; casting it to bigint gives its seconds.
+    (``timestampdiff`` would go through the session zone first.)
+    """
+    return (col_(end) - col_(start)).cast("long")
 
 
 def delay_days(has_delivery: Column | str, delivered_ts: Column | str,

@@ -86,7 +86,11 @@ def logistics_route_performance(orders: DataFrame, items: DataFrame, sellers: Da
     i = items.select("order_id", "seller_id")
     s = sellers.select("seller_id", "seller_state")
     c = customers.select("customer_id", "customer_state")
-    j = o.join(i, "order_id").join(s, "seller_id").join(c, "customer_id")
+    # Look up each state at its own grain (customer per order, seller per
+    # item), then join the two on order_id. Item rows are shuffled by
+    # order_id, and by seller_id only if the sellers are too big to
+    # broadcast; they are never re-shuffled for the customer lookup.
+    j = o.join(c, "customer_id").join(i.join(s, "seller_id"), "order_id")
     agg = j.groupBy("seller_state", "customer_state").agg(
         F.count(F.lit(1)).alias("num_orders"),
         F.round(mean_days_from_seconds("_dur_s"), 1).alias("avg_delivery_days"),

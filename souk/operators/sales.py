@@ -45,7 +45,9 @@ def sales_monthly_trend(orders: DataFrame, items: DataFrame,
                         excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
     """M1: distinct orders, revenue and average order value per purchase month."""
     o = _placed_orders(orders, excluded_statuses).select(
-        "order_id", F.date_format("order_purchase_ts", "yyyy-MM").alias("year_month"))
+        "order_id",
+        # NTZ -> DATE is zone-free; the month of a date cannot move with DST.
+        F.date_format(F.to_date("order_purchase_ts"), "yyyy-MM").alias("year_month"))
     j = o.join(_revenue_per_order(items), "order_id")
     agg = j.groupBy("year_month").agg(
         F.countDistinct("order_id").alias("num_orders"), F.sum("_rev").alias("_rev"))
@@ -74,7 +76,9 @@ def sales_by_state(orders: DataFrame, items: DataFrame, customers: DataFrame,
     """M3: distinct orders, revenue and average order value per customer state."""
     o = _placed_orders(orders, excluded_statuses).select("order_id", "customer_id")
     c = customers.select("customer_id", "customer_state")
-    j = o.join(_revenue_per_order(items), "order_id").join(c, "customer_id")
+    # State lookup first, at order grain; then the per-order revenue joins on
+    # order_id, whose partitioning also serves the distinct count.
+    j = o.join(c, "customer_id").join(_revenue_per_order(items), "order_id")
     agg = j.groupBy("customer_state").agg(
         F.countDistinct("order_id").alias("num_orders"), F.sum("_rev").alias("_rev"))
     return (agg.select("customer_state", *_aov_columns("num_orders", "_rev"))

@@ -21,8 +21,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_TS = "yyyy-MM-dd HH:mm:ss"
-
 # How the driver's order status letters map to marketplace
 # statuses, and which priority plays the placeholder payment type.
 STATUS_MAP = (("F", "delivered"), ("O", "shipped"), ("P", "canceled"))
@@ -30,7 +28,11 @@ PLACEHOLDER_PAYMENT_TYPE = "4-NOT SPECIFIED"
 
 
 def _text(ts: Column) -> Column:
-    return F.date_format(ts, TEXT_TS)
+    """``yyyy-MM-dd HH:mm:ss`` text of a TIMESTAMP_NTZ (fraction dropped).
+
+    Casting NTZ to string involves no time zone, unlike date_format.
+    """
+    return F.substring(ts.cast("string"), 1, 19)
 
 
 # One scan relation per (session, file): resolving a Parquet source lists the

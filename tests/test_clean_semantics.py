@@ -138,3 +138,18 @@ def test_rounding_is_half_away_from_zero_on_decimal_text(spark):
     got = [r[0] for r in df.select(
         F.when(F.col("k") == 2, F.round("x", 2)).otherwise(F.round("x", 1))).collect()]
     assert got == [2.68, 0.13, 1.01, 4.5, 0.4]
+
+
+def test_durations_ignore_session_time_zone(spark):
+    # 2017-10-15 00:30 does not exist in Sao Paulo (DST gap); the text has no
+    # zone, so the duration is the wall-clock difference: one hour.
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = _orders(spark, [("2017-10-15 00:30:00", "2017-10-15 00:00:00")]).withColumn(
+            "order_purchase_timestamp", F.lit("2017-10-14 23:30:00"))
+        r = clean.clean_orders(df).collect()[0]
+        assert r["delivery_duration_days"] == 3600 / 86400
+        assert (r["delivery_delay_days"], r["is_on_time"]) == (0, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
