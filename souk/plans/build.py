@@ -43,10 +43,71 @@ def ingest_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: st
     return stored, reconcile_counts(source, stored)
 
 
+# Cleaning views and raw lookups the marts read, with the columns they use.
+STAGED_INPUTS = {
+    "clean_orders": ("order_id", "customer_id", "order_status", "order_purchase_ts",
+                     "order_delivered_customer_ts", "delivery_delay_days", "is_on_time"),
+    "clean_order_items": ("order_id", "product_id", "seller_id", "price", "freight_value",
+                          "item_total_value"),
+    "clean_products": ("product_id", "category_english"),
+    "clean_payments": ("order_id", "payment_type", "payment_installments", "payment_value"),
+    "clean_reviews": ("order_id", "review_score"),
+    "customers": ("customer_id", "customer_state"),
+    "sellers": ("seller_id", "seller_state"),
+}
+
+
+class StagedMarketplace(Marketplace):
+    """A model whose cleaning layer was written once as Parquet tables.
+
+    The twelve marts then start from those tables: the raw tables are read
+    and cleaned once, not once per mart, and lineage is cut at the written
+    tables, so a lost executor recomputes from them rather than from raw.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, params: Params | None = None):
+        super().__init__({}, params)
+        base = folder.rstrip("/")
+        for name in STAGED_INPUTS:
+            self.__dict__[name] = spark.read.parquet(f"{base}/{name}")
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.__dict__["customers"]
+
+    @property
+    def sellers(self) -> DataFrame:
+        return self.__dict__["sellers"]
+
+
+def stage_clean(model: Marketplace, folder: str, max_concurrent_jobs: int = 4
+                ) -> StagedMarketplace:
+    """Write the cleaning inputs of the marts (used columns only) to ``folder``."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = folder.rstrip("/")
+
+    def write(name: str) -> None:
+        df = getattr(model, name).select(*STAGED_INPUTS[name])
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, max_concurrent_jobs)) as pool:
+        list(pool.map(write, STAGED_INPUTS))
+    return StagedMarketplace(model.clean_orders.sparkSession, base, model.p)
+
+
 def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
-                     params: Params | None = None, names=EXPORTED_MARTS) -> DataFrame:
-    """Build the marts from raw tables, export them, return the manifest."""
+                     params: Params | None = None, names=EXPORTED_MARTS,
+                     staging_folder: str | None = None,
+                     max_concurrent_jobs: int = 4) -> DataFrame:
+    """Build the marts from raw tables, export them, return the manifest.
+
+    With ``staging_folder`` (a shared location), the cleaning inputs are
+    written there first and the marts are built from them.
+    """
     model = Marketplace(raw, params)
     spark = model.clean_orders.sparkSession
-    export_marts(model.marts(), out_folder, names)
+    if staging_folder:
+        model = stage_clean(model, staging_folder, max_concurrent_jobs)
+    export_marts(model.marts(), out_folder, names, max_concurrent_jobs)
     return export_manifest(spark, out_folder, names)

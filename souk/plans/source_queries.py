@@ -54,7 +54,8 @@ def mart_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_and_export(_raw(spark, sf_dir), scratch_path(spark, "marts"), TEST_PARAMS)
+    return build_and_export(_raw(spark, sf_dir), scratch_path(spark, "marts"), TEST_PARAMS,
+                            staging_folder=scratch_path(spark, "clean"))
 
 
 def mart_load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,16 +35,24 @@ def mart_path(base: str, name: str) -> str:
 
 
 def export_marts(marts: Mapping[str, DataFrame], base: str,
-                 names=EXPORTED_MARTS) -> list[str]:
+                 names=EXPORTED_MARTS, max_concurrent_jobs: int = 4) -> list[str]:
     """Write each allow-listed mart to ``base/<name>.parquet`` (overwrite).
 
     Helper and cleaning views are not exported even if present in ``marts``.
+    The marts are independent jobs; up to ``max_concurrent_jobs`` of them are
+    submitted at once (Spark schedules jobs from several driver threads
+    concurrently), so one mart's small final stages overlap another's scans.
     """
-    written = []
-    for name in names:
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(name: str) -> str:
         marts[name].coalesce(1).write.mode("overwrite").parquet(mart_path(base, name))
-        written.append(name)
-    return written
+        return name
+
+    if max_concurrent_jobs <= 1:
+        return [write(n) for n in names]
+    with ThreadPoolExecutor(max_workers=max_concurrent_jobs) as pool:
+        return list(pool.map(write, names))
 
 
 def load_mart(spark: SparkSession, name: str, base: str) -> DataFrame:
