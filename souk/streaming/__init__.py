@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The source system is a full-recompute batch job (re-run to refresh every
+mart); it has no stream, watermark, window or state. Refreshes are served by
+``souk.plans.build.build_and_export``.
+"""
