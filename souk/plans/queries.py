@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.plans.registry import VIEW_NAMES, Marketplace, Params
-from souk.sources.testdata import PLACEHOLDER_PAYMENT_TYPE, DriverTables
+from souk.sources.testdata import PLACEHOLDER_PAYMENT_TYPE, driver_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ STRICT_PARAMS = replace(TEST_PARAMS, min_items_freight=890, min_reviews_category
 
 
 def model_for(spark: SparkSession, sf_dir: str, params: Params = TEST_PARAMS) -> Marketplace:
-    return Marketplace(DriverTables(spark, sf_dir).raw(), params)
+    return Marketplace(driver_tables(spark, sf_dir), params)
 
 
 def _view_query(name: str, params: Params = TEST_PARAMS) -> Query:

@@ -19,11 +19,11 @@ from souk.schemas import RAW_FILES, RAW_KEYS
 from souk.session import scratch_path
 from souk.sources.csv_source import read_raw_csv
 from souk.sources.marts import load_mart
-from souk.sources.testdata import DriverTables
+from souk.sources.testdata import driver_tables
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return DriverTables(spark, sf_dir).raw()
+    return driver_tables(spark, sf_dir)
 
 
 def _csv_ingest(table: str) -> Query:

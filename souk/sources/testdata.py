@@ -211,5 +211,16 @@ class DriverTables(Mapping):
         return self
 
 
+_ADAPTERS: dict[tuple[int, str, str], DriverTables] = {}
+
+
 def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
-    return DriverTables(spark, sf_dir)
+    """The adapter for a folder, built once per session.
+
+    Its raw DataFrames are plans only (no data); queries derive fresh
+    DataFrames from them, so nothing executed is ever shared.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _ADAPTERS:
+        _ADAPTERS[key] = DriverTables(spark, sf_dir)
+    return _ADAPTERS[key]
