@@ -9,7 +9,6 @@ recommend for a cluster run; the builders work under any session.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -29,6 +28,27 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, cores: int,
+                 target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Sizing for a large run: partitions of about ``target_partition_bytes``.
+
+    Scans are split into ~256 MB partitions; the initial shuffle partition
+    count covers the whole input at that size (at least 2 waves of the
+    cores), and AQE merges small ones back to the advisory size and splits
+    skewed ones (a partition 5x the median and above 1 GB), so a partition
+    fits comfortably in an executor's memory and spills rarely.
+    """
+    n = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 ** 3),
+    }
+
+
 def build_session(master: str | None = None, app_name: str = "souk",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -74,12 +94,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     base = ensure_checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
     return f"{base}{sep}souk/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str | None:
-    """Strip a ``file:`` scheme; None for non-local URIs (hdfs://, s3a://...)."""
-    if path.startswith("file:"):
-        return path[len("file:"):].lstrip("/") and "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return None
-    return os.path.abspath(path)

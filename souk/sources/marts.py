@@ -72,12 +72,18 @@ def load_mart(spark: SparkSession, name: str, base: str) -> DataFrame:
         raise
 
 
-def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS) -> DataFrame:
+def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS,
+                    max_concurrent_reads: int = 4) -> DataFrame:
     """One row per exported mart with its row and column count, read back
-    from the written Parquet (one small aggregate per mart, unioned)."""
+    from the written Parquet (one small aggregate per mart, unioned into one
+    job). Resolving a Parquet source lists files and reads a footer on the
+    driver, so the readers are opened from a few threads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, max_concurrent_reads)) as pool:
+        frames = list(pool.map(lambda n: load_mart(spark, n, base), names))
     parts = []
-    for i, name in enumerate(names, start=1):
-        df = load_mart(spark, name, base)
+    for i, (name, df) in enumerate(zip(names, frames), start=1):
         parts.append(df.agg(F.count(F.lit(1)).alias("num_rows"))
                      .select(F.lit(i).alias("export_order"), F.lit(name).alias("mart"),
                              "num_rows", F.lit(len(df.columns)).alias("num_columns")))
