@@ -18,7 +18,14 @@ from souk.functions import buckets as B
 from souk.functions.exprs import FIXED_TYPE, exact_mean, pct
 
 
-def _top(df: DataFrame, metric: str, keys: Sequence[str], k: int, largest: bool) -> DataFrame:
+def _top(df: DataFrame, metric: str, keys: Sequence[str], k: int, largest: bool,
+         skip_null: bool = True) -> DataFrame:
+    """Top/bottom-k by ``metric``, ties broken by ``keys`` (planned as a top-k,
+    not a full sort). ``skip_null`` drops rows whose metric is NULL, as
+    ``nlargest``/``nsmallest``/``idxmax``/``idxmin`` do; ``head`` of a sorted
+    table keeps them (sorted last)."""
+    if skip_null:
+        df = df.where(F.col(metric).isNotNull())
     m = F.col(metric).desc_nulls_last() if largest else F.col(metric).asc_nulls_last()
     return df.orderBy(m, *[F.col(c).asc_nulls_first() for c in keys]).limit(k)
 
@@ -32,13 +39,15 @@ def trend_without_partial_months(trend: DataFrame,
 
 def top_categories(by_category: DataFrame, k: int = 10) -> DataFrame:
     """The k categories with the highest revenue, shown in ascending order."""
-    return (_top(by_category, "total_revenue", ["category_english"], k, largest=True)
+    return (_top(by_category, "total_revenue", ["category_english"], k, largest=True,
+                 skip_null=False)
             .orderBy(F.col("total_revenue").asc_nulls_first(), F.col("category_english")))
 
 
 def top_states(by_state: DataFrame, k: int = 10) -> DataFrame:
     """D3: the k states with the highest revenue, shown in ascending order."""
-    return (_top(by_state, "total_revenue", ["customer_state"], k, largest=True)
+    return (_top(by_state, "total_revenue", ["customer_state"], k, largest=True,
+                 skip_null=False)
             .orderBy(F.col("total_revenue").asc_nulls_first(), F.col("customer_state")))
 
 

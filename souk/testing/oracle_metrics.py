@@ -28,9 +28,11 @@ SELECT payment_type AS "Payment Type", num_orders AS "Orders",
 FROM sales_payment_breakdown""",
     "best_state": """
 SELECT customer_state, pct_on_time FROM logistics_delivery_by_state
+WHERE pct_on_time IS NOT NULL
 ORDER BY pct_on_time DESC NULLS LAST, customer_state ASC NULLS FIRST LIMIT 1""",
     "worst_state": """
 SELECT customer_state, pct_on_time FROM logistics_delivery_by_state
+WHERE pct_on_time IS NOT NULL
 ORDER BY pct_on_time ASC NULLS LAST, customer_state ASC NULLS FIRST LIMIT 1""",
     "mean_days_of_states": f"""
 SELECT {coord_mean('avg_delivery_days')} AS mean_delivery_days
@@ -39,11 +41,11 @@ FROM logistics_delivery_by_state""",
 SELECT {coord_mean('pct_on_time')} AS mean_pct_on_time FROM logistics_delivery_by_state""",
     "states_by_on_time": "SELECT * FROM logistics_delivery_by_state",
     "top_freight": """
-SELECT * FROM logistics_freight_ratio
+SELECT * FROM logistics_freight_ratio WHERE freight_pct_of_price IS NOT NULL
 ORDER BY freight_pct_of_price DESC NULLS LAST, category_english ASC NULLS FIRST LIMIT 10""",
     "slowest_routes": """
 SELECT *, coalesce(seller_state, 'None') || ' → ' || coalesce(customer_state, 'None') AS route
-FROM logistics_route_performance
+FROM logistics_route_performance WHERE avg_delivery_days IS NOT NULL
 ORDER BY avg_delivery_days DESC NULLS LAST, seller_state ASC NULLS FIRST,
          customer_state ASC NULLS FIRST
 LIMIT 15""",
@@ -60,7 +62,7 @@ SELECT arg_min(avg_review_score, sort_order) AS early_score,
        arg_max(avg_review_score, sort_order) AS late_score
 FROM reviews_score_by_delay""",
     "lowest_categories": """
-SELECT * FROM reviews_score_by_category
+SELECT * FROM reviews_score_by_category WHERE avg_review_score IS NOT NULL
 ORDER BY avg_review_score ASC NULLS LAST, category_english ASC NULLS FIRST LIMIT 10""",
     "home_kpis": f"""
 SELECT 'total_revenue' AS kpi, {_REV_TOTAL} AS value FROM sales_monthly_trend

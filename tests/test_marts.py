@@ -124,3 +124,22 @@ def test_review_delay_buckets(model):
     m = _rows(model.reviews_score_by_delay, "sort_order")
     assert set(m) == {2, 5}  # o1 5 days early, o3 41 days late; o5 has no delay
     assert m[5]["delay_bucket"] == "Late (8+ days)"
+
+
+def test_nlargest_style_metrics_skip_null(model):
+    from souk.operators import metrics as M
+    rows = M.top_freight(model.logistics_freight_ratio).collect()
+    assert sorted(r["category_english"] for r in rows) == ["bed", "mesa"]  # unknown is NULL
+    best = M.best_state(model.logistics_delivery_by_state).collect()
+    assert [r["customer_state"] for r in best] == ["SP"]
+
+
+def test_registered_views_answer_sql(spark, model):
+    from souk.plans.registry import register_views
+    names = register_views(model, prefix="t_")
+    assert len(names) == 20 and names[0] == "t_clean_orders"
+    got = spark.sql("SELECT year_month, num_orders FROM t_sales_monthly_trend "
+                    "ORDER BY year_month").collect()
+    assert [(r[0], r[1]) for r in got] == [("2018-01", 1), ("2018-02", 1)]
+    n = spark.sql("SELECT COUNT(*) FROM t_clean_orders WHERE is_on_time = 1").collect()[0][0]
+    assert n == 1
