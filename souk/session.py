@@ -75,15 +75,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     under the system temp dir is created and set for this session.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = _spark_context(spark)
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="souk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def _spark_context(spark: SparkSession):
+    """The SparkContext, or None for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a running session, stable for its lifetime."""
+    sc = _spark_context(spark)
+    return (id(spark), sc.applicationId if sc is not None else "")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder name under the shared scratch folder.
 

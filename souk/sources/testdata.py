@@ -21,6 +21,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.session import session_key
+
 # How the driver's order status letters map to marketplace
 # statuses, and which priority plays the placeholder payment type.
 STATUS_MAP = (("F", "delivered"), ("O", "shipped"), ("P", "canceled"))
@@ -38,7 +40,7 @@ def _text(ts: Column) -> Column:
 # One scan relation per (session, file): resolving a Parquet source lists the
 # files and reads a footer on the driver, which is worth doing once. The
 # DataFrame holds no data, only the scan, so sharing it is safe.
-_SCANS: dict[tuple[int, str, str], DataFrame] = {}
+_SCANS: dict[tuple, DataFrame] = {}
 
 
 class DriverTables(Mapping):
@@ -54,7 +56,7 @@ class DriverTables(Mapping):
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), self.spark.sparkContext.applicationId, path)
+        key = (session_key(self.spark), path)
         if key not in _SCANS:
             _SCANS[key] = self.spark.read.parquet(path)
         return _SCANS[key]
@@ -211,7 +213,7 @@ class DriverTables(Mapping):
         return self
 
 
-_ADAPTERS: dict[tuple[int, str, str], DriverTables] = {}
+_ADAPTERS: dict[tuple, DriverTables] = {}
 
 
 def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
@@ -220,7 +222,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> DriverTables:
     Its raw DataFrames are plans only (no data); queries derive fresh
     DataFrames from them, so nothing executed is ever shared.
     """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     if key not in _ADAPTERS:
         _ADAPTERS[key] = DriverTables(spark, sf_dir)
     return _ADAPTERS[key]
