@@ -108,8 +108,13 @@ class DriverTables(Mapping):
     @cached_property
     def raw_order_items(self) -> DataFrame:
         li = self.table("lineitem")
-        freight = F.round(F.col("l_extendedprice").cast("decimal(12,2)")
-                          * F.col("l_tax").cast("decimal(4,2)"), 2).cast("double")
+        # freight = price x tax rounded half away from zero to cents, in exact
+        # integer arithmetic (price in cents x tax in hundredths = 1e-4 units).
+        units = (F.rint(F.col("l_extendedprice") * 100).cast("long")
+                 * F.rint(F.col("l_tax") * 100).cast("long"))
+        freight_cents = F.when(units >= 0, F.floor((units + 50) / 100)).otherwise(
+            -F.floor((-units + 50) / 100))
+        freight = freight_cents.cast("double") / F.lit(100.0)
         return li.select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").cast("long").alias("order_item_id"),
