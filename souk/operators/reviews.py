@@ -3,6 +3,13 @@
 M11 and M12 count join rows, not reviews: a review of an order with three
 items of one category counts three times in that category, and a review of
 an order paid in two parts counts once per payment row.
+
+Those pair counts are computed without emitting the pairs: the many side is
+first reduced to one row per (order, group) with its row count ``w``, and
+each review row then contributes ``w`` pairs and ``w * score`` to the sums.
+The result equals COUNT(*) and AVG over the review x item (or x payment)
+join, but the join output stays linear in the number of reviews even when
+one order holds a large share of all items, payments and reviews.
 """
 
 from __future__ import annotations
@@ -20,6 +27,18 @@ def _mean_score() -> Column:
     return F.round(F.avg(F.col("review_score").cast("double")), 2).alias("avg_review_score")
 
 
+def _weighted_pair_stats(weight: str) -> list[Column]:
+    """COUNT(*) and AVG(score) over review x row pairs, from per-order weights."""
+    w = F.col(weight)
+    score = F.col("review_score")
+    scored_pairs = F.sum(F.when(score.isNotNull(), w))
+    return [
+        F.sum(w).alias("num_reviews"),
+        F.round(F.sum(score * w).cast("double") / F.nullif(scored_pairs, F.lit(0)), 2)
+        .alias("avg_review_score"),
+    ]
+
+
 def reviews_score_distribution(reviews: DataFrame) -> DataFrame:
     """M9: reviews per score and share of all reviews.
 
@@ -49,11 +68,14 @@ def reviews_score_by_delay(reviews: DataFrame, orders: DataFrame,
 def reviews_score_by_category(reviews: DataFrame, items: DataFrame, products: DataFrame,
                               min_reviews: int = B.MIN_REVIEWS_CATEGORY) -> DataFrame:
     """(review x item) rows and mean score per category."""
-    j = (reviews.select("order_id", "review_score")
-         .join(items.select("order_id", "product_id"), "order_id")
-         .join(products.select("product_id", "category_english"), "product_id"))
+    items_per_category = (
+        items.select("order_id", "product_id")
+        .join(products.select("product_id", "category_english"), "product_id")
+        .groupBy("order_id", "category_english")
+        .agg(F.count(F.lit(1)).alias("_items")))
+    j = reviews.select("order_id", "review_score").join(items_per_category, "order_id")
     return (j.groupBy("category_english")
-            .agg(F.count(F.lit(1)).alias("num_reviews"), _mean_score())
+            .agg(*_weighted_pair_stats("_items"))
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("avg_review_score").asc_nulls_first(),
                      F.col("category_english").asc_nulls_first()))
@@ -63,13 +85,16 @@ def reviews_score_by_payment(reviews: DataFrame, payments: DataFrame,
                              min_reviews: int = B.MIN_REVIEWS_PAYMENT,
                              buckets: Sequence[Bucket] = B.INSTALLMENT_BUCKETS) -> DataFrame:
     """(review x payment) rows and mean score per type and installment bucket."""
-    p = payments.select(
-        "order_id", "payment_type",
-        bucket_label(bucket_order("payment_installments", buckets), buckets)
-        .alias("installments_bucket"))
-    j = reviews.select("order_id", "review_score").join(p, "order_id")
+    payments_per_group = (
+        payments.select(
+            "order_id", "payment_type",
+            bucket_label(bucket_order("payment_installments", buckets), buckets)
+            .alias("installments_bucket"))
+        .groupBy("order_id", "payment_type", "installments_bucket")
+        .agg(F.count(F.lit(1)).alias("_payments")))
+    j = reviews.select("order_id", "review_score").join(payments_per_group, "order_id")
     return (j.groupBy("payment_type", "installments_bucket")
-            .agg(F.count(F.lit(1)).alias("num_reviews"), _mean_score())
+            .agg(*_weighted_pair_stats("_payments"))
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("payment_type").asc_nulls_first(),
                      F.col("installments_bucket").asc_nulls_first()))

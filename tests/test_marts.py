@@ -143,3 +143,27 @@ def test_registered_views_answer_sql(spark, model):
     assert [(r[0], r[1]) for r in got] == [("2018-01", 1), ("2018-02", 1)]
     n = spark.sql("SELECT COUNT(*) FROM t_clean_orders WHERE is_on_time = 1").collect()[0][0]
     assert n == 1
+
+
+def test_pair_counts_without_emitting_pairs(spark):
+    """3 reviews x 4 items of one category -> 12 pairs; 3 reviews x 2 payments -> 6."""
+    reviews = [(f"r{i}", "o1", s, None, None, "2018-01-06 00:00:00", "2018-01-07 00:00:00")
+               for i, s in enumerate([5, 4, None])]
+    items = [("o1", j, "p1", "s1", "2018-01-02 00:00:00", 1.0, 0.1) for j in range(4)]
+    raw = {
+        "raw_orders": _df(spark, "raw_orders", [("o1", "c1", "delivered", "2018-01-01 00:00:00",
+                                                 None, None, None, EST)]),
+        "raw_order_items": _df(spark, "raw_order_items", items),
+        "raw_products": _df(spark, "raw_products", [("p1", "cama") + (1.0,) * 7]),
+        "raw_category_translation": _df(spark, "raw_category_translation", [("cama", "bed")]),
+        "raw_order_reviews": _df(spark, "raw_order_reviews", reviews),
+        "raw_order_payments": _df(spark, "raw_order_payments",
+                                  [("o1", 1, "card", 3, 1.0), ("o1", 2, "card", 4, 1.0)]),
+    }
+    m = Marketplace(raw, Params(min_reviews_category=1, min_reviews_payment=1))
+    cat = m.reviews_score_by_category.collect()
+    assert [(r["category_english"], r["num_reviews"], r["avg_review_score"]) for r in cat] == [
+        ("bed", 12, 4.5)]
+    pay = m.reviews_score_by_payment.collect()
+    assert [(r["payment_type"], r["installments_bucket"], r["num_reviews"],
+             r["avg_review_score"]) for r in pay] == [("card", "2-4", 6, 4.5)]
