@@ -18,7 +18,7 @@ from souk.plans.registry import register_views, view_catalog, view_registry
 from souk.schemas import RAW_FILES, RAW_KEYS
 from souk.session import scratch_path
 from souk.sources.csv_source import read_raw_csv
-from souk.sources.marts import load_mart
+from souk.sources.marts import export_sizes, load_mart
 from souk.sources.testdata import driver_tables
 
 
@@ -58,6 +58,12 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                             staging_folder=scratch_path(spark, "clean"))
 
 
+def export_sizes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "marts")
+    build_and_export(_raw(spark, sf_dir), base, TEST_PARAMS)
+    return export_sizes(spark, base)
+
+
 def mart_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "marts")
     build_and_export(_raw(spark, sf_dir), base, TEST_PARAMS, names=("reviews_score_by_payment",))
@@ -85,6 +91,8 @@ def source_queries() -> dict[str, Query]:
         "view_catalog": catalog,
         "mart_export": mart_export,
         "export_manifest": export_manifest,
+        # File sizes depend on the Parquet encoder: no SQL twin (rows-only check).
+        "export_sizes": export_sizes_query,
         "mart_load": mart_load,
     }
 

@@ -91,3 +91,22 @@ def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def export_sizes(spark: SparkSession, base: str, names=EXPORTED_MARTS) -> DataFrame:
+    """S8 (sizes): files and bytes of each exported mart.
+
+    Read through the ``binaryFile`` source selecting only ``path`` and
+    ``length``, so file contents are never read.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .option("recursiveFileLookup", "true").load(base.rstrip("/"))
+             .select("path", "length"))
+    mart = F.regexp_extract("path", r"/([^/]+)\.parquet/[^/]+$", 1)
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), mart).cast("int")
+    return (files.select(mart.alias("mart"), order.alias("export_order"), "length")
+            .where(F.col("export_order") > 0)
+            .groupBy("export_order", "mart")
+            .agg(F.count(F.lit(1)).alias("num_files"),
+                 F.sum("length").alias("size_bytes"))
+            .orderBy("export_order"))
