@@ -36,8 +36,12 @@ def _column_counts(name: str, df: DataFrame) -> DataFrame:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"n{len(aggs)}"))
         aggs.append(F.count(F.col(c)).alias(f"n{len(aggs)}"))
     wide = df.agg(*aggs)
+
+    def lit(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
     stack_args = ", ".join(
-        f"{i + 1}, '{f.name}', '{f.dataType.simpleString()}', n{2 * i}, n{2 * i + 1}"
+        f"{i + 1}, {lit(f.name)}, {lit(f.dataType.simpleString())}, n{2 * i}, n{2 * i + 1}"
         for i, f in enumerate(df.schema.fields))
     return wide.selectExpr(
         f"stack({len(df.columns)}, {stack_args}) "

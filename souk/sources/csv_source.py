@@ -12,14 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.schemas import MULTILINE_TABLES, NA_TOKENS, RAW_FILES, RAW_SCHEMAS
 
 
-def normalize_na(c: F.Column | str) -> F.Column:
+def normalize_na(c: Column | str) -> Column:
     """NULL for any missing-value token, else the text unchanged."""
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~c.isin(*NA_TOKENS), c)

@@ -78,3 +78,9 @@ def test_load_mart_errors_and_roundtrip(spark, tmp_dir):
                                "avg_order_value double")
     export_marts({"sales_monthly_trend": df}, tmp_dir, names=("sales_monthly_trend",))
     assert load_mart(spark, "sales_monthly_trend", tmp_dir).collect() == df.collect()
+
+
+def test_profile_handles_odd_column_names(spark):
+    df = spark.createDataFrame([(None, 1)], "`it's` string, `a\\\\b` int")
+    rows = P.profile_nulls({"t": df}).collect()
+    assert [(r["column_name"], r["null_count"]) for r in rows] == [("it's", 1)]
