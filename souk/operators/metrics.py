@@ -3,15 +3,15 @@
 These take mart DataFrames (small: one row per month, state, category or
 route) and return small DataFrames. Ties in top-k and arg-max/min are broken
 by the mart's key so the answer is deterministic; whole-table totals come
-from one-row aggregates or from a window over the (bounded) mart rows, never
-from a window over raw rows.
+from one-row aggregates or scalar subqueries, never from a window over all
+rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
@@ -52,8 +52,10 @@ def top_states(by_state: DataFrame, k: int = 10) -> DataFrame:
 
 
 def payment_share(payments: DataFrame) -> DataFrame:
-    """Each payment type's percentage of the total paid (exact total)."""
-    total = F.sum(F.col("total_paid").cast(FIXED_TYPE)).over(Window.partitionBy()).cast("double")
+    """Each payment type's percentage of the total paid (exact total,
+    as a scalar subquery over the mart)."""
+    total = payments.select(
+        F.sum(F.col("total_paid").cast(FIXED_TYPE)).cast("double")).scalar()
     return payments.select("payment_type", "total_paid",
                            F.round(pct(F.col("total_paid"), total), 1).alias("share_pct"))
 
