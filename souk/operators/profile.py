@@ -81,9 +81,11 @@ def profile_duplicates(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def profile_sample(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
-    """S4e: the first ``n`` rows by key (Spark has no file order; the key
-    makes the sample deterministic). Planned as a top-k, not a full sort."""
-    return df.orderBy(*[F.col(c).asc_nulls_first() for c in key]).limit(n)
+    """S4e: the first ``n`` rows by key (Spark has no file order; the key,
+    then the remaining columns as tie-breakers, make the sample
+    deterministic). Planned as a top-k, not a full sort."""
+    order = list(key) + [c for c in df.columns if c not in key]
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(n)
 
 
 def reconcile_counts(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:

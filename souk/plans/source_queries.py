@@ -70,6 +70,12 @@ def mart_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_mart(spark, "reviews_score_by_payment", base)
 
 
+def _sample(table: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.profile_sample(_raw(spark, sf_dir)[table], RAW_KEYS[table])
+    return q
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(model_for(spark, sf_dir))
     return view_catalog(spark)
@@ -87,6 +93,8 @@ def source_queries() -> dict[str, Query]:
         "profile_duplicates": lambda s, d: P.profile_duplicates(_raw(s, d)),
         "profile_sample": lambda s, d: P.profile_sample(_raw(s, d)["raw_orders"],
                                                         RAW_KEYS["raw_orders"]),
+        **{f"profile_sample_{t[len('raw_'):]}": _sample(t)
+           for t in RAW_KEYS if t != "raw_orders"},
         "view_registry": lambda s, d: view_registry(model_for(s, d)),
         "view_catalog": catalog,
         "mart_export": mart_export,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from souk.schemas import NA_TOKENS, RAW_SCHEMAS
+from souk.schemas import NA_TOKENS, RAW_KEYS, RAW_SCHEMAS
 from souk.testing.oracle_sql import with_ctes
 
 _TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
@@ -103,8 +103,18 @@ def _manifest() -> str:
                    for i, n in enumerate(exported, start=1)])
 
 
+def _sample(table: str) -> str:
+    key = list(RAW_KEYS[table])
+    order = key + [f.name for f in RAW_SCHEMAS[table].fields if f.name not in key]
+    return (f"SELECT * FROM {table} ORDER BY "
+            + ", ".join(f"{c} ASC NULLS FIRST" for c in order) + " LIMIT 3")
+
+
 def source_oracle_sql() -> dict[str, str]:
+    samples = {f"profile_sample_{t[len('raw_'):]}": with_ctes(_sample(t))
+               for t in RAW_KEYS if t != "raw_orders"}
     return {
+        **samples,
         "csv_ingest": with_ctes(_csv_roundtrip("raw_order_reviews")),
         "csv_ingest_orders": with_ctes(_csv_roundtrip("raw_orders")),
         "raw_materialize": with_ctes(_csv_roundtrip("raw_orders")),
@@ -113,8 +123,7 @@ def source_oracle_sql() -> dict[str, str]:
         "profile_dtypes": with_ctes(_dtypes()),
         "profile_nulls": with_ctes(_nulls()),
         "profile_duplicates": with_ctes(_duplicates()),
-        "profile_sample": with_ctes(
-            "SELECT * FROM raw_orders ORDER BY order_id ASC NULLS FIRST LIMIT 3"),
+        "profile_sample": with_ctes(_sample("raw_orders")),
         "view_registry": with_ctes(_registry()),
         "view_catalog": with_ctes(_catalog()),
         "mart_export": with_ctes("SELECT * FROM logistics_route_performance"),
