@@ -85,6 +85,8 @@ def source_queries() -> dict[str, Query]:
     return {
         "csv_ingest": _csv_ingest("raw_order_reviews"),
         "csv_ingest_orders": _csv_ingest("raw_orders"),
+        **{f"csv_ingest_{t[len('raw_'):]}": _csv_ingest(t)
+           for t in RAW_KEYS if t not in ("raw_orders", "raw_order_reviews")},
         "raw_materialize": raw_materialize,
         "reconcile_counts": reconcile,
         "profile_shape": lambda s, d: P.profile_shape(_raw(s, d)),

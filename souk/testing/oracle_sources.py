@@ -113,8 +113,11 @@ def _sample(table: str) -> str:
 def source_oracle_sql() -> dict[str, str]:
     samples = {f"profile_sample_{t[len('raw_'):]}": with_ctes(_sample(t))
                for t in RAW_KEYS if t != "raw_orders"}
+    ingests = {f"csv_ingest_{t[len('raw_'):]}": with_ctes(_csv_roundtrip(t))
+               for t in RAW_KEYS if t not in ("raw_orders", "raw_order_reviews")}
     return {
         **samples,
+        **ingests,
         "csv_ingest": with_ctes(_csv_roundtrip("raw_order_reviews")),
         "csv_ingest_orders": with_ctes(_csv_roundtrip("raw_orders")),
         "raw_materialize": with_ctes(_csv_roundtrip("raw_orders")),
