@@ -1,15 +1,16 @@
 """Review marts.
 
-M11 and M12 count join rows, not reviews: a review of an order with three
-items of one category counts three times in that category, and a review of
-an order paid in two parts counts once per payment row.
-
-Those pair counts are computed without emitting the pairs: the many side is
-first reduced to one row per (order, group) with its row count ``w``, and
-each review row then contributes ``w`` pairs and ``w * score`` to the sums.
-The result equals COUNT(*) and AVG over the review x item (or x payment)
-join, but the join output stays linear in the number of reviews even when
-one order holds a large share of all items, payments and reviews.
+M10-M12 count join rows, not reviews: a review of an order with three items
+of one category counts three times in that category, and a review of an
+order paid in two parts counts once per payment row.
+
+Those pair counts are computed without emitting the pairs. Reviews are first
+reduced to one row per order (reviews, score sum, scored reviews); that
+partial aggregate is shuffled by ``order_id``, the key the join needs anyway,
+so it costs no extra exchange. Each order, item or payment row then adds its
+order's totals. The result equals COUNT(*) and AVG over the pair join, and
+the join output stays linear even if one order holds a large share of all
+items, payments and reviews.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ from souk.functions import buckets as B
 from souk.functions.exprs import Bucket, bucket_label, bucket_order, pct
 
 
-def _mean_score() -> Column:
-    return F.round(F.avg(F.col("review_score").cast("double")), 2).alias("avg_review_score")
+def _reviews_per_order(reviews: DataFrame) -> DataFrame:
+    """One row per order: its reviews, their score sum and scored reviews."""
+    return reviews.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_reviews"),
+        F.sum("review_score").alias("_score_sum"),
+        F.count("review_score").alias("_scored"))
 
 
-def _weighted_pair_stats(weight: str) -> list[Column]:
-    """COUNT(*) and AVG(score) over review x row pairs, from per-order weights."""
-    w = F.col(weight)
-    score = F.col("review_score")
-    scored_pairs = F.sum(F.when(score.isNotNull(), w))
+def _pair_stats() -> list[Column]:
+    """COUNT(*) and AVG(score) over review x row pairs, from per-order totals."""
     return [
-        F.sum(w).alias("num_reviews"),
-        F.round(F.sum(score * w).cast("double") / F.nullif(scored_pairs, F.lit(0)), 2)
-        .alias("avg_review_score"),
+        F.sum("_reviews").alias("num_reviews"),
+        F.round(F.sum("_score_sum").cast("double")
+                / F.nullif(F.sum("_scored"), F.lit(0)), 2).alias("avg_review_score"),
     ]
 
 
@@ -58,9 +60,9 @@ def reviews_score_by_delay(reviews: DataFrame, orders: DataFrame,
     """Reviews and mean score per delivery-delay bucket."""
     o = (orders.where(F.col("delivery_delay_days").isNotNull())
          .select("order_id", bucket_order("delivery_delay_days", buckets).alias("sort_order")))
-    j = reviews.select("order_id", "review_score").join(o, "order_id")
+    j = o.join(_reviews_per_order(reviews), "order_id")
     return (j.groupBy("sort_order")
-            .agg(F.count(F.lit(1)).alias("num_reviews"), _mean_score())
+            .agg(*_pair_stats())
             .select(bucket_label("sort_order", buckets).alias("delay_bucket"),
                     "sort_order", "num_reviews", "avg_review_score")
             .orderBy("sort_order"))
@@ -69,14 +71,11 @@ def reviews_score_by_delay(reviews: DataFrame, orders: DataFrame,
 def reviews_score_by_category(reviews: DataFrame, items: DataFrame, products: DataFrame,
                               min_reviews: int = B.MIN_REVIEWS_CATEGORY) -> DataFrame:
     """(review x item) rows and mean score per category."""
-    items_per_category = (
-        items.select("order_id", "product_id")
-        .join(products.select("product_id", "category_english"), "product_id")
-        .groupBy("order_id", "category_english")
-        .agg(F.count(F.lit(1)).alias("_items")))
-    j = reviews.select("order_id", "review_score").join(items_per_category, "order_id")
+    j = (items.select("order_id", "product_id")
+         .join(products.select("product_id", "category_english"), "product_id")
+         .join(_reviews_per_order(reviews), "order_id"))
     return (j.groupBy("category_english")
-            .agg(*_weighted_pair_stats("_items"))
+            .agg(*_pair_stats())
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("avg_review_score").asc_nulls_first(),
                      F.col("category_english").asc_nulls_first()))
@@ -86,16 +85,13 @@ def reviews_score_by_payment(reviews: DataFrame, payments: DataFrame,
                              min_reviews: int = B.MIN_REVIEWS_PAYMENT,
                              buckets: Sequence[Bucket] = B.INSTALLMENT_BUCKETS) -> DataFrame:
     """(review x payment) rows and mean score per type and installment bucket."""
-    payments_per_group = (
-        payments.select(
-            "order_id", "payment_type",
-            bucket_label(bucket_order("payment_installments", buckets), buckets)
-            .alias("installments_bucket"))
-        .groupBy("order_id", "payment_type", "installments_bucket")
-        .agg(F.count(F.lit(1)).alias("_payments")))
-    j = reviews.select("order_id", "review_score").join(payments_per_group, "order_id")
+    p = payments.select(
+        "order_id", "payment_type",
+        bucket_label(bucket_order("payment_installments", buckets), buckets)
+        .alias("installments_bucket"))
+    j = p.join(_reviews_per_order(reviews), "order_id")
     return (j.groupBy("payment_type", "installments_bucket")
-            .agg(*_weighted_pair_stats("_payments"))
+            .agg(*_pair_stats())
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("payment_type").asc_nulls_first(),
                      F.col("installments_bucket").asc_nulls_first()))
