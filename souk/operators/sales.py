@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
-from souk.functions.exprs import cents, from_cents, money_mean, money_sum
+from souk.functions.exprs import cents, from_cents, money_sum
 
 
 def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
@@ -57,16 +57,26 @@ def sales_monthly_trend(orders: DataFrame, items: DataFrame,
 
 def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
                       excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
-    """M2: orders, items sold, revenue and mean item price per category."""
-    o = _placed_orders(orders, excluded_statuses).select("order_id")
+    """M2: orders, items sold, revenue and mean item price per category.
+
+    Counts and sums are over (item x qualifying order row) pairs. The orders
+    are reduced to one row per order_id with their row count (a partial
+    aggregate shuffled by the join key), and each item is weighted by it,
+    so no pair rows are emitted even if an order id repeats.
+    """
+    o = (_placed_orders(orders, excluded_statuses)
+         .groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")))
     i = items.select("order_id", "product_id", "price", "item_total_value")
     p = products.select("product_id", "category_english")
     j = i.join(p, "product_id").join(o, "order_id")
+    w = F.col("_rows")
+    priced = F.sum(F.when(F.col("price").isNotNull(), w))
     return (j.groupBy("category_english")
             .agg(F.countDistinct("order_id").alias("num_orders"),
-                 F.count(F.lit(1)).alias("num_items_sold"),
-                 money_sum("item_total_value").alias("total_revenue"),
-                 F.round(money_mean("price"), 2).alias("avg_item_price"))
+                 F.sum(w).alias("num_items_sold"),
+                 from_cents(F.sum(cents("item_total_value") * w)).alias("total_revenue"),
+                 F.round(from_cents(F.sum(cents("price") * w)) / F.nullif(priced, F.lit(0)), 2)
+                 .alias("avg_item_price"))
             .orderBy(F.col("total_revenue").desc_nulls_last(),
                      F.col("category_english").asc_nulls_first()))
 

@@ -167,3 +167,30 @@ def test_pair_counts_without_emitting_pairs(spark):
     pay = m.reviews_score_by_payment.collect()
     assert [(r["payment_type"], r["installments_bucket"], r["num_reviews"],
              r["avg_review_score"]) for r in pay] == [("card", "2-4", 6, 4.5)]
+
+
+def test_duplicated_order_rows_count_as_pairs(spark):
+    """An order id listed twice doubles item / review pair counts, as a join would."""
+    order = ("o1", "c1", "delivered", "2018-01-01 00:00:00", None, None,
+             "2018-01-05 00:00:00", EST)
+    raw = {
+        "raw_orders": _df(spark, "raw_orders", [order, order]),
+        "raw_order_items": _df(spark, "raw_order_items",
+                               [("o1", j, "p1", "s1", "2018-01-02 00:00:00", 10.0, 1.0)
+                                for j in range(3)]),
+        "raw_products": _df(spark, "raw_products", [("p1", "cama") + (1.0,) * 7]),
+        "raw_category_translation": _df(spark, "raw_category_translation", [("cama", "bed")]),
+        "raw_customers": _df(spark, "raw_customers", [("c1", "u1", 1, "x", "SP")]),
+        "raw_order_reviews": _df(spark, "raw_order_reviews",
+                                 [("r1", "o1", 4, None, None, "2018-01-06 00:00:00",
+                                   "2018-01-07 00:00:00")]),
+    }
+    m = Marketplace(raw)
+    cat = m.sales_by_category.collect()[0]
+    assert (cat["num_orders"], cat["num_items_sold"], cat["total_revenue"],
+            cat["avg_item_price"]) == (1, 6, 66.0, 10.0)
+    month = m.sales_monthly_trend.collect()[0]
+    assert (month["num_orders"], month["total_revenue"], month["avg_order_value"]) == (
+        1, 66.0, 66.0)
+    delay = m.reviews_score_by_delay.collect()[0]
+    assert (delay["num_reviews"], delay["avg_review_score"]) == (2, 4.0)
