@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
 from souk.functions.exprs import (
-    delay_days, duration_days, exact_mean, has_text, on_time_flag, parse_ts,
+    FIXED_TYPE, delay_days, duration_days, exact_mean, has_text, on_time_flag, parse_ts,
 )
 
 
@@ -81,6 +81,29 @@ def geo_avg(raw_geolocation: DataFrame) -> DataFrame:
                  exact_mean("geolocation_lng").alias("lng")))
 
 
+def _spelling_counts(raw_geolocation: DataFrame, with_sums: bool = False) -> DataFrame:
+    """One row per (zip, city, state): its row count, and optionally the exact
+    coordinate sums, so the mean can be finished from these rows too."""
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    if with_sums:
+        for c, name in (("geolocation_lat", "lat"), ("geolocation_lng", "lng")):
+            aggs += [F.sum(F.col(c).cast(FIXED_TYPE)).alias(f"_s_{name}"),
+                     F.count(c).alias(f"_n_{name}")]
+    return (raw_geolocation
+            .groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix"),
+                     F.col("geolocation_city").alias("city"),
+                     F.col("geolocation_state").alias("state"))
+            .agg(*aggs))
+
+
+def _mode_of(counts: DataFrame) -> DataFrame:
+    w = Window.partitionBy("zip_code_prefix").orderBy(
+        F.col("cnt").desc(), F.col("city").asc_nulls_first(), F.col("state").asc_nulls_first())
+    return (counts.withColumn("rn", F.row_number().over(w))
+            .where(F.col("rn") == 1)
+            .select("zip_code_prefix", "city", "state"))
+
+
 def geo_mode(raw_geolocation: DataFrame) -> DataFrame:
     """C4: most frequent (city, state) spelling per zip prefix.
 
@@ -89,23 +112,28 @@ def geo_mode(raw_geolocation: DataFrame) -> DataFrame:
     spelling), and Spark inserts a partial per-zip top-1 limit before the
     shuffle, so a hot zip prefix is never gathered into one task.
     """
-    counts = (raw_geolocation
-              .groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix"),
-                       F.col("geolocation_city").alias("city"),
-                       F.col("geolocation_state").alias("state"))
-              .agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("zip_code_prefix").orderBy(
-        F.col("cnt").desc(), F.col("city").asc_nulls_first(), F.col("state").asc_nulls_first())
-    return (counts.withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") == 1)
-            .select("zip_code_prefix", "city", "state"))
+    return _mode_of(_spelling_counts(raw_geolocation))
 
 
 def clean_geolocation(raw_geolocation: DataFrame) -> DataFrame:
-    """One representative point and spelling per zip prefix."""
-    return (geo_avg(raw_geolocation)
-            .join(geo_mode(raw_geolocation), "zip_code_prefix")
-            .select("zip_code_prefix", "lat", "lng", "city", "state"))
+    """One representative point and spelling per zip prefix.
+
+    Mean and modal spelling come from one (zip, city, state) aggregate that
+    also carries exact coordinate sums, finished by one aggregate per zip:
+    the table is scanned once and only grouped rows (one per spelling) reach
+    the second shuffle. Adding the per-spelling sums keeps the mean exact.
+    """
+    counts = _spelling_counts(raw_geolocation, with_sums=True)
+    # Modal spelling: the smallest (-count, city, state), i.e. the highest
+    # count, ties to the smallest (city, state) -- the rule of geo_mode.
+    mode = F.min_by(F.struct("city", "state"),
+                    F.struct((-F.col("cnt")).alias("c"), "city", "state"))
+    return (counts.groupBy("zip_code_prefix")
+            .agg(*[(F.sum(f"_s_{c}").cast("double")
+                    / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in ("lat", "lng")],
+                 mode.alias("_mode"))
+            .select("zip_code_prefix", "lat", "lng",
+                    F.col("_mode.city").alias("city"), F.col("_mode.state").alias("state")))
 
 
 def clean_order_items(raw_order_items: DataFrame) -> DataFrame:
