@@ -38,7 +38,7 @@ from souk.llm.common import WORKER, ship
 SIZE = 4096
 OPEN_WINDOWS = 64
 SLACK = 16              # tokens of a window that may stay empty
-TABLE_LIMIT = 400_000   # remembered words of a worker
+TABLE_LIMIT = 1_000_000  # remembered words of a worker (about 200 MB)
 KEPT_CHARS = 40
 ROWS = 500
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() cuts here, the tokenizer does not

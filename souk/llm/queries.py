@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe_automaton, line_quality, packing, reply_trees, secret_scan, syncmers
-from souk.llm import training_order
+from souk.llm import adapt_join, bpe_automaton, hd_language, line_quality, mil_quality
+from souk.llm import packing, reply_trees, secret_scan, syncmers, training_order
 from souk.llm.common import table
 from souk.session import scratch_path
 
@@ -52,6 +52,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: ~x["copied"])).cast("long").alias("n_live"))
 
 
+def op4_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = hd_language.held_out(F.col("doc_id"), 4, 2)
+    found = hd_language.predict(docs, hd_language.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", sha(F.col("edited")).alias("edited_sha256"),
@@ -77,6 +84,19 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha(F.col("loss_text")).alias("loss_sha256"), F.col("formatted_chars"))
 
 
+def op6_adapt_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapt_join.similar_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = hd_language.held_out(F.col("doc_id"), 5, 0)
+    found = mil_quality.score(docs, mil_quality.learn(docs, labels.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -91,8 +111,8 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_bpe_automaton, op2_training_order, op3_secret_scan, op5_closed_syncmers,
-        op8_reply_trees, op9_line_frequency, op10_online_packing)}
+        op1_bpe_automaton, op2_training_order, op3_secret_scan, op4_hd_language, op5_closed_syncmers,
+        op6_adapt_join, op7_mil_quality, op8_reply_trees, op9_line_frequency, op10_online_packing)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
