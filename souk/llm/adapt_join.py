@@ -187,10 +187,11 @@ def _pairs(shared: DataFrame, percent: int) -> DataFrame:
     a = shared.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "level", "asked")))
     b = shared.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "level", "asked")))
     both, asked = F.col("n_a") + F.col("n_b"), F.least("asked_a", "asked_b")
+    # of the first ``asked`` common tokens, up to asked - 1 stand before this one
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     possible = ((F.col("id_a") < F.col("id_b"))
                 & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                & ((100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-                   >= percent * both)
+                & ((100 + percent) * (rest + asked - 1) >= percent * both)
                 & (F.greatest("level_a", "level_b") <= asked))
     return (a.join(b, "token").where(possible)
             .groupBy(F.col("id_a").alias("u"), F.col("id_b").alias("v"))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from souk.llm.common import WORKER, ship
 
@@ -97,14 +98,14 @@ def text_vectors(texts: list[str]) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """(first column, texts) of runs of rows of bounded size."""
+    """(rows, texts) of runs of rows of bounded size; the text is the last column."""
     for b in batches:
-        firsts, texts = b.column(0), b.column(1).to_pylist()
+        texts = b.column(b.num_columns - 1).to_pylist()
         begin = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
             if size >= BLOCK_CHARS or i - begin >= 127 or i == len(texts) - 1:
-                yield firsts.slice(begin, i + 1 - begin), [t or "" for t in texts[begin:i + 1]]
+                yield b.slice(begin, i + 1 - begin), [t or "" for t in texts[begin:i + 1]]
                 begin, size = i + 1, 0
 
 
@@ -125,9 +126,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for langs, texts in _blocks(batches):
+        for rows, texts in _blocks(batches):
             vectors = np.rint(text_vectors(texts) * UNIT).astype(np.int64)
-            for lang, v in zip(langs.to_pylist(), vectors):
+            for lang, v in zip(rows.column(0).to_pylist(), vectors):
                 sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(v), "at": np.arange(len(v)),
@@ -143,19 +144,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from its text alone."""
+            text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (the id by default) with lang_pred and score, from the text alone."""
     ship(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = docs.sparkSession.sparkContext.broadcast(
         (names, np.divide(matrix, norms, out=matrix, where=norms > 0)))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(*(carry or [F.col(id_col).alias("doc_id")]))
+    read = docs.select(*(carry or [F.col(id_col).alias("doc_id")]),
+                       F.col(text_col).alias("text to read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unit = shared.value
-        for ids, texts in _blocks(batches):
+        for rows, texts in _blocks(batches):
             vectors = text_vectors(texts)
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if names:
@@ -165,8 +168,9 @@ def predict(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "do
                     langs[i] = names[best[i]]
                     scores[i] = float(min(1.0, max(0.0, cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "lang_pred", "score"])
+                [*rows.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                [*rows.schema.names[:-1], "lang_pred", "score"])
 
-    kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()),
+                         StructField("score", DoubleType())])
+    return read.mapInArrow(run, schema)

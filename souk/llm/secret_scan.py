@@ -81,7 +81,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"),
                        F.col(repo_col).alias("repo"), F.coalesce(text_col, F.lit("")).alias("text"))
     each = read.select(
-        "doc_id", "owner", "repo", *digest128("row", *(F.col(c) for c in read.columns)),
+        "doc_id", "owner", "repo", *row_digest("doc_id", "text", "owner", "repo"),
         F.filter(_spans(F.col("text"), 0, ASSIGN), lambda x: F.length(_value(x)) >= MIN_VALUE
                  ).alias("assign"),
         _spans(F.col("text"), 1, ACCESS).alias("access"),
@@ -99,6 +99,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                               hashed.alias("found")), "secret-spans")
 
 
+def row_digest(id_col: str = "doc_id", text_col: str = "text",
+               owner_col: str = "source", repo_col: str = "doc_id") -> list[Column]:
+    """The digest by which ``scan`` names a row, from the row's own columns."""
+    return digest128("row", F.col(id_col), F.col(owner_col), F.col(repo_col),
+                     F.coalesce(text_col, F.lit("")))
+
+
 def value_spread(found: DataFrame, spread: Spread = Spread()) -> DataFrame:
     """(value, n_owners, n_repos, copied) over the whole corpus."""
     held = found.select("owner", "repo", F.explode("found").alias("x")).select(
