@@ -55,8 +55,8 @@ from souk.llm.syncmers import _mixed
 
 WORDS = 3              # words of a shingle
 PERCENT = 90           # least similarity
-LEVELS = 3             # most matches asked for
-COSTS = (32, 256)      # estimated candidates from which one match more is asked for
+LEVELS = 6             # most matches asked for
+COSTS = (0, 2, 8, 32, 128)  # one match more is asked for above each estimated cost
 HOT_TOKENS = 200_000   # frequent tokens that are put last (1.6 MB to broadcast)
 STRETCH = 3_000_000    # tokens counted at once while reading
 SMALL_LIST = 24        # documents of a list that are paired one by one
@@ -178,7 +178,8 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     made = (docs.join(needed.select("doc_id").distinct(), "doc_id", "semi")
             .mapInArrow(run, "id long, tokens array<long>, doc_id long"))
-    return stored(made.join(needed, ["id", "doc_id"], "semi").dropDuplicates(["id"])
+    first = needed.select("id", F.col("doc_id").alias("first"))
+    return stored(made.join(first, "id").where("doc_id = first").dropDuplicates(["id"])
                   .select("id", "tokens"), "shingle-whole")
 
 
@@ -248,10 +249,12 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
              percent: int) -> DataFrame:
     """Verified links (u, v) between classes."""
-    heads = stored(prefixes(docs, hot, words, percent)
-                   .join(classes.select("id", "doc_id"), ["id", "doc_id"], "semi")
-                   .dropDuplicates(["id"]).select("id", "doc_id", "n", "tokens"), "join-prefixes")
-    rows = heads.select("id", "doc_id", "n", F.posexplode("tokens").alias("at", "token"))
+    first = classes.select("id", F.col("doc_id").alias("first"))
+    heads = stored(prefixes(docs, hot, words, percent).join(first, "id")
+                   .where("doc_id = first").dropDuplicates(["id"])
+                   .select("id", F.col("n").cast("int").alias("n"), "tokens"), "join-prefixes")
+    # dealt by token once: the counts and the join read the same shuffle
+    rows = heads.select("id", "n", F.posexplode("tokens").alias("at", "token")).repartition("token")
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("list")).where("list > 1")
     level = F.greatest(F.lit(1), F.col("at") - F.floor((100 - percent) * F.col("n") / 100) + 1)
     shared = stored(rows.join(lists, "token").withColumn("level", level.cast("int")), "join-shared")
@@ -264,7 +267,7 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
     cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent), "join-blocks")
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(
         cells.select("id")).distinct()
-    sets = whole_sets(docs, heads.join(wanted, "id", "semi").select("id", "doc_id"), words)
+    sets = whole_sets(docs, classes.join(wanted, "id", "semi").select("id", "doc_id"), words)
     n_common = F.size(F.array_intersect("tokens_u", "tokens_v"))
     verified = (pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("tokens_u")), "u")
                 .join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("tokens_v")), "v")
