@@ -18,7 +18,7 @@ to ``LEVELS``; a pair uses the smaller of its two levels. Pairs that their
 sizes or the places of a common token rule out are not made.
 
 Lists. A token's list of up to ``SMALL_LIST`` documents gives pairs, which are
-counted and verified on their whole sets. Longer lists (groups of near copies)
+counted and verified on their whole texts. Longer lists (groups of near copies)
 give no pairs: all of a list's documents of like size go to the cell of the
 list's least document, cells are cut into blocks, and a task compares two blocks at
 once and returns at most one link per document, enough to join what belongs
@@ -26,7 +26,7 @@ together. So a group of near copies costs rows in proportion to its size times
 its number of blocks. Every pair that shares a prefix token meets in a list or
 cell, so no link between different texts is lost.
 
-Broadcast are at most ``HOT_TOKENS`` numbers. Links and components stay
+Broadcast are at most ``HOT_TOKENS`` numbers and ``FILTER_ROWS`` id pairs. Links and components stay
 distributed; each step that is used twice is written to the shared scratch
 folder.
 
@@ -61,6 +61,7 @@ HOT_TOKENS = 200_000   # frequent tokens that are put last (1.6 MB to broadcast)
 STRETCH = 3_000_000    # tokens counted at once while reading
 SMALL_LIST = 24        # documents of a list that are paired one by one
 BLOCK = 512            # documents of a cell's block
+FILTER_ROWS = 1_000_000  # (class, document) rows that may be broadcast: 16 MB
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -164,23 +165,16 @@ def prefixes(docs: DataFrame, hot: np.ndarray, words: int, percent: int) -> Data
     return docs.mapInArrow(run, "doc_id long, id long, n long, tokens array<long>")
 
 
-def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(id, tokens) of the classes in ``needed`` (doc_id, id) (stored)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(s) for s in sets], pa.int64()),
-                     pa.array(sets, pa.list_(pa.int64())), part.column(0)],
-                    ["id", "tokens", "doc_id"])
+def whole_texts(docs: DataFrame, needed: DataFrame, repeated: bool) -> DataFrame:
+    """(id, text) of the classes in ``needed`` (id, doc_id) (stored).
 
-    made = (docs.join(needed.select("doc_id").distinct(), "doc_id", "semi")
-            .mapInArrow(run, "id long, tokens array<long>, doc_id long"))
-    first = needed.select("id", F.col("doc_id").alias("first"))
-    return stored(made.join(first, "id").where("doc_id = first").dropDuplicates(["id"])
-                  .select("id", "tokens"), "shingle-whole")
+    Up to ``FILTER_ROWS`` needed rows are broadcast to the scan; more are joined
+    by a shuffle. Texts are kept rather than sets: they compress, hashes do not.
+    """
+    if needed.count() <= FILTER_ROWS:
+        needed = F.broadcast(needed)
+    found = docs.join(needed, "doc_id").select("id", "text")
+    return stored(found.dropDuplicates(["id", "text"]) if repeated else found, "join-texts")
 
 
 def _pairs(shared: DataFrame, percent: int) -> DataFrame:
@@ -217,9 +211,23 @@ def _cells(shared: DataFrame, percent: int) -> DataFrame:
         F.greatest("own", "other").alias("second"), "own", "id")
 
 
-def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _own_sets(ids, texts, words: int) -> tuple[list[int], list[np.ndarray]]:
+    """The sets of the texts that have the class they came under."""
+    made = ((i, shingles(t, words)) for i, t in zip(ids, texts))
+    kept = {i: s for i, s in made if set_id(s) == i}
+    return list(kept), list(kept.values())
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _block_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Enough verified links to join what two blocks hold together."""
-    ids, sets = pdf["id"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]]
+    ids, sets = _own_sets(pdf["id"], pdf["text"], words)
+    if len(sets) < 2:
+        return pd.DataFrame([], columns=["u", "v"], dtype="int64")
     sizes = np.array([len(t) for t in sets], np.int64)
     kinds, which, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -247,8 +255,8 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
-             percent: int) -> DataFrame:
-    """Verified links (u, v) between classes."""
+             percent: int, repeated: bool) -> DataFrame:
+    """Verified links (u, v) between classes; ``repeated``: some ids come twice."""
     first = classes.select("id", F.col("doc_id").alias("first"))
     heads = stored(prefixes(docs, hot, words, percent).join(first, "id")
                    .where("doc_id = first").dropDuplicates(["id"])
@@ -267,14 +275,30 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
     cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent), "join-blocks")
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(
         cells.select("id")).distinct()
-    sets = whole_sets(docs, classes.join(wanted, "id", "semi").select("id", "doc_id"), words)
-    n_common = F.size(F.array_intersect("tokens_u", "tokens_v"))
-    verified = (pairs.join(sets.select(F.col("id").alias("u"), F.col("tokens").alias("tokens_u")), "u")
-                .join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("tokens_v")), "v")
-                .where(100 * n_common >= percent * (F.size("tokens_u") + F.size("tokens_v") - n_common))
-                .select("u", "v"))
-    in_cells = (cells.join(sets, "id").groupBy("cell", "band", "first", "second")
-                .applyInPandas(lambda pdf: _block_links(pdf, percent), "u long, v long"))
+    texts = whole_texts(docs, classes.join(wanted, "id", "semi").select("id", "doc_id"), repeated)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: dict[int, np.ndarray] = {}  # pairs come sorted, so sets repeat
+            kept = []
+            for u, v, *both in zip(*(c.to_pylist() for c in b.columns)):
+                if len(held) > 1_000:
+                    held.clear()
+                for i, text in zip((u, v), both):
+                    if i not in held:
+                        tokens = shingles(text, words)
+                        held[i] = tokens if set_id(tokens) == i else tokens[:0]
+                if len(held[u]) and len(held[v]) and _linked(held[u], held[v], percent):
+                    kept.append((u, v))
+            if kept:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*kept)], ["u", "v"])
+
+    verified = (pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+                .join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
+                .select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
+    in_cells = (cells.join(texts, "id").groupBy("cell", "band", "first", "second")
+                .applyInPandas(lambda pdf: _block_links(pdf, words, percent), "u long, v long"))
     return verified.union(in_cells)
 
 
@@ -291,7 +315,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = (seen.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
              .orderBy(F.col("seen").desc(), "token").limit(HOT_TOKENS).toPandas())
     hot = often.sort_values(["seen", "token"])["token"].to_numpy(np.int64)  # rarest first
-    found = components(links_of(read, classes, hot, words, percent))
+    repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
+    found = components(links_of(read, classes, hot, words, percent, repeated))
     named = (found.join(classes, found["node"] == classes["id"])
              .groupBy("root").agg(F.min("doc_id").alias("component")))
     rooted = (classes.join(found, classes["id"] == found["node"], "left").join(named, "root", "left")
