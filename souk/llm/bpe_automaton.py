@@ -53,10 +53,10 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 # The pre-splitting pattern of byte-level BPE.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+"
           r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+")
-TABLE_LIMIT = 400_000   # entries of a worker's tables before they are emptied
+TABLE_LIMIT = 200_000   # entries of a worker's tables before they are emptied
 KEPT_CHARS = 40         # longer chunks are encoded each time
 HEAD = 8                # bytes by which the labels at a position are looked up
-ROWS = 1_000            # rows of an output batch
+ROWS = 200              # rows of an output batch
 
 
 def byte_symbols() -> dict[str, int]:
@@ -76,8 +76,9 @@ class Automaton:
         self.ids = {label: t for t, label in labels.items()}
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        for time, (u, v, w) in enumerate(merges):
-            self.add_gadget(time, u, v, w)
+        self.gadgets = 0
+        for u, v, w in merges:
+            self.add_gadget(u, v, w)
         self.longest = max((len(x) for x in self.ids), default=1)
         self.long_heads = {x[:HEAD] for x in self.ids if len(x) > HEAD}
 
@@ -91,13 +92,17 @@ class Automaton:
         return cls({i: bytes(symbols[c] for c in s) for s, i in vocab.items() if s not in special},
                    [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
-    def add_gadget(self, time: int, u: int, v: int, w: int) -> None:
-        self.parts[w] = (u, v, time)
-        self.cut[u, v] = time
+    def add_gadget(self, u: int, v: int, w: int) -> None:
+        if self.has_arc(u, v):
+            self.parts[w] = (u, v, self.gadgets)
+            self.cut[u, v] = self.gadgets
+        else:  # u and v never meet, so no encoding holds w
+            self.ids.pop(self.labels[w], None)
+        self.gadgets += 1
 
     def has_arc(self, a: int, b: int) -> bool:
         """Whether label b may follow label a in a finished encoding."""
-        before = len(self.cut)  # gadgets from this time on do not count
+        before = self.gadgets  # gadgets from this time on do not count
         byte = (-1, -1, -1)
         while True:
             if self.cut.get((a, b), before) < before:

@@ -148,7 +148,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "do
     """The columns ``carry`` (the id by default) with lang_pred and score, from the text alone."""
     ship(docs.sparkSession)
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[n] for n in names], np.float64).reshape(len(names), DIMENSIONS)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = docs.sparkSession.sparkContext.broadcast(
         (names, np.divide(matrix, norms, out=matrix, where=norms > 0)))

@@ -110,11 +110,12 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return tables, now
 
 
-def ranked_leaves(nodes: DataFrame, summed: DataFrame, branches: int) -> DataFrame:
+def ranked_leaves(tables: list[DataFrame], summed: DataFrame, branches: int) -> DataFrame:
     """The ``branches`` best leaves of each tree: (tree, leaf, rank)."""
-    parents = nodes.select("tree", F.col("parent").alias("node")).where(
-        F.col("node").isNotNull())
-    leaves = summed.join(parents, ["tree", "node"], "anti")
+    leaves = summed
+    if tables:  # the first table holds the replies
+        leaves = summed.join(tables[0].select("tree", F.col("up").alias("node")),
+                             ["tree", "node"], "anti")
     best = Window.partitionBy("tree").orderBy(
         (F.col("total") / F.col("depth")).desc(), F.col("node"))
     return (leaves.withColumn("rank", F.row_number().over(best))
@@ -135,7 +136,7 @@ def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ship(nodes.sparkSession)
     nodes = stored(nodes, "tree-nodes")
     tables, summed = jump_tables(nodes.drop("role", "text"))
-    path = path_messages(tables, ranked_leaves(nodes.drop("role", "text"), summed, branches))
+    path = path_messages(tables, ranked_leaves(tables, summed, branches))
     turns = (path.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
              .groupBy("tree", "rank")
              .agg(F.sort_array(F.collect_list(F.struct("node", "role", "text"))).alias("turns")))
