@@ -59,7 +59,7 @@ LEVELS = 6             # most matches asked for
 COSTS = (0, 2, 8, 32, 128)  # one match more is asked for above each estimated cost
 HOT_TOKENS = 200_000   # frequent tokens that are put last (1.6 MB to broadcast)
 STRETCH = 3_000_000    # tokens counted at once while reading
-SMALL_LIST = 24        # documents of a list that are paired one by one
+SMALL_LIST = 64        # documents of a list that are paired one by one
 BLOCK = 512            # documents of a cell's block
 FILTER_ROWS = 1_000_000  # (class, document) rows that may be broadcast: 16 MB
 
