@@ -1,12 +0,0 @@
-"""Column-level helpers (built-in Spark expressions only)."""
-
-from souk.functions.buckets import (  # noqa: F401
-    DELAY_BUCKETS_5, DELAY_BUCKETS_7, EXCLUDED_PAYMENT_TYPES, EXCLUDED_STATUSES,
-    INSTALLMENT_BUCKETS, MIN_ITEMS_FREIGHT, MIN_ORDERS_ROUTE, MIN_REVIEWS_CATEGORY,
-    MIN_REVIEWS_PAYMENT, PARTIAL_MONTHS,
-)
-from souk.functions.exprs import (  # noqa: F401
-    bucket_label, bucket_order, delay_days, duration_days, exact_mean, has_text,
-    mean_days_from_seconds, money, money_mean, money_sum, on_time_flag, parse_ts, pct,
-    seconds_between,
-)

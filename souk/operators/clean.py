@@ -122,13 +122,14 @@ def clean_geolocation(raw_geolocation: DataFrame) -> DataFrame:
     also carries exact coordinate sums, finished by one aggregate per zip:
     the table is scanned once and only grouped rows (one per spelling) reach
     the second shuffle. Adding the per-spelling sums keeps the mean exact.
+    Rows without a zip prefix have no representative and give no row.
     """
     counts = _spelling_counts(raw_geolocation, with_sums=True)
     # Modal spelling: the smallest (-count, city, state), i.e. the highest
     # count, ties to the smallest (city, state) -- the rule of geo_mode.
     mode = F.min_by(F.struct("city", "state"),
                     F.struct((-F.col("cnt")).alias("c"), "city", "state"))
-    return (counts.groupBy("zip_code_prefix")
+    return (counts.where(F.col("zip_code_prefix").isNotNull()).groupBy("zip_code_prefix")
             .agg(*[(F.sum(f"_s_{c}").cast("double")
                     / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in ("lat", "lng")],
                  mode.alias("_mode"))

@@ -90,11 +90,13 @@ def profile_sample(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
 
 def reconcile_counts(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:
     """S3: source row count vs stored row count per table, and whether they match."""
-    rows = []
-    for name in source:
-        s = source[name].agg(F.count(F.lit(1)).alias("source_rows"))
-        t = stored[name].agg(F.count(F.lit(1)).alias("stored_rows"))
-        rows.append(s.select(F.lit(name).alias("table_name"), "source_rows")
-                    .join(t.select(F.lit(name).alias("table_name"), "stored_rows"),
-                          "table_name"))
-    return _union(rows).withColumn("matches", F.col("source_rows") == F.col("stored_rows"))
+    def counts(tables: Mapping[str, DataFrame], stored_side: bool) -> DataFrame:
+        one, no = F.count(F.lit(1)), F.lit(0).cast("long")
+        return _union([tables[name].agg(one.alias("n")).select(
+            F.lit(name).alias("table_name"), (no if stored_side else F.col("n")).alias("s"),
+            (F.col("n") if stored_side else no).alias("t")) for name in source])
+
+    both = counts(source, False).unionByName(counts(stored, True))
+    return (both.groupBy("table_name").agg(F.sum("s").alias("source_rows"),
+                                           F.sum("t").alias("stored_rows"))
+            .withColumn("matches", F.col("source_rows") == F.col("stored_rows")))

@@ -10,6 +10,7 @@ source files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from souk.operators import profile as P
 from souk.plans.build import build_and_export, ingest_raw, stage_csv
@@ -61,7 +62,8 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_sizes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "marts")
     build_and_export(_raw(spark, sf_dir), base, TEST_PARAMS)
-    return export_sizes(spark, base)
+    return export_sizes(spark, base).select(
+        "export_order", "mart", "num_files", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
 def mart_load(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,14 +71,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared scratch folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names a shared file system folder and is
-    only read here. When it is unset (a local test run) a private folder
-    under the system temp dir is created and set for this session.
+    only read here. When it is unset, a local session gets a private folder
+    under the system temp dir; any other master raises ``ValueError``.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = _spark_context(spark)
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="souk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None and sc.getCheckpointDir() is None:

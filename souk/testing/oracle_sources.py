@@ -103,6 +103,13 @@ def _manifest() -> str:
                    for i, n in enumerate(exported, start=1)])
 
 
+def _sizes() -> str:
+    """One non-empty file per exported mart."""
+    exported = [n for n, _, e in _VIEWS if e]
+    return _union([f"SELECT {i} AS export_order, '{n}' AS mart, CAST(1 AS BIGINT) AS num_files, "
+                   "TRUE AS has_bytes" for i, n in enumerate(exported, start=1)])
+
+
 def _sample(table: str) -> str:
     key = list(RAW_KEYS[table])
     order = key + [f.name for f in RAW_SCHEMAS[table].fields if f.name not in key]
@@ -131,5 +138,6 @@ def source_oracle_sql() -> dict[str, str]:
         "view_catalog": with_ctes(_catalog()),
         "mart_export": with_ctes("SELECT * FROM logistics_route_performance"),
         "export_manifest": with_ctes(_manifest()),
+        "export_sizes": _sizes(),
         "mart_load": with_ctes("SELECT * FROM reviews_score_by_payment"),
     }

@@ -153,3 +153,17 @@ def test_durations_ignore_session_time_zone(spark):
         assert (r["delivery_delay_days"], r["is_on_time"]) == (0, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_clean_geolocation_has_no_row_for_a_null_zip(spark):
+    from souk.operators.clean import clean_geolocation
+    from souk.schemas import RAW_SCHEMAS
+    schema = RAW_SCHEMAS["raw_geolocation"]
+    row = {"geolocation_lat": 1.0, "geolocation_lng": 2.0, "geolocation_city": "c",
+           "geolocation_state": "s"}
+    zips = [f for f in schema.fields if f.name == "geolocation_zip_code_prefix"]
+    known = "7" if zips[0].dataType.simpleString() == "string" else 7
+    rows = [tuple({**row, "geolocation_zip_code_prefix": z}[f.name] for f in schema.fields)
+            for z in (None, known)]
+    got = clean_geolocation(spark.createDataFrame(rows, schema)).collect()
+    assert [r.zip_code_prefix for r in got] == [known]
