@@ -186,6 +186,7 @@ def test_op6_equals_all_pairs(spark, edge, none, monkeypatch):
         texts.append(" ".join(w))
     group = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     monkeypatch.setattr(adapt_join, "BLOCK", 16)
+    monkeypatch.setattr(adapt_join, "SMALL_LIST", 8)
     for docs in (edge.select("doc_id", "text"), group, edge.select("doc_id", "text").union(group)):
         got = adapt_join.similar_components(docs).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(
