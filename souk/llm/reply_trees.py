@@ -99,14 +99,15 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
                   ["tree", "node"], "left"))
     now = stored(base.withColumn("depth", F.lit(1).cast("long")), "tree-jump")
     tables = []
-    while not now.where(F.col("up").isNotNull()).isEmpty():
-        tables.append(now.where(F.col("up").isNotNull()).select("tree", "node", "up"))
+    while not (going := now.where(F.col("up").isNotNull())).isEmpty():
+        tables.append(going.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
                            F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        now = stored(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            F.col("up2").alias("up"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "tree-jump")
+        # nodes that have reached their root are done and joined no more
+        further = going.join(above, ["tree", "up"]).select(
+            "tree", "node", (F.col("total") + F.col("total2")).alias("total"),
+            F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        now = stored(now.where(F.col("up").isNull()).unionByName(further), "tree-jump")
     return tables, now
 
 
