@@ -11,7 +11,8 @@ each shard is a file of records of one size, in slot order. A reader seeks to
 
 Sequences are the documents' ids, each document closed by an end id, laid end
 to end within a partition and cut; only a partition's last sequence is padded.
-Counting comes first and reads the texts once more: nothing is stored between.
+They are written to the shared scratch folder once, with partition and number,
+so that texts are tokenized once and a number stays with its sequence.
 
 Shards are written to a shared folder under the name of the shard and the
 attempt, then renamed; a task that runs again puts the same bytes in place.
@@ -29,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import Broadcast, TaskContext
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.bpe_automaton import read_spec
-from souk.llm.common import ship
+from souk.llm.common import ship, stored
 from souk.llm.packing import worker_words
 
 LENGTH = 2048            # ids of a sequence
@@ -112,31 +114,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 1
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_kind = read.schema["doc_id"].dataType.simpleString()
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        n = sum(len(ids) for _, ids in _token_rows(batches, spec, end_id))
-        n = -(-n // (2 * length))
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
-
-    counts = {r.part: r.n for r in read.mapInArrow(counted, "part long, n long").collect()}
-    starts, total = {}, 0
-    for part in sorted(counts):  # one number per partition of the input
-        starts[part] = total
-        total += counts[part]
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         part, sequences, out = TaskContext.get().partitionId(), Sequences(length), []
         kind = None
 
         def made() -> pa.RecordBatch:
-            slots = feistel_slots(np.array([starts[part] + x[0] for x in out]), total, key)
-            cols = [pa.array(slots // shard_records), pa.array(slots),
+            cols = [pa.array([part] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
                     pa.array([[*dict.fromkeys(x[1])] for x in out], pa.list_(kind)),
                     pa.array([x[2] for x in out], pa.binary())]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["shard", "slot", "doc_ids", "ids"])
+            return pa.RecordBatch.from_arrays(cols, ["part", "local", "doc_ids", "ids"])
 
         def seen() -> Iterator[pa.RecordBatch]:
             nonlocal kind
@@ -153,10 +141,25 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 1
         if out:
             yield made()
 
+    held = stored(read.mapInArrow(cut, f"part long, local long, doc_ids array<{doc_kind}>, ids binary"),
+                  "sequences", codec="zstd")
+    counts = {r.part: r.n for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = {}, 0
+    for part in sorted(counts):  # one number per partition of the input
+        starts[part] = total
+        total += counts[part]
+    shared = docs.sparkSession.sparkContext.broadcast((starts, total))
+
+    @F.pandas_udf("long")
+    def slot_of(part: pd.Series, local: pd.Series) -> pd.Series:
+        starts, total = shared.value
+        numbers = part.map(starts).to_numpy(np.int64) + local.to_numpy(np.int64)
+        return pd.Series(feistel_slots(numbers, total, key))
+
     shards = -(-total // shard_records) or 1
     tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = (read.mapInArrow(numbered, f"shard long, slot long, doc_ids array<{doc_kind}>, "
-                                        "ids binary")
+    placed = (held.select(slot_of("part", "local").alias("slot"), "doc_ids", "ids")
+              .select(F.floor(F.col("slot") / shard_records).alias("shard"), "slot", "doc_ids", "ids")
               .repartitionById(tasks, (F.col("shard") * tasks / shards).cast("int"))
               .sortWithinPartitions("slot"))
 
