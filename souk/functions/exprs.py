@@ -10,7 +10,7 @@ get silently wrong:
 * delay in days is elapsed time truncated toward zero (23 h late is 0,
   25 h early is -1), not a calendar-day difference;
 * on-time compares exact instants, independently of the delay;
-* money is summed exactly as integer cents, so totals and averages do
+* money is summed exactly in whole millionths, so totals and averages do
   not depend on how rows are split across tasks.
 """
 
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
 
-# Money has two decimals. Sums run on whole cents (64-bit integers), so they
-# are exact and independent of partitioning and task order, and stay on
-# primitive arithmetic inside generated code (no per-row BigDecimal).
-MONEY_TYPE = "decimal(18,2)"
-CENTS_PER_UNIT = 100.0
+# Money is summed in whole millionths of a unit, so sums are exact and do not
+# depend on partitioning or task order. An amount beyond 9.2e12 units raises
+# (64 bits); the sums are decimals and hold any number of such amounts.
+UNITS = 1_000_000.0
 # Fixed-point type for exact sums of doubles (coordinates, rounded means):
 # 14 decimals, 24 integer digits.
 FIXED_TYPE = "decimal(38,14)"
@@ -90,28 +89,37 @@ def has_text(c: Column | str) -> Column:
     return F.when(c.isNotNull() & (F.trim(c) != F.lit("")), F.lit(1)).otherwise(F.lit(0))
 
 
-def money(c: Column | str) -> Column:
-    return col_(c).cast(MONEY_TYPE)
+def money_units(c: Column | str) -> Column:
+    """A money amount in whole millionths (nearest), ready for an exact sum."""
+    return F.rint(col_(c) * F.lit(UNITS)).cast("long").cast("decimal(19,0)")
 
 
-def cents(c: Column | str) -> Column:
-    """A money amount as whole cents (nearest; amounts carry two decimals)."""
-    return F.rint(col_(c) * F.lit(CENTS_PER_UNIT)).cast("long")
-
-
-def from_cents(total_cents: Column) -> Column:
-    """Cents -> currency units as the correctly rounded double."""
-    return total_cents.cast("double") / F.lit(CENTS_PER_UNIT)
+def from_units(total: Column) -> Column:
+    """Millionths -> currency units as a double."""
+    return total.cast("double") / F.lit(UNITS)
 
 
 def money_sum(c: Column | str) -> Column:
     """Exact total of a money column, returned as double."""
-    return from_cents(F.sum(cents(c)))
+    return from_units(F.sum(money_units(c)))
 
 
 def money_mean(c: Column | str) -> Column:
     """Mean of a money column over its non-NULL values, from an exact sum."""
-    return from_cents(F.sum(cents(c))) / F.nullif(F.count(col_(c)), F.lit(0))
+    return from_units(F.sum(money_units(c))) / F.nullif(F.count(col_(c)), F.lit(0))
+
+
+def fixed_sums(c: Column | str, fixed_type: str = FIXED_TYPE) -> tuple[Column, Column, Column]:
+    """Aggregates of a double column: exact fixed-point sum of what fits the
+    type, sum of what does not (Infinity, NaN, 1e24 and more), non-NULL count."""
+    c = col_(c)
+    fits = F.abs(c) < F.lit(1e24)
+    return (F.sum(F.when(fits, c).cast(fixed_type)), F.sum(F.when(~fits, c)), F.count(c))
+
+
+def fixed_mean(exact: Column, beyond: Column, n: Column) -> Column:
+    """Mean from ``fixed_sums``; values that do not fit decide it alone."""
+    return F.coalesce(beyond, exact.cast("double")) / F.nullif(n, F.lit(0))
 
 
 def exact_mean(c: Column | str, fixed_type: str = FIXED_TYPE) -> Column:
@@ -120,8 +128,7 @@ def exact_mean(c: Column | str, fixed_type: str = FIXED_TYPE) -> Column:
     Unlike ``avg(double)`` the result does not depend on the order in which
     partial sums are combined, so reruns on a different cluster agree.
     """
-    return (F.sum(col_(c).cast(fixed_type)).cast("double")
-            / F.nullif(F.count(col_(c)), F.lit(0)))
+    return fixed_mean(*fixed_sums(c, fixed_type))
 
 
 def mean_days_from_seconds(secs: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
 from souk.functions.exprs import (
-    FIXED_TYPE, delay_days, duration_days, exact_mean, has_text, on_time_flag, parse_ts,
+    delay_days, duration_days, exact_mean, fixed_mean, fixed_sums, has_text, on_time_flag, parse_ts,
 )
 
 
@@ -87,8 +87,7 @@ def _spelling_counts(raw_geolocation: DataFrame, with_sums: bool = False) -> Dat
     aggs = [F.count(F.lit(1)).alias("cnt")]
     if with_sums:
         for c, name in (("geolocation_lat", "lat"), ("geolocation_lng", "lng")):
-            aggs += [F.sum(F.col(c).cast(FIXED_TYPE)).alias(f"_s_{name}"),
-                     F.count(c).alias(f"_n_{name}")]
+            aggs += [x.alias(f"{part}_{name}") for part, x in zip(("_s", "_x", "_n"), fixed_sums(c))]
     return (raw_geolocation
             .groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix"),
                      F.col("geolocation_city").alias("city"),
@@ -130,8 +129,8 @@ def clean_geolocation(raw_geolocation: DataFrame) -> DataFrame:
     mode = F.min_by(F.struct("city", "state"),
                     F.struct((-F.col("cnt")).alias("c"), "city", "state"))
     return (counts.where(F.col("zip_code_prefix").isNotNull()).groupBy("zip_code_prefix")
-            .agg(*[(F.sum(f"_s_{c}").cast("double")
-                    / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in ("lat", "lng")],
+            .agg(*[fixed_mean(*(F.sum(f"{part}_{c}") for part in ("_s", "_x", "_n"))).alias(c)
+                   for c in ("lat", "lng")],
                  mode.alias("_mode"))
             .select("zip_code_prefix", "lat", "lng",
                     F.col("_mode.city").alias("city"), F.col("_mode.state").alias("state")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
 from souk.functions.exprs import (
-    Bucket, bucket_label, bucket_order, mean_days_from_seconds, money_mean, pct,
+    SECONDS_PER_DAY, Bucket, bucket_label, bucket_order, mean_days_from_seconds, money_mean, pct,
     seconds_between,
 )
 
@@ -87,14 +87,19 @@ def logistics_route_performance(orders: DataFrame, items: DataFrame, sellers: Da
     s = sellers.select("seller_id", "seller_state")
     c = customers.select("customer_id", "customer_state")
     # Look up each state at its own grain (customer per order, seller per
-    # item), then join the two on order_id. Item rows are shuffled by
-    # order_id, and by seller_id only if the sellers are too big to
-    # broadcast; they are never re-shuffled for the customer lookup.
-    j = o.join(c, "customer_id").join(i.join(s, "seller_id"), "order_id")
-    agg = j.groupBy("seller_state", "customer_state").agg(
-        F.count(F.lit(1)).alias("num_orders"),
-        F.round(mean_days_from_seconds("_dur_s"), 1).alias("avg_delivery_days"),
-        F.round(pct(F.sum("is_on_time"), F.count(F.lit(1))), 1).alias("pct_on_time"))
+    # item); items are counted per order and seller state before the join on
+    # order_id, so an order holding a large share of all items is combined
+    # map-side and its few rows are weighted by their counts.
+    sent = (i.join(s, "seller_id").groupBy("order_id", "seller_state")
+            .agg(F.count(F.lit(1)).alias("_items")))
+    w = F.col("_items")
+    timed = F.sum(F.when(F.col("_dur_s").isNotNull(), w))
+    agg = (o.join(c, "customer_id").join(sent, "order_id")
+           .groupBy("seller_state", "customer_state").agg(
+               F.sum(w).alias("num_orders"),
+               F.round(F.sum(F.col("_dur_s") * w).cast("double") / F.nullif(timed, F.lit(0))
+                       / F.lit(float(SECONDS_PER_DAY)), 1).alias("avg_delivery_days"),
+               F.round(pct(F.sum(F.col("is_on_time") * w), F.sum(w)), 1).alias("pct_on_time")))
     return (agg.where(F.col("num_orders") >= min_orders)
             .orderBy(F.col("avg_delivery_days").desc_nulls_last(),
                      F.col("seller_state").asc_nulls_first(),

@@ -7,10 +7,10 @@ order paid in two parts counts once per payment row.
 Those pair counts are computed without emitting the pairs. Reviews are first
 reduced to one row per order (reviews, score sum, scored reviews); that
 partial aggregate is shuffled by ``order_id``, the key the join needs anyway,
-so it costs no extra exchange. Each order, item or payment row then adds its
-order's totals. The result equals COUNT(*) and AVG over the pair join, and
-the join output stays linear even if one order holds a large share of all
-items, payments and reviews.
+so it costs no extra exchange. Items and payments are counted per order and
+group before the join, and each of those rows adds its order's totals times its
+count. The result equals COUNT(*) and AVG over the pair join, and an order that
+holds a large share of all items, payments or reviews is combined map-side.
 """
 
 from __future__ import annotations
@@ -32,12 +32,13 @@ def _reviews_per_order(reviews: DataFrame) -> DataFrame:
         F.count("review_score").alias("_scored"))
 
 
-def _pair_stats() -> list[Column]:
+def _pair_stats(weight: Column | None = None) -> list[Column]:
     """COUNT(*) and AVG(score) over review x row pairs, from per-order totals."""
+    w = F.lit(1) if weight is None else weight
     return [
-        F.sum("_reviews").alias("num_reviews"),
-        F.round(F.sum("_score_sum").cast("double")
-                / F.nullif(F.sum("_scored"), F.lit(0)), 2).alias("avg_review_score"),
+        F.sum(F.col("_reviews") * w).alias("num_reviews"),
+        F.round(F.sum(F.col("_score_sum") * w).cast("double")
+                / F.nullif(F.sum(F.col("_scored") * w), F.lit(0)), 2).alias("avg_review_score"),
     ]
 
 
@@ -73,9 +74,10 @@ def reviews_score_by_category(reviews: DataFrame, items: DataFrame, products: Da
     """(review x item) rows and mean score per category."""
     j = (items.select("order_id", "product_id")
          .join(products.select("product_id", "category_english"), "product_id")
+         .groupBy("order_id", "category_english").agg(F.count(F.lit(1)).alias("_items"))
          .join(_reviews_per_order(reviews), "order_id"))
     return (j.groupBy("category_english")
-            .agg(*_pair_stats())
+            .agg(*_pair_stats(F.col("_items")))
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("avg_review_score").asc_nulls_first(),
                      F.col("category_english").asc_nulls_first()))
@@ -89,9 +91,11 @@ def reviews_score_by_payment(reviews: DataFrame, payments: DataFrame,
         "order_id", "payment_type",
         bucket_label(bucket_order("payment_installments", buckets), buckets)
         .alias("installments_bucket"))
-    j = p.join(_reviews_per_order(reviews), "order_id")
+    j = (p.groupBy("order_id", "payment_type", "installments_bucket")
+         .agg(F.count(F.lit(1)).alias("_payments"))
+         .join(_reviews_per_order(reviews), "order_id"))
     return (j.groupBy("payment_type", "installments_bucket")
-            .agg(*_pair_stats())
+            .agg(*_pair_stats(F.col("_payments")))
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("payment_type").asc_nulls_first(),
                      F.col("installments_bucket").asc_nulls_first()))

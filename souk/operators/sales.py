@@ -1,6 +1,6 @@
 """Sales marts (M1-M4).
 
-Revenue is ``price + freight`` per item, summed exactly as whole cents.
+Revenue is ``price + freight`` per item, summed exactly in millionths.
 ``num_orders`` is an exact distinct count of order ids.
 
 Plan shape (M1, M3): items are first reduced to one row per order (a
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
-from souk.functions.exprs import cents, from_cents, money_sum
+from souk.functions.exprs import from_units, money_sum, money_units
 
 
 def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
@@ -29,11 +29,11 @@ def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataF
 
 def _revenue_per_order(items: DataFrame) -> DataFrame:
     return (items.groupBy("order_id")
-            .agg(F.sum(cents("item_total_value")).alias("_rev")))
+            .agg(F.sum(money_units("item_total_value")).alias("_rev")))
 
 
 def _aov_columns(num_orders: str, rev: str) -> list:
-    total = from_cents(F.col(rev))
+    total = from_units(F.col(rev))
     return [
         F.col(num_orders),
         total.alias("total_revenue"),
@@ -59,23 +59,27 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
                       excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
     """M2: orders, items sold, revenue and mean item price per category.
 
-    Counts and sums are over (item x qualifying order row) pairs. The orders
-    are reduced to one row per order_id with their row count (a partial
-    aggregate shuffled by the join key), and each item is weighted by it,
-    so no pair rows are emitted even if an order id repeats.
+    Counts and sums are over (item x qualifying order row) pairs. Items are
+    reduced to one row per order and category before the order join, so that
+    an order holding a large share of all items is combined map-side; those
+    rows are weighted by the number of order rows, so no pair rows are emitted
+    even if an order id repeats. The distinct orders are then a row count.
     """
     o = (_placed_orders(orders, excluded_statuses)
          .groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")))
     i = items.select("order_id", "product_id", "price", "item_total_value")
     p = products.select("product_id", "category_english")
-    j = i.join(p, "product_id").join(o, "order_id")
+    sold = i.join(p, "product_id").groupBy("order_id", "category_english").agg(
+        F.count(F.lit(1)).alias("_items"), F.count("price").alias("_priced"),
+        F.sum(money_units("price")).alias("_price"),
+        F.sum(money_units("item_total_value")).alias("_value"))
     w = F.col("_rows")
-    priced = F.sum(F.when(F.col("price").isNotNull(), w))
-    return (j.groupBy("category_english")
-            .agg(F.countDistinct("order_id").alias("num_orders"),
-                 F.sum(w).alias("num_items_sold"),
-                 from_cents(F.sum(cents("item_total_value") * w)).alias("total_revenue"),
-                 F.round(from_cents(F.sum(cents("price") * w)) / F.nullif(priced, F.lit(0)), 2)
+    return (sold.join(o, "order_id").groupBy("category_english")
+            .agg(F.count(F.lit(1)).alias("num_orders"),
+                 F.sum(F.col("_items") * w).alias("num_items_sold"),
+                 from_units(F.sum(F.col("_value") * w)).alias("total_revenue"),
+                 F.round(from_units(F.sum(F.col("_price") * w))
+                         / F.nullif(F.sum(F.col("_priced") * w), F.lit(0)), 2)
                  .alias("avg_item_price"))
             .orderBy(F.col("total_revenue").desc_nulls_last(),
                      F.col("category_english").asc_nulls_first()))

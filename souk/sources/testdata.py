@@ -5,8 +5,9 @@ derived from the given Parquet tables with Spark (joins, grouping,
 projections); the work therefore grows with the input. The mapping puts
 every semantic corner case of the cleaning layer into the data: NULL and
 blank comment text, orders without delivery, untranslated and missing
-categories, installments of 0, a placeholder payment type, and ties in the
-most frequent spelling of a zip prefix.
+categories, installments of 0, a placeholder payment type, several payments
+and reviews per order, reviews without order, prices below a cent, missing zip
+prefixes, and ties in the most frequent spelling of a zip prefix.
 
 Identifiers stay the driver's integer keys (joins on longs are cheaper than
 on strings); dates are rendered as text and parsed again by the cleaning
@@ -121,7 +122,8 @@ class DriverTables(Mapping):
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
             _text(F.col("l_shipdate")).alias("shipping_limit_date"),
-            F.col("l_extendedprice").alias("price"),
+            # every other line carries half a cent
+            (F.col("l_extendedprice") + (F.col("l_linenumber") % 2) * F.lit(0.005)).alias("price"),
             freight.alias("freight_value"),
         )
 
@@ -175,12 +177,15 @@ class DriverTables(Mapping):
 
     @cached_property
     def raw_order_payments(self) -> DataFrame:
-        o = self.table("orders")
+        # one to three payments per order, all but the first by voucher
+        o = self.table("orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.explode(
+            F.sequence(F.lit(1).cast("long"), 1 + F.col("o_orderkey") % 3)).alias("_seq"))
         return o.select(
             F.col("o_orderkey").alias("order_id"),
-            F.lit(1).cast("long").alias("payment_sequential"),
-            F.col("o_orderpriority").alias("payment_type"),
-            (F.col("o_orderkey") % 13).cast("long").alias("payment_installments"),
+            F.col("_seq").alias("payment_sequential"),
+            F.when(F.col("_seq") == 1, F.col("o_orderpriority")).otherwise(F.lit("9-VOUCHER"))
+            .alias("payment_type"),
+            ((F.col("o_orderkey") + F.col("_seq") - 1) % 13).alias("payment_installments"),
             F.col("o_totalprice").alias("payment_value"),
         )
 
@@ -195,7 +200,9 @@ class DriverTables(Mapping):
                    .when(et == F.lit("click"), F.lit("")).otherwise(F.col("props")))
         return e.select(
             F.col("event_id").alias("review_id"),
-            F.col("event_id").alias("order_id"),
+            # up to three reviews per order; some name no order
+            F.when(F.col("event_id") % 50 != 0, F.col("event_id") - F.col("event_id") % 3)
+            .alias("order_id"),
             score.cast("long").alias("review_score"),
             title.alias("review_comment_title"),
             message.alias("review_comment_message"),
@@ -207,7 +214,7 @@ class DriverTables(Mapping):
     def raw_geolocation(self) -> DataFrame:
         e = self.table("events")
         return e.select(
-            F.col("user_id").alias("geolocation_zip_code_prefix"),
+            F.when(F.col("event_id") % 50 != 0, F.col("user_id")).alias("geolocation_zip_code_prefix"),
             F.col("value").alias("geolocation_lat"),
             (-F.col("value")).alias("geolocation_lng"),
             F.col("event_type").alias("geolocation_city"),
