@@ -167,3 +167,14 @@ def test_clean_geolocation_has_no_row_for_a_null_zip(spark):
             for z in (None, known)]
     got = clean_geolocation(spark.createDataFrame(rows, schema)).collect()
     assert [r.zip_code_prefix for r in got] == [known]
+
+
+def test_sums_below_a_cent_and_means_of_infinity(spark):
+    from souk.functions.exprs import exact_mean, money_mean, money_sum
+    r = spark.range(1000).selectExpr("0.125D as x").agg(
+        money_sum("x").alias("s"), money_mean("x").alias("m")).first()
+    assert (r.s, r.m) == (125.0, 0.125)
+    inf = float("inf")
+    rows = spark.createDataFrame([(1, inf), (1, 1.0), (2, 1.0), (2, 2.0), (3, None)], "k int, x double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(exact_mean("x").alias("m")).collect()}
+    assert got == {1: inf, 2: 1.5, 3: None}
