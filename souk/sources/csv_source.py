@@ -1,9 +1,10 @@
 """CSV source for the nine raw tables (S1) and raw materialization.
 
-Ingestion reads every column as text with the declared column names, turns
-the pandas-style missing-value tokens into NULL, then converts each column
-to its declared type with ``try_cast`` (a token such as ``NA`` in a numeric
-column becomes NULL instead of failing the job). Only tables whose text
+Ingestion reads every column as text and takes it by its name in the header
+(a missing or unknown name raises, and every file's header must agree), turns
+the pandas-style missing-value tokens into NULL, then converts each column to
+its declared type with ``try_cast`` (text that is no number becomes NULL
+instead of failing the job; ``3.0`` is the integer 3). Only tables whose text
 fields may span lines are read with ``multiLine``; the others stay
 splittable, so a large file is read by many tasks in parallel.
 """
@@ -25,27 +26,61 @@ def normalize_na(c: Column | str) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
+def _typed(field: T.StructField) -> Column:
+    text = normalize_na(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    exact = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number).try_cast(field.dataType)
+        exact = F.coalesce(exact, whole)
+    return exact
+
+
+def _typed(field: T.StructField) -> Column:
+    text = normalize_na(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    exact = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number).try_cast(field.dataType)
+        exact = F.coalesce(exact, whole)
+    return exact
+
+
+def _typed(field: T.StructField) -> Column:
+    text = normalize_na(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    exact = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number).try_cast(field.dataType)
+        exact = F.coalesce(exact, whole)
+    return exact
+
+
 def read_raw_csv(spark: SparkSession, path: str, table: str,
                  schema: T.StructType | None = None,
                  multiline: bool | None = None) -> DataFrame:
     """Read one raw CSV (file or folder) with a header into its declared schema."""
     schema = schema or RAW_SCHEMAS[table]
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
     if multiline is None:
         multiline = table in MULTILINE_TABLES
-    df = (spark.read
-          .schema(text_schema)
-          .option("header", True)
-          .option("quote", '"')
-          .option("escape", '"')
-          .option("multiLine", multiline)
-          .option("mode", "PERMISSIVE")
-          .csv(path))
-    return df.select([
-        (normalize_na(f.name) if isinstance(f.dataType, T.StringType)
-         else normalize_na(f.name).try_cast(f.dataType)).alias(f.name)
-        for f in schema
-    ])
+    reader = (spark.read
+              .option("header", True)
+              .option("quote", '"')
+              .option("escape", '"')
+              .option("multiLine", multiline)
+              .option("mode", "PERMISSIVE"))
+    header = reader.csv(path).columns or schema.names
+    if sorted(header) != sorted(schema.names):
+        raise ValueError(f"{table}: header {header} does not have the columns {schema.names}")
+    text_schema = T.StructType([T.StructField(name, T.StringType(), True) for name in header])
+    df = reader.schema(text_schema).option("enforceSchema", False).csv(path)
+    return df.select([_typed(f).alias(f.name) for f in schema])
 
 
 def read_raw_folder(spark: SparkSession, folder: str,

@@ -84,3 +84,42 @@ def test_profile_handles_odd_column_names(spark):
     df = spark.createDataFrame([(None, 1)], "`it's` string, `a\\\\b` int")
     rows = P.profile_nulls({"t": df}).collect()
     assert [(r["column_name"], r["null_count"]) for r in rows] == [("it's", 1)]
+
+
+def test_csv_columns_are_taken_by_header_name(spark, tmp_path):
+    from souk.sources.csv_source import read_raw_csv
+    path = tmp_path / "sellers.csv"
+    path.write_text("seller_state,seller_id,seller_zip_code_prefix,seller_city\n"
+                    "SP,a,100.0,campinas\nRJ,b,7.5,rio\n")
+    got = sorted(map(tuple, read_raw_csv(spark, str(path), "raw_sellers").collect()))
+    assert got == [("a", 100, "campinas", "SP"), ("b", None, "rio", "RJ")]
+    path = tmp_path / "bad.csv"
+    path.write_text("seller_state,seller_id,zip,seller_city\nSP,a,100,campinas\n")
+    with pytest.raises(ValueError):
+        read_raw_csv(spark, str(path), "raw_sellers")
+
+
+def test_csv_columns_are_taken_by_header_name(spark, tmp_path):
+    from souk.sources.csv_source import read_raw_csv
+    path = tmp_path / "sellers.csv"
+    path.write_text("seller_state,seller_id,seller_zip_code_prefix,seller_city\n"
+                    "SP,a,100.0,campinas\nRJ,b,7.5,rio\n")
+    got = sorted(map(tuple, read_raw_csv(spark, str(path), "raw_sellers").collect()))
+    assert got == [("a", 100, "campinas", "SP"), ("b", None, "rio", "RJ")]
+    path = tmp_path / "bad.csv"
+    path.write_text("seller_state,seller_id,zip,seller_city\nSP,a,100,campinas\n")
+    with pytest.raises(ValueError):
+        read_raw_csv(spark, str(path), "raw_sellers")
+
+
+def test_csv_columns_are_taken_by_header_name(spark, tmp_path):
+    from souk.sources.csv_source import read_raw_csv
+    path = tmp_path / "sellers.csv"
+    path.write_text("seller_state,seller_id,seller_zip_code_prefix,seller_city\n"
+                    "SP,a,100.0,campinas\nRJ,b,7.5,rio\n")
+    got = sorted(map(tuple, read_raw_csv(spark, str(path), "raw_sellers").collect()))
+    assert got == [("a", 100, "campinas", "SP"), ("b", None, "rio", "RJ")]
+    path = tmp_path / "bad.csv"
+    path.write_text("seller_state,seller_id,zip,seller_city\nSP,a,100,campinas\n")
+    with pytest.raises(ValueError):
+        read_raw_csv(spark, str(path), "raw_sellers")
