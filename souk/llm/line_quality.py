@@ -6,10 +6,10 @@ of the base rules and a compact record of its lines: the 128-bit hash of
 counts, per host, the distinct documents that hold a line; exact copies of a
 document count once, so a much-copied page does not turn its own lines into
 furniture. A line is removed when it stands in at least ``min_docs`` distinct
-documents and in more than ``max_share`` of its host's documents. Lines of more
-than ``max_line_chars`` characters are passages, not furniture, and stay; so do
-lines without a word. A document that loses more than ``max_removed`` of its
-words is depleted and rejected, and so is one that fails the base rules.
+documents and in more than ``max_share`` of its host's documents, whatever its
+length; lines without a word stay. A document that loses more than
+``max_removed`` of its words is depleted and rejected, and so is one that fails
+the base rules.
 
 Shuffled are line hashes and row digests, never texts. Line counts combine
 before the shuffle, first by (line, document), then by line, so one line that
@@ -37,12 +37,11 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class LineRules:
-    min_words: int = 50        # fewer words: rejected
-    max_repeat_pct: int = 50   # more of the words in repeated windows: rejected
-    min_docs: int = 10         # a removed line stands in this many documents of its host
-    max_share: float = 0.01    # ... and in more than this share of them
-    max_line_chars: int = 300  # longer lines are never removed
-    max_removed: float = 0.5   # a larger share of removed words: rejected
+    min_words: int = 50       # fewer words: rejected
+    max_repeat_pct: int = 50  # more of the words in repeated windows: rejected
+    min_docs: int = 10        # a removed line stands in this many documents of its host
+    max_share: float = 0.01   # ... and in more than this share of them
+    max_removed: float = 0.5  # a larger share of removed words: rejected
 
 
 def _window_hashes(words: Column) -> Column:
@@ -87,7 +86,7 @@ def _covered(starts: Column) -> Column:
 
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             host_col: str = "source", rules: LineRules = LineRules()) -> DataFrame:
-    """One row per document: base counts, digests and its short lines (stored)."""
+    """One row per document: base counts, digests and its lines (stored)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"),
                         F.col(text_col).alias("text"))
@@ -114,7 +113,6 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(x["number"].alias("number"),
                         F.size(F.split(line, " ")).alias("n"), *digest128("line", F.col("host"), line))
 
-    short = F.filter("lines", lambda x: F.length(x["line"]) <= rules.max_line_chars)
     plain = F.transform("lines", lambda x: x["line"])
     measured = starts.select(
         "doc_id", "row_a", "row_b", "host", "doc_hash",
@@ -123,7 +121,7 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct(plain))).cast("long").alias("n_dup_lines"),
         _covered(F.col("starts")).cast("long").alias("n_repeat_words"),
-        F.transform(short, line_key).alias("lines"))
+        F.transform("lines", line_key).alias("lines"))
     failed = ((F.col("n_words") < rules.min_words)
               | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
     return stored(measured.withColumn("base_failed", failed), "line-profile")
