@@ -14,7 +14,7 @@ Prefixes. With n tokens, at least t = ceil(0.9 n) of which any partner shares,
 two partners have at least l tokens in common in their first n - t + l tokens.
 A document whose tokens lead to many others (the estimated candidate cost, the
 sum of its tokens' lists) takes a longer prefix and asks for more matches, up
-to ``LEVELS``; a pair uses the smaller of its two levels. Pairs that their
+to ``LEVELS`` and never more than t; a pair uses the smaller of its two levels. Pairs that their
 sizes or the places of a common token rule out are not made.
 
 Lists. A token's list of up to ``SMALL_LIST`` documents gives pairs, which are
@@ -270,7 +270,9 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
     asked = F.lit(1)
     for c in COSTS:
         asked = asked + (F.coalesce("cost", F.lit(0)) > c).cast("int")
-    shared_cost = shared.join(cost, "id", "left").withColumn("asked", asked)
+    least = F.col("n") - F.floor((100 - percent) * F.col("n") / 100)  # any partner shares so many
+    shared_cost = shared.join(cost, "id", "left").withColumn(
+        "asked", F.least(asked, least.cast("int")))
     pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs")
     cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent), "join-blocks")
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(
