@@ -23,6 +23,8 @@ from souk.llm.queries import WORD_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.05   # a smaller cosine with every language: rejected
+COPY_WORDS = 5              # words of a shingle of the near-duplicate stage
+COPY_PERCENT = 80           # least similarity of near copies
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near copies, the document with the least id."""
-    found = adapt_join.similar_components(docs)
+    found = adapt_join.similar_components(docs, words=COPY_WORDS, percent=COPY_PERCENT)
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     rows = docs.select(*COLUMNS)
     first = Window.partitionBy("doc_id").orderBy("text")
