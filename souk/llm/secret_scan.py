@@ -9,10 +9,12 @@ Base kinds, each leftmost and non-overlapping within its kind:
 The method adds ``token``: runs of 20 or more of ``A-Za-z0-9_-`` that mix
 capitals, small letters and digits and touch no base span. How widely a value
 is spread over the whole corpus decides what it is: its hash is counted by
-distinct repositories and by distinct owners. A value of at least
-``min_owners`` owners or ``min_repos`` repositories is a copied example; any
-other looks live. Base spans always stay, with their verdict; ``token`` spans
-are reported only while their value looks live.
+distinct owners and, where the table names repositories (``repo_col``), by
+distinct repositories. A value of at least ``min_owners`` owners, or of several
+owners and at least ``min_repos`` repositories, is a copied example; any other
+looks live, so a value of one owner does, however many documents hold it. Base
+spans always stay, with their verdict; ``token`` spans are reported only while
+their value looks live.
 
 Positions come from splitting a text at the matches: a match starts after the
 lengths of all earlier pieces and matches. Only value hashes and span records
@@ -49,7 +51,7 @@ SALTS = 16
 @dataclass(frozen=True)
 class Spread:
     min_owners: int = 3   # a value of so many owners is a copied example
-    min_repos: int = 10   # ... or of so many repositories
+    min_repos: int = 10   # ... or one of several owners and so many repositories
 
 
 def _spans(text: Column, kind: int, pattern: str) -> Column:
@@ -76,10 +78,10 @@ def _value(x: Column) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+               owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One row per document with all candidate spans and value hashes (stored)."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"),
-                       F.col(repo_col).alias("repo"), F.coalesce(text_col, F.lit("")).alias("text"))
+                       _repo(repo_col).alias("repo"), F.coalesce(text_col, F.lit("")).alias("text"))
     each = read.select(
         "doc_id", "owner", "repo", *row_digest("doc_id", "text", "owner", "repo"),
         F.filter(_spans(F.col("text"), 0, ASSIGN), lambda x: F.length(_value(x)) >= MIN_VALUE
@@ -99,10 +101,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                               hashed.alias("found")), "secret-spans")
 
 
+def _repo(repo_col: str | None) -> Column:
+    return F.lit(None).cast("string") if repo_col is None else F.col(repo_col)
+
+
 def row_digest(id_col: str = "doc_id", text_col: str = "text",
-               owner_col: str = "source", repo_col: str = "doc_id") -> list[Column]:
+               owner_col: str = "source", repo_col: str | None = None) -> list[Column]:
     """The digest by which ``scan`` names a row, from the row's own columns."""
-    return digest128("row", F.col(id_col), F.col(owner_col), F.col(repo_col),
+    return digest128("row", F.col(id_col), F.col(owner_col), _repo(repo_col),
                      F.coalesce(text_col, F.lit("")))
 
 
@@ -114,11 +120,11 @@ def value_spread(found: DataFrame, spread: Spread = Spread()) -> DataFrame:
     counted = held.groupBy("value_a", "value_b").agg(
         F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
     return counted.withColumn("copied", (F.col("n_owners") >= spread.min_owners)
-                              | (F.col("n_repos") >= spread.min_repos))
+                              | (F.col("n_owners") > 1) & (F.col("n_repos") >= spread.min_repos))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         owner_col: str = "source", repo_col: str = "doc_id",
+         owner_col: str = "source", repo_col: str | None = None,
          spread: Spread = Spread()) -> DataFrame:
     """Per document: its spans with their verdicts, by start and kind."""
     found = find_spans(docs, id_col, text_col, owner_col, repo_col)
