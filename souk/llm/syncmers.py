@@ -8,9 +8,11 @@ positions. Two fingerprints are matched by position: the longest run of common
 anchors in the same order, without crossings, counted twice over the anchors
 of both (1 for equal texts, 0 for nothing in common).
 
-A text shorter than k has one anchor, the hash of the whole text; a text of k
-or more characters without a syncmer (it has fewer than two windows) the same.
-Characters are code points.
+Every stretch of 2k - s - 1 characters holds a syncmer. A text of fewer than
+twice as many may keep none when half of it is replaced, so it also lists its
+runs of ``GRAM`` characters, with marks before its start and after its end: what
+keeps its first or last character keeps an anchor. The empty text has one
+anchor, the hash of the whole text. Characters are code points.
 
 ``neighbours`` gives each document the next one by id. Documents are dealt by
 id ranges whose bounds are ids of the table; the document on a bound goes to
@@ -26,7 +28,6 @@ table gives no rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import ship
 
-K = 48   # characters of a k-mer
+K = 16   # characters of a k-mer
 S = 8    # characters of its s-mers
+GRAM = 3  # characters of the runs that short texts list besides
 BASE = 0x9E3779B97F4A7C15
 ROWS = 200
 
@@ -75,9 +77,10 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
-    """32-bit hashes of the closed syncmers of ``text``, by position."""
+    """32-bit hashes of the closed syncmers (and short runs) of ``text``, by position."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    closed, out = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(text) >= k:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         inner = _poly(codes, s)
         least = _sliding_min(inner, k - s + 1)
         n = len(least)
@@ -88,7 +91,13 @@ def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
             out = np.zeros(len(closed), np.uint64)
             for column in pieces.T:
                 out = _mixed(out * np.uint64(BASE) + column)
-            return (out >> np.uint64(32)).astype(np.uint32)
+    if 0 < len(text) < 2 * (2 * k - s - 1):
+        before, after = (np.full(GRAM - 1, mark, np.uint64) for mark in (1 << 32, 1 << 33))
+        runs = _poly(np.concatenate([before, codes, after]), GRAM)
+        places = np.concatenate([np.arange(len(runs)) - (GRAM - 1), closed])
+        out = np.concatenate([runs, out])[np.argsort(places, kind="stable")]
+    if len(out):
+        return (out >> np.uint64(32)).astype(np.uint32)
     whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
     return np.frombuffer(whole, ">u4").astype(np.uint32)
 
@@ -108,15 +117,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     matched += tail
     a, b = a[:len(a) - tail], b[:len(b) - tail]
     if shared := set(a.tolist()).intersection(b.tolist()):
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, x in reversed(list(enumerate(b.tolist()))):
-            places[x].append(i)
-        ends: list[int] = []  # descending places per anchor: one match each at most
+        places: dict[int, int] = defaultdict(int)  # a bit per place among b's shared anchors
+        width = 0
+        for x in b.tolist():
+            if x in shared:
+                places[x] |= 1 << width
+                width += 1
+        full = (1 << width) - 1
+        free = full  # the run's length is the number of cleared bits
         for x in a.tolist():
-            for i in places[x] if x in shared else ():
-                at = bisect_left(ends, i)
-                ends[at:at + 1] = [i]
-        matched += len(ends)
+            if x in shared:
+                hit = free & places[x]
+                free = ((free + hit) | (free - hit)) & full
+        matched += width - free.bit_count()
     return 2.0 * matched / size
 
 
