@@ -81,8 +81,9 @@ STAGES = [("language ID", language_stage), ("quality rules", quality_stage),
           ("n-gram Jaccard join", duplicate_stage), ("secret scans", secret_stage),
           ("packing", packing_stage)]
 
-# Language ID, the tokenizer and the order of packing have no SQL form; the
-# pipeline is tested against a brute-force version on a small fixture.
+# Language ID, the tokenizer and the order of packing have no SQL form. The
+# near-duplicate stage is tested against all pairs, op3 and op9 against plain
+# counting; the pipeline as a whole has no brute-force version.
 ORACLE_SQL = None
 
 
