@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import adapt_join, bpe_automaton, hd_language, line_quality, mil_quality
-from souk.llm import packing, reply_trees, secret_scan, syncmers, training_order
+from souk.llm import adapt_join, bpe_automaton, divergence, exact_dedup, hd_language, line_quality
+from souk.llm import merkle, mil_quality, packing, reply_trees, secret_scan, syncmers, training_order
 from souk.llm.common import table
 from souk.session import scratch_path
 
@@ -109,10 +109,38 @@ def op10_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; every seventh or so is then checked with one column changed."""
+    docs = table(spark, sf_dir, "documents")
+    changed = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("decimal(38,0)")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_hash(
+        *(changed if c == "n_chars" else F.col(c) for c in LEAF_COLUMNS)))
+    made = merkle.manifest(docs, LEAF_COLUMNS, carry={"tampered": tampered})
+    lefts, rights = F.col("lefts"), F.col("rights")
+    folded = merkle.fold(F.coalesce("row.tampered", "leaf"), lefts, rights)
+    return made.select(
+        F.col("row.id").alias("doc_id"), "leaf", "subroot", "root",
+        sha(merkle.proof_text(lefts, rights)).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_automaton, op2_training_order, op3_secret_scan, op4_hd_language, op5_closed_syncmers,
-        op6_adapt_join, op7_mil_quality, op8_reply_trees, op9_line_frequency, op10_online_packing)}
+        op6_adapt_join, op7_mil_quality, op8_reply_trees, op9_line_frequency, op10_online_packing,
+        op11_exact_dedup, op12_merkle_manifest, op13_source_divergence)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
