@@ -15,10 +15,19 @@ the gadgets of a and b back in time to bytes; the arcs met are kept in a
 transition table, so the walk is made once per pair. All 50,000 x 50,000 arcs
 are never laid out.
 
-The automaton accepts exactly one split of a word into labels, the encoding.
-``encode_word`` finds it from left to right: the last label of each prefix is
-the longest label whose arc leaves the state of the prefix before it. Decoding
-emits the labels of the arcs taken.
+The automaton accepts exactly one split of a word into labels, the encoding, and
+also one of each of the word's prefixes. ``encode_word`` reads the word byte by
+byte and keeps each prefix's last label, the automaton's state there. The labels
+that end at a byte are found by one transition of a table over the labels' bytes
+(the longest of them) and a chain from each label to the next shorter one that it
+ends with; the first whose arc leaves the state before it is the next state. No
+state is ever taken back: a word costs its bytes times the short chains. The last
+labels, followed from the end, are the encoding. Decoding emits the labels of the
+arcs taken.
+
+A label's bytes have one derivation, so of two merges that give the same label
+only the first one whose parts meet makes it. A list in which a label is made only
+after a merge that uses it has no order of gadgets and raises.
 
 Words repeat, so each Python worker keeps what it has encoded in tables that
 are emptied when full: memory does not grow with the corpus.
@@ -55,7 +64,6 @@ PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{
           r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+")
 TABLE_LIMIT = 200_000   # entries of a worker's tables before they are emptied
 KEPT_CHARS = 40         # longer chunks are encoded each time
-HEAD = 8                # bytes by which the labels at a position are looked up
 ROWS = 200              # rows of an output batch
 
 
@@ -73,14 +81,43 @@ class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]],
                  special: dict[str, int]):
         self.labels, self.special = labels, special
-        self.ids = {label: t for t, label in labels.items()}
         self.parts: dict[int, tuple[int, int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        self.gadgets = 0
+        self.gadgets, self.early = 0, set()
         for u, v, w in merges:
             self.add_gadget(u, v, w)
-        self.longest = max((len(x) for x in self.ids), default=1)
-        self.long_heads = {x[:HEAD] for x in self.ids if len(x) > HEAD}
+        # where a label's parts never meet, no encoding holds it
+        self.ids = {label: t for t, label in labels.items() if self.is_made(t)}
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Flat tables over the labels' bytes. A node is a prefix of labels: ``child``
+        leads from (node, byte) to a node, ``back`` to the longest other node that a
+        node ends with, ``ends`` to the longest label that it ends with (-1: none), and
+        ``shorter`` from a label to the next shorter one that it ends with."""
+        child: dict[int, int] = {}
+        back, ends = [0], [-1]
+        top = max(self.ids.values(), default=-1) + 1
+        self.size, self.shorter = [0] * top, [-1] * top
+        at = dict.fromkeys(self.ids, 0)   # node of each label's first bytes
+        depth = 0
+        while at:   # all nodes of one depth, then the next
+            for label in at:
+                key = at[label] << 8 | label[depth]
+                if key not in child:
+                    child[key] = len(ends)
+                    shorter, before = key >> 8, 0
+                    while shorter and not before:
+                        shorter = back[shorter]
+                        before = child.get(shorter << 8 | label[depth], 0)
+                    back.append(before)
+                    ends.append(ends[before])
+                at[label] = child[key]
+            depth += 1
+            for label in [x for x in at if len(x) == depth]:
+                node, t = at.pop(label), self.ids[label]
+                self.size[t], self.shorter[t], ends[node] = depth, ends[back[node]], t
+        self.child, self.back, self.ends = child, back, ends
 
     @classmethod
     def from_spec(cls, text: str) -> Automaton:
@@ -93,13 +130,19 @@ class Automaton:
                    [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
     def add_gadget(self, u: int, v: int, w: int) -> None:
-        if self.has_arc(u, v):
+        unmade = {x for x in (u, v) if not self.is_made(x)}
+        self.early |= unmade
+        if not unmade and w not in self.parts and self.has_arc(u, v):
+            if w in self.early:
+                raise ValueError(f"label {w} is made only after a merge that uses it")
             self.parts[w] = (u, v, self.gadgets)
             self.cut[u, v] = self.gadgets
-        else:  # u and v never meet, so no encoding holds w
-            self.ids.pop(self.labels[w], None)
         self.gadgets += 1
 
+    def is_made(self, t: int) -> bool:
+        """Whether a gadget so far (or a single byte) makes label t."""
+        return t in self.parts or len(self.labels[t]) == 1
+
     def has_arc(self, a: int, b: int) -> bool:
         """Whether label b may follow label a in a finished encoding."""
         before = self.gadgets  # gadgets from this time on do not count
@@ -123,7 +166,7 @@ class Encoder:
     def __init__(self, automaton: Automaton):
         self.a = automaton
         self.arcs = _Table(self._arc)
-        self.begins = _Table(self._options)
+        self.step = _Table(self._step)
         self.split = regex.compile(PIECES).findall
         self.words = _Table(lambda w: _packed(self.encode_word(w.encode())))
         self.after_space = _Table(lambda part: self.words[" " + part] if part.isalpha()
@@ -137,49 +180,40 @@ class Encoder:
                         **{i: s.encode() for s, i in automaton.special.items()}}
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The accepted path over ``word``: longest label with an arc first.
-
-        A prefix has one encoding, so a position that could not be continued
-        is closed for good and the search stays linear in the word.
-        """
-        if word in self.a.ids:
-            return [self.a.ids[word]]
-        arcs, begins, long_heads = self.arcs, self.begins, self.a.long_heads
-        path: list[int] = []
-        begun: list[int] = []
-        closed: set[int] = set()
-        at, size, state = 0, len(word), 0
-        while at < size:
-            head = word[at:at + HEAD]
-            options = begins[head]
-            if head in long_heads:
-                options = self._long_options(word, at) + options
-            for option in options:  # label << 8 | length
-                end = at + (option & 255)
-                if (not state or arcs[state | option >> 8]) and end not in closed:
-                    begun.append(at)
-                    path.append(option >> 8)
-                    at, state = end, option >> 8 << 32 | 1 << 31
+        """The accepted path over ``word``, by one state per byte."""
+        step, ends, size, shorter, arcs = self.step, self.a.ends, self.a.size, self.a.shorter, self.arcs
+        states = [-1]   # last label of each prefix's encoding; -1 before the word
+        node = at = 0
+        for byte in word:
+            at += 1
+            node = step[node << 8 | byte]
+            label = ends[node]
+            while True:
+                if label < 0:
+                    raise ValueError(f"no label for byte {byte}")
+                state = states[at - size[label]]
+                if state < 0 or arcs[state << 32 | label]:
                     break
-            else:
-                closed.add(at)
-                path.pop()
-                at, state = begun.pop(), path[-1] << 32 | 1 << 31 if path else 0
+                label = shorter[label]
+            states.append(label)
+        path = []
+        while at:
+            label = states[at]
+            path.append(label)
+            at -= size[label]
+        path.reverse()
         return path
 
-    def _arc(self, arc: int) -> bool:
-        return self.a.has_arc(arc >> 32, arc & 0x7FFFFFFF)
-
-    def _options(self, head: bytes) -> tuple[int, ...]:
-        """Labels that ``head`` begins with, longest first, with their lengths."""
-        ids = self.a.ids
-        return tuple(ids[head[:n]] << 8 | n for n in range(len(head), 0, -1) if head[:n] in ids)
+    def _step(self, key: int) -> int:
+        """The longest node that the bytes so far, with the next one, end with."""
+        child, back = self.a.child, self.a.back
+        node, byte = key >> 8, key & 255
+        while node and node << 8 | byte not in child:
+            node = back[node]
+        return child.get(node << 8 | byte, 0)
 
-    def _long_options(self, word: bytes, at: int) -> tuple[int, ...]:
-        ids = self.a.ids
-        return tuple(ids[word[at:at + n]] << 8 | n
-                     for n in range(min(self.a.longest, len(word) - at), HEAD, -1)
-                     if word[at:at + n] in ids)
+    def _arc(self, arc: int) -> bool:
+        return self.a.has_arc(arc >> 32, arc & 0xFFFFFFFF)
 
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
@@ -268,14 +302,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables hold millions of objects and no cycles
-        encoder = worker_encoder(shared)
-        for b in _sliced(batches):
-            done = [encoder.encode(t) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in done)], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(done), "<i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                ["doc_id", "ids"])
+        try:
+            encoder = worker_encoder(shared)
+            for b in _sliced(batches):
+                done = [encoder.encode(t) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in done)], dtype=np.int32)
+                flat = pa.array(np.frombuffer(b"".join(done), "<i4"), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                    ["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
