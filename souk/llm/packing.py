@@ -63,18 +63,19 @@ class WordIds(dict):
         self.model, self.plain = self.tokenizer.model, PLAIN_WORD.fullmatch
         self.symbols = str.maketrans({b: s for s, b in byte_symbols().items()})
 
-    def _model_ids(self, piece: str) -> list[int]:
-        symbols = piece.lower()
-        if not symbols.isascii():
-            symbols = symbols.encode().decode("latin-1").translate(self.symbols)
-        return [t.id for t in self.model.tokenize(symbols)]
-
     def __missing__(self, word: str) -> bytes:
         if plain := self.plain(word):
-            ids = [i for piece in plain.groups() if piece for i in self._model_ids(piece)]
+            letters, marks = plain.groups()
+            low = letters.lower()
+            if marks or low != letters:
+                made = self[low] + self[marks] if marks else self[low]
+            else:
+                symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
+                ids = [t.id for t in self.model.tokenize(symbols)]
+                made = struct.pack(f"<{len(ids)}{self.code}", *ids)
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        made = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            made = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(word) <= KEPT_CHARS:
             if len(self) >= TABLE_LIMIT:
                 self.clear()
@@ -188,17 +189,20 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE
             types = [doc_type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-        for batch in batches:
-            doc_type = batch.column(0).type
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    windows.add(doc, words.encode(text) + end)
-                if windows.done:
-                    yield flush()
-        windows.merge_rest()
-        if windows.done:
-            yield flush()
+        try:
+            for batch in batches:
+                doc_type = batch.column(0).type
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                        windows.add(doc, words.encode(text) + end)
+                    if windows.done:
+                        yield flush()
+            windows.merge_rest()
+            if windows.done:
+                yield flush()
+        finally:
+            gc.enable()
 
     return read.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, "
                                 "doc_tokens long, sequence_id long, offset long")

@@ -11,11 +11,18 @@ each shard is a file of records of one size, in slot order. A reader seeks to
 
 Sequences are the documents' ids, each document closed by an end id, laid end
 to end within a partition and cut; only a partition's last sequence is padded.
-They are written to the shared scratch folder once, with partition and number,
-so that texts are tokenized once and a number stays with its sequence.
+They are written to the shared scratch folder once (packed), with partition and
+number, so that texts are tokenized once and a number stays with its sequence.
 
-Shards are written to a shared folder under the name of the shard and the
-attempt, then renamed; a task that runs again puts the same bytes in place.
+``write_shards`` writes the shards before it returns. Each attempt of a task writes
+files of its own names, with the same bytes, and Spark commits the rows of one
+attempt to the manifest in the same folder; a file counts only if the manifest names
+it, so nothing is renamed, deleted or written again by a later action. Ids take 16
+bits, or 32 if the vocabulary has more than 65,536.
+
+Folders may be local or of a scheme that pyarrow opens (``file``, ``hdfs``, ``s3``,
+``gs``; ``s3a`` and ``s3n`` are read as ``s3``); any other scheme raises before
+anything is written.
 
 Defined cases: a NULL or empty text is its end id alone; NULL ids are kept;
 repeated rows are sequences each for itself; an empty table gives no shards;
@@ -25,6 +32,8 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import gc
+import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +43,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm.bpe_automaton import read_spec
@@ -71,8 +80,8 @@ def feistel_slots(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
 class Sequences:
     """Cuts a partition's stream of documents into sequences of one length."""
 
-    def __init__(self, length: int):
-        self.bytes, self.held, self.size, self.docs = 2 * length, [], 0, []
+    def __init__(self, record_bytes: int):
+        self.bytes, self.held, self.size, self.docs = record_bytes, [], 0, []
         self.local = 0
 
     def add(self, doc, ids: bytes) -> Iterator[tuple[int, list, bytes]]:
@@ -92,63 +101,87 @@ class Sequences:
         return out
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch], spec: Broadcast, end_id: int):
-    words, end = worker_words(spec, "H"), np.array([end_id], "<u2").tobytes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                yield doc, words.encode(text) + end
+def id_code(spec: str, end_id: int) -> str:
+    """``H`` (16 bits) if every id of the vocabulary fits, else ``I`` (32 bits)."""
+    read = json.loads(spec)
+    ids = [end_id, *read["model"]["vocab"].values(), *(x["id"] for x in read.get("added_tokens", []))]
+    return "H" if max(ids) < 1 << 16 else "I"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 1,
-                 end_id: int = 2, length: int = LENGTH, shard_records: int = SHARD_RECORDS,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards to ``folder``; one row per sequence that says where it is.
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there."""
+    scheme, _, rest = folder.partition("://")
+    if scheme in ("s3a", "s3n"):
+        folder = "s3://" + rest
+    if "://" not in folder:   # a path, or file:/path
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
 
-    Columns: slot, shard, byte_offset, n_tokens (without padding), doc_ids,
-    ids_crc32 (of the record's bytes as written).
-    """
-    ship(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+
+def _sequences(docs: DataFrame, spec: Broadcast, code: str, end_id: int, length: int,
+               id_col: str, text_col: str) -> DataFrame:
+    """part, local, doc_ids, n_tokens, packed: the sequences of every partition, in order."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    doc_kind = read.schema["doc_id"].dataType.simpleString()
+    width = struct.calcsize(code)
+    names = ["part", "local", "doc_ids", "n_tokens", "packed"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        part, sequences, out = TaskContext.get().partitionId(), Sequences(length), []
-        kind = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = worker_words(spec, code), struct.pack("<" + code, end_id)
+        part, sequences = TaskContext.get().partitionId(), Sequences(width * length)
+        out: list[tuple[int, list, bytes]] = []
 
-        def made() -> pa.RecordBatch:
+        def made(kind: pa.DataType) -> pa.RecordBatch:
             cols = [pa.array([part] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
                     pa.array([[*dict.fromkeys(x[1])] for x in out], pa.list_(kind)),
-                    pa.array([x[2] for x in out], pa.binary())]
+                    pa.array([len(x[2]) // width for x in out], pa.int32()),
+                    pa.array([pa.compress(x[2], "zstd", asbytes=True) for x in out], pa.binary())]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["part", "local", "doc_ids", "ids"])
+            return pa.RecordBatch.from_arrays(cols, names)
 
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal kind
+        kind = None
+        gc.disable()  # the tables hold many objects and no cycles
+        try:
             for b in batches:
                 kind = b.column(0).type
-                yield b
-
-        for doc, ids in _token_rows(seen(), spec, end_id):
-            out.extend(sequences.add(doc, ids))
-            if len(out) >= ROWS:
-                yield made()
-        if sequences.size:
-            out.append(sequences.taken())
-        if out:
-            yield made()
-
-    held = stored(read.mapInArrow(cut, f"part long, local long, doc_ids array<{doc_kind}>, ids binary"),
-                  "sequences", codec="zstd")
+                for at in range(0, b.num_rows, ROWS):
+                    some = b.slice(at, ROWS)
+                    for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                        out.extend(sequences.add(doc, words.encode(text) + end))
+                    if len(out) >= ROWS:
+                        yield made(kind)
+            if sequences.size:
+                out.append(sequences.taken())
+            if out:
+                yield made(kind)
+        finally:
+            gc.enable()
+
+    return read.mapInArrow(run, f"part long, local long, doc_ids array<{read.schema[0].dataType.simpleString()}>, "
+                                "n_tokens int, packed binary")
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 1,
+                 end_id: int = 2, length: int = LENGTH, shard_records: int = SHARD_RECORDS,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the shards and their manifest to ``folder``; returns the manifest.
+
+    One row per sequence: slot, shard, file, byte_offset, n_tokens (without padding),
+    doc_ids, ids_crc32 (of the record's bytes as written).
+    """
+    spark = docs.sparkSession
+    open_folder(folder)
+    ship(spark)
+    text = read_spec(tokenizer_path)
+    spec, code = spark.sparkContext.broadcast(text), id_code(text, end_id)
+    width = struct.calcsize(code)
+    stride = width * length
+    held = stored(_sequences(docs, spec, code, end_id, length, id_col, text_col), "sequences", codec="none")
     counts = {r.part: r.n for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = {}, 0
     for part in sorted(counts):  # one number per partition of the input
         starts[part] = total
         total += counts[part]
-    shared = docs.sparkSession.sparkContext.broadcast((starts, total))
+    shared = spark.sparkContext.broadcast((starts, total))
 
     @F.pandas_udf("long")
     def slot_of(part: pd.Series, local: pd.Series) -> pd.Series:
@@ -157,63 +190,59 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, key: int = 1
         return pd.Series(feistel_slots(numbers, total, key))
 
     shards = -(-total // shard_records) or 1
-    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = (held.select(slot_of("part", "local").alias("slot"), "doc_ids", "ids")
-              .select(F.floor(F.col("slot") / shard_records).alias("shard"), "slot", "doc_ids", "ids")
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = (held.select(slot_of("part", "local").alias("slot"), "doc_ids", "n_tokens", "packed")
+              .select(F.floor(F.col("slot") / shard_records).alias("shard"), "slot", "doc_ids", "n_tokens", "packed")
               .repartitionById(tasks, (F.col("shard") * tasks / shards).cast("int"))
               .sortWithinPartitions("slot"))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:")
-                                              else f"file://{folder}")
+        system, base = open_folder(folder)
         system.create_dir(base, recursive=True)
-        open_shard, sink, temp = None, None, None
-
-        def close() -> None:
+        open_shard, sink, name = None, None, ""
+        try:
+            for b in batches:
+                crcs, offsets, files = [], [], []
+                for shard, slot, n, packed in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "n_tokens", "packed"))):
+                    if shard != open_shard:
+                        if sink is not None:
+                            sink.close()
+                        open_shard, name = shard, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+                        sink = system.open_output_stream(f"{base}/{name}")
+                    record = pa.decompress(packed, n * width, "zstd", asbytes=True).ljust(stride, b"\0")
+                    sink.write(record)
+                    crcs.append(zlib.crc32(record))
+                    offsets.append(slot % shard_records * stride)
+                    files.append(name)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("slot"), b.column("shard"), pa.array(files, pa.string()),
+                     pa.array(offsets, pa.int64()), b.column("n_tokens"), b.column("doc_ids"),
+                     pa.array(crcs, pa.int64())],
+                    ["slot", "shard", "file", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"])
+        finally:
             if sink is not None:
                 sink.close()
-                path = f"{base}/shard-{open_shard:08d}.bin"
-                if system.get_file_info(path).type != fs.FileType.NotFound:
-                    system.delete_file(path)  # of an earlier run of this task
-                system.move(temp, path)
-
-        for b in batches:
-            crcs, lengths, offsets = [], [], []
-            for shard, slot, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                        b.column(3).to_pylist()):
-                if shard != open_shard:
-                    close()
-                    open_shard = shard
-                    temp = f"{base}/.shard-{shard:08d}-{uuid.uuid4().hex}"
-                    sink = system.open_output_stream(temp)
-                record = ids.ljust(2 * length, b"\0")
-                sink.write(record)
-                crcs.append(zlib.crc32(record))
-                lengths.append(len(ids) // 2)
-                offsets.append(slot % shard_records * 2 * length)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(0), pa.array(offsets, pa.int64()),
-                 pa.array(lengths, pa.int64()), b.column(2), pa.array(crcs, pa.int64())],
-                ["slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"])
-        close()
-
-    return placed.mapInArrow(written, "slot long, shard long, byte_offset long, n_tokens long, "
-                                      f"doc_ids array<{doc_kind}>, ids_crc32 long")
-
-
-def read_records(folder: str, slot: int, count: int, length: int = LENGTH,
-                 shard_records: int = SHARD_RECORDS) -> Iterator[np.ndarray]:
-    """Resume at ``slot``: up to ``count`` records, shard after shard."""
-    system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    while count > 0:
-        path = f"{base}/shard-{slot // shard_records:08d}.bin"
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return
-        with system.open_input_file(path) as f:
-            f.seek(slot % shard_records * 2 * length)
-            data = f.read(min(count, shard_records - slot % shard_records) * 2 * length)
-        records = np.frombuffer(data, "<u2").reshape(-1, length)
-        yield from records
-        slot, count = slot + len(records), count - len(records)
-        if not len(records):
-            return
+
+    kind = held.schema["doc_ids"].dataType.simpleString()
+    manifest = placed.mapInArrow(written, "slot long, shard long, file string, byte_offset long, "
+                                          f"n_tokens int, doc_ids {kind}, ids_crc32 long")
+    manifest.write.mode("error").parquet(f"{folder}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
+
+
+def read_records(spark: SparkSession, folder: str, slot: int, count: int, length: int = LENGTH,
+                 code: str = "H") -> Iterator[np.ndarray]:
+    """Resume at ``slot``: up to ``count`` records, shard after shard.
+
+    The manifest gives the files of the shards and where ``slot`` lies in the first;
+    the records of a file follow each other.
+    """
+    system, base = open_folder(folder)
+    stride = struct.calcsize(code) * length
+    files = (spark.read.parquet(f"{folder}/manifest").where(F.col("slot").between(slot, slot + count - 1))
+             .groupBy("shard", "file").agg(F.min("byte_offset").alias("start"), F.count("*").alias("records"))
+             .orderBy("shard").collect())
+    for r in files:
+        with system.open_input_file(f"{base}/{r.file}") as f:
+            f.seek(r.start)
+            yield from np.frombuffer(f.read(r.records * stride), "<" + code).reshape(-1, length)
