@@ -109,6 +109,25 @@ def money_mean(c: Column | str) -> Column:
     return from_units(F.sum(money_units(c))) / F.nullif(F.count(col_(c)), F.lit(0))
 
 
+def rounded_fraction(num: Column, den: Column, digits: int) -> Column:
+    """``num / den`` of whole numbers, rounded half away from zero, as a double.
+
+    The fraction is never formed in floating point: whole decimals are divided
+    once, and the whole number of units of the last digit becomes a double at the
+    end. ``2 * 10^digits * num`` must fit 38 digits; a zero ``den`` gives NULL.
+    """
+    unit = 10 ** digits
+    num, den = num.cast("decimal(38,0)"), den.cast("decimal(38,0)")
+    over, under = F.abs(num) * F.lit(2 * unit) + F.abs(den), F.nullif(F.abs(den) * F.lit(2), F.lit(0))
+    size = (over - over % under) / under   # whole, and ``div`` would wrap beyond 64 bits
+    return size.cast("double") * (F.signum(num) * F.signum(den)) / F.lit(float(unit))
+
+
+def rounded_mean(total_units: Column, n: Column, digits: int = 2) -> Column:
+    """Mean of ``n`` money amounts that add up to ``total_units`` millionths."""
+    return rounded_fraction(total_units, n.cast("decimal(20,0)") * F.lit(int(UNITS)), digits)
+
+
 def fixed_sums(c: Column | str, fixed_type: str = FIXED_TYPE) -> tuple[Column, Column, Column]:
     """Aggregates of a double column: exact fixed-point sum of what fits the
     type, sum of what does not (Infinity, NaN, 1e24 and more), non-NULL count."""

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
 from souk.functions.exprs import (
-    SECONDS_PER_DAY, Bucket, bucket_label, bucket_order, mean_days_from_seconds, money_mean, pct,
-    seconds_between,
+    SECONDS_PER_DAY, Bucket, bucket_label, bucket_order, mean_days_from_seconds, money_units, pct,
+    rounded_fraction, rounded_mean, seconds_between,
 )
+from souk.operators.hot import combine_hot
 
 
 def _delivered(orders: DataFrame) -> DataFrame:
@@ -60,15 +61,21 @@ def logistics_freight_ratio(items: DataFrame, products: DataFrame,
     """
     j = (items.select("product_id", "price", "freight_value")
          .join(products.select("product_id", "category_english"), "product_id"))
-    agg = j.groupBy("category_english").agg(
+    return freight_ratio(j.groupBy("category_english").agg(
         F.count(F.lit(1)).alias("num_items"),
-        money_mean("price").alias("_p"),
-        money_mean("freight_value").alias("_f"))
+        F.sum(money_units("price")).alias("_p"), F.count("price").alias("_np"),
+        F.sum(money_units("freight_value")).alias("_f"), F.count("freight_value").alias("_nf")), min_items)
+
+
+def freight_ratio(agg: DataFrame, min_items: int) -> DataFrame:
+    """M7 from each category's items, and count and sum of its prices and freights."""
+    # (f / nf) / (p / np) as one fraction of whole numbers
+    over = F.col("_f") * F.col("_np") * F.lit(100)
     return (agg.where(F.col("num_items") >= min_items)
             .select("category_english", "num_items",
-                    F.round("_p", 2).alias("avg_price"),
-                    F.round("_f", 2).alias("avg_freight"),
-                    F.round(F.lit(100.0) * F.col("_f") / F.nullif(F.col("_p"), F.lit(0.0)), 1)
+                    rounded_mean(F.col("_p"), F.col("_np")).alias("avg_price"),
+                    rounded_mean(F.col("_f"), F.col("_nf")).alias("avg_freight"),
+                    rounded_fraction(over, F.col("_p") * F.col("_nf"), 1)
                     .alias("freight_pct_of_price"))
             .orderBy(F.col("freight_pct_of_price").desc_nulls_last(),
                      F.col("category_english").asc_nulls_first()))
@@ -82,16 +89,18 @@ def logistics_route_performance(orders: DataFrame, items: DataFrame, sellers: Da
     The grain is the order *item*: ``num_orders`` counts items of delivered
     orders on the route. Routes below ``min_orders`` are dropped.
     """
-    o = _delivered(orders).select("order_id", "customer_id", "_dur_s", "is_on_time")
-    i = items.select("order_id", "seller_id")
+    # Look up each state at its own grain (customer per order, seller per item);
+    # items of hot orders are combined per order and seller state before the join.
     s = sellers.select("seller_id", "seller_state")
+    sent = combine_hot(items.select("order_id", "seller_id"), "order_id", ["seller_state"], ["_items"],
+                       lambda rows: rows.join(s, "seller_id").withColumn("_items", F.lit(1).cast("long")))
+    return route_performance(orders, sent, customers, min_orders)
+
+
+def route_performance(orders: DataFrame, sent: DataFrame, customers: DataFrame, min_orders: int) -> DataFrame:
+    """M8 from weighted rows of order and seller state."""
+    o = _delivered(orders).select("order_id", "customer_id", "_dur_s", "is_on_time")
     c = customers.select("customer_id", "customer_state")
-    # Look up each state at its own grain (customer per order, seller per
-    # item); items are counted per order and seller state before the join on
-    # order_id, so an order holding a large share of all items is combined
-    # map-side and its few rows are weighted by their counts.
-    sent = (i.join(s, "seller_id").groupBy("order_id", "seller_state")
-            .agg(F.count(F.lit(1)).alias("_items")))
     w = F.col("_items")
     timed = F.sum(F.when(F.col("_dur_s").isNotNull(), w))
     agg = (o.join(c, "customer_id").join(sent, "order_id")

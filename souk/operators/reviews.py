@@ -7,10 +7,10 @@ order paid in two parts counts once per payment row.
 Those pair counts are computed without emitting the pairs. Reviews are first
 reduced to one row per order (reviews, score sum, scored reviews); that
 partial aggregate is shuffled by ``order_id``, the key the join needs anyway,
-so it costs no extra exchange. Items and payments are counted per order and
-group before the join, and each of those rows adds its order's totals times its
-count. The result equals COUNT(*) and AVG over the pair join, and an order that
-holds a large share of all items, payments or reviews is combined map-side.
+so it costs no extra exchange. Each item or payment row adds its order's totals
+times its weight; those of hot orders are combined before the join
+(``souk.operators.hot``), all others meet it with one exchange. The result equals
+COUNT(*) and AVG over the pair join.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
 from souk.functions.exprs import Bucket, bucket_label, bucket_order, pct
+from souk.operators.hot import combine_hot
 
 
 def _reviews_per_order(reviews: DataFrame) -> DataFrame:
@@ -72,11 +73,15 @@ def reviews_score_by_delay(reviews: DataFrame, orders: DataFrame,
 def reviews_score_by_category(reviews: DataFrame, items: DataFrame, products: DataFrame,
                               min_reviews: int = B.MIN_REVIEWS_CATEGORY) -> DataFrame:
     """(review x item) rows and mean score per category."""
-    j = (items.select("order_id", "product_id")
-         .join(products.select("product_id", "category_english"), "product_id")
-         .groupBy("order_id", "category_english").agg(F.count(F.lit(1)).alias("_items"))
-         .join(_reviews_per_order(reviews), "order_id"))
-    return (j.groupBy("category_english")
+    p = products.select("product_id", "category_english")
+    sold = combine_hot(items.select("order_id", "product_id"), "order_id", ["category_english"], ["_items"],
+                       lambda rows: rows.join(p, "product_id").withColumn("_items", F.lit(1).cast("long")))
+    return score_by_category(reviews, sold, min_reviews)
+
+
+def score_by_category(reviews: DataFrame, sold: DataFrame, min_reviews: int) -> DataFrame:
+    """M11 from weighted rows of order and category."""
+    return (sold.join(_reviews_per_order(reviews), "order_id").groupBy("category_english")
             .agg(*_pair_stats(F.col("_items")))
             .where(F.col("num_reviews") >= min_reviews)
             .orderBy(F.col("avg_review_score").asc_nulls_first(),
@@ -91,9 +96,9 @@ def reviews_score_by_payment(reviews: DataFrame, payments: DataFrame,
         "order_id", "payment_type",
         bucket_label(bucket_order("payment_installments", buckets), buckets)
         .alias("installments_bucket"))
-    j = (p.groupBy("order_id", "payment_type", "installments_bucket")
-         .agg(F.count(F.lit(1)).alias("_payments"))
-         .join(_reviews_per_order(reviews), "order_id"))
+    paid = combine_hot(p, "order_id", ["payment_type", "installments_bucket"], ["_payments"],
+                       lambda rows: rows.withColumn("_payments", F.lit(1).cast("long")))
+    j = paid.join(_reviews_per_order(reviews), "order_id")
     return (j.groupBy("payment_type", "installments_bucket")
             .agg(*_pair_stats(F.col("_payments")))
             .where(F.col("num_reviews") >= min_reviews)

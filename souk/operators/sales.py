@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import buckets as B
-from souk.functions.exprs import from_units, money_sum, money_units
+from souk.functions.exprs import from_units, money_sum, money_units, rounded_mean
+from souk.operators.hot import combine_hot
+
+# What a row of M2 adds up: items, items with a price, millionths of price and of value.
+SOLD_WEIGHTS = ("_items", "_priced", "_price", "_value")
 
 
 def _placed_orders(orders: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
@@ -32,23 +36,32 @@ def _revenue_per_order(items: DataFrame) -> DataFrame:
             .agg(F.sum(money_units("item_total_value")).alias("_rev")))
 
 
+def revenue_of_facts(facts: DataFrame) -> DataFrame:
+    """Revenue per order from the item facts (``souk.operators.facts``)."""
+    return facts.groupBy("order_id").agg(F.sum("_value").alias("_rev"))
+
+
 def _aov_columns(num_orders: str, rev: str) -> list:
-    total = from_units(F.col(rev))
     return [
         F.col(num_orders),
-        total.alias("total_revenue"),
-        F.round(total / F.col(num_orders), 2).alias("avg_order_value"),
+        from_units(F.col(rev)).alias("total_revenue"),
+        rounded_mean(F.col(rev), F.col(num_orders)).alias("avg_order_value"),
     ]
 
 
 def sales_monthly_trend(orders: DataFrame, items: DataFrame,
                         excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
     """M1: distinct orders, revenue and average order value per purchase month."""
+    return monthly_trend(orders, _revenue_per_order(items), excluded_statuses)
+
+
+def monthly_trend(orders: DataFrame, revenue: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
+    """M1 from each order's revenue."""
     o = _placed_orders(orders, excluded_statuses).select(
         "order_id",
         # NTZ -> DATE is zone-free; the month of a date cannot move with DST.
         F.date_format(F.to_date("order_purchase_ts"), "yyyy-MM").alias("year_month"))
-    j = o.join(_revenue_per_order(items), "order_id")
+    j = o.join(revenue, "order_id")
     agg = j.groupBy("year_month").agg(
         F.countDistinct("order_id").alias("num_orders"), F.sum("_rev").alias("_rev"))
     return (agg.select("year_month", *_aov_columns("num_orders", "_rev"))
@@ -59,28 +72,32 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
                       excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
     """M2: orders, items sold, revenue and mean item price per category.
 
-    Counts and sums are over (item x qualifying order row) pairs. Items are
-    reduced to one row per order and category before the order join, so that
-    an order holding a large share of all items is combined map-side; those
-    rows are weighted by the number of order rows, so no pair rows are emitted
-    even if an order id repeats. The distinct orders are then a row count.
+    Counts and sums are over (item x qualifying order row) pairs. Items of hot
+    orders are combined per order and category before the order join, all others
+    go straight to it; its partitioning also serves the grouping by order and
+    category, whose rows are the distinct orders. Rows are weighted by the number
+    of order rows, so no pair rows are emitted even if an order id repeats.
     """
-    o = (_placed_orders(orders, excluded_statuses)
-         .groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")))
     i = items.select("order_id", "product_id", "price", "item_total_value")
     p = products.select("product_id", "category_english")
-    sold = i.join(p, "product_id").groupBy("order_id", "category_english").agg(
-        F.count(F.lit(1)).alias("_items"), F.count("price").alias("_priced"),
-        F.sum(money_units("price")).alias("_price"),
-        F.sum(money_units("item_total_value")).alias("_value"))
+    sold = combine_hot(i, "order_id", ["category_english"], SOLD_WEIGHTS, lambda rows: rows.join(p, "product_id").select(
+        "order_id", "category_english", F.lit(1).cast("long").alias("_items"),
+        F.col("price").isNotNull().cast("long").alias("_priced"),
+        money_units("price").alias("_price"), money_units("item_total_value").alias("_value")))
+    return by_category(orders, sold, excluded_statuses)
+
+
+def by_category(orders: DataFrame, sold: DataFrame, excluded_statuses: Sequence[str]) -> DataFrame:
+    """M2 from weighted rows of order and category."""
+    o = (_placed_orders(orders, excluded_statuses)
+         .groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")))
     w = F.col("_rows")
-    return (sold.join(o, "order_id").groupBy("category_english")
-            .agg(F.count(F.lit(1)).alias("num_orders"),
-                 F.sum(F.col("_items") * w).alias("num_items_sold"),
-                 from_units(F.sum(F.col("_value") * w)).alias("total_revenue"),
-                 F.round(from_units(F.sum(F.col("_price") * w))
-                         / F.nullif(F.sum(F.col("_priced") * w), F.lit(0)), 2)
-                 .alias("avg_item_price"))
+    per_order = sold.join(o, "order_id").groupBy("order_id", "category_english").agg(
+        *(F.sum(F.col(c) * w).alias(c) for c in SOLD_WEIGHTS))
+    return (per_order.groupBy("category_english")
+            .agg(F.count(F.lit(1)).alias("num_orders"), F.sum("_items").alias("num_items_sold"),
+                 from_units(F.sum("_value")).alias("total_revenue"),
+                 rounded_mean(F.sum("_price"), F.sum("_priced")).alias("avg_item_price"))
             .orderBy(F.col("total_revenue").desc_nulls_last(),
                      F.col("category_english").asc_nulls_first()))
 
@@ -88,11 +105,17 @@ def sales_by_category(orders: DataFrame, items: DataFrame, products: DataFrame,
 def sales_by_state(orders: DataFrame, items: DataFrame, customers: DataFrame,
                    excluded_statuses: Sequence[str] = B.EXCLUDED_STATUSES) -> DataFrame:
     """M3: distinct orders, revenue and average order value per customer state."""
+    return by_state(orders, _revenue_per_order(items), customers, excluded_statuses)
+
+
+def by_state(orders: DataFrame, revenue: DataFrame, customers: DataFrame,
+             excluded_statuses: Sequence[str]) -> DataFrame:
+    """M3 from each order's revenue."""
     o = _placed_orders(orders, excluded_statuses).select("order_id", "customer_id")
     c = customers.select("customer_id", "customer_state")
     # State lookup first, at order grain; then the per-order revenue joins on
     # order_id, whose partitioning also serves the distinct count.
-    j = o.join(c, "customer_id").join(_revenue_per_order(items), "order_id")
+    j = o.join(c, "customer_id").join(revenue, "order_id")
     agg = j.groupBy("customer_state").agg(
         F.countDistinct("order_id").alias("num_orders"), F.sum("_rev").alias("_rev"))
     return (agg.select("customer_state", *_aov_columns("num_orders", "_rev"))

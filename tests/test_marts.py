@@ -194,3 +194,18 @@ def test_duplicated_order_rows_count_as_pairs(spark):
         1, 66.0, 66.0)
     delay = m.reviews_score_by_delay.collect()[0]
     assert (delay["num_reviews"], delay["avg_review_score"]) == (2, 4.0)
+
+
+def test_means_on_half_a_cent_round_away_from_zero(spark):
+    """Fractions of whole millionths: exactly .005 goes up (down below zero)."""
+    from pyspark.sql import functions as F
+    from souk.functions.exprs import rounded_fraction, rounded_mean
+    rows = [(1691579505000, 33, 51259.99), (10000, 2, 0.01), (-10000, 2, -0.01), (30000, 2, 0.02),
+            (29999, 2, 0.01), (1, 3, 0.0), (0, 5, 0.0), (10 ** 26 + 5000, 1, 10.0 ** 20 + 0.01), (7, 0, None)]
+    df = spark.createDataFrame([(str(t), n, w) for t, n, w in rows], "t string, n long, want double").select(
+        rounded_mean(F.col("t").cast("decimal(38,0)"), F.col("n")).alias("got"), "want")
+    for r in df.collect():
+        assert r.got == r.want
+    got = spark.range(1).select(*(rounded_fraction(F.lit(a), F.lit(b), d).alias(f"x{i}") for i, (a, b, d) in enumerate(
+        [(1, 8, 2), (-1, 8, 2), (1, -8, 2), (25, 10, 0), (1, 20, 1), (0, 3, 1)]))).first()
+    assert list(got) == [0.13, -0.13, -0.13, 3.0, 0.1, 0.0]
