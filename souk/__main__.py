@@ -1,7 +1,7 @@
 """Command line entry points for a batch rebuild.
 
     python -m souk inspect RAW_CSV_DIR                 profile the nine CSVs
-    python -m souk load    RAW_CSV_DIR RAW_DIR         CSV -> raw Parquet + row-count check
+    python -m souk load    RAW_CSV_DIR RAW_DIR [--widen]  CSV -> raw Parquet, compared with the source
     python -m souk views   RAW_DIR                     register the 20 views, list them
     python -m souk export  RAW_DIR MART_DIR [--staging DIR] [--jobs N]
                                                        build and export the 12 marts
@@ -18,11 +18,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.schemas import RAW_TABLES
+from souk.sources.publish import read_all_published
 
 
 def _raw_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    base = folder.rstrip("/")
-    return {t: spark.read.parquet(f"{base}/{t}") for t in RAW_TABLES}
+    return read_all_published(spark, folder, RAW_TABLES)
 
 
 def run(argv: list[str], spark: SparkSession | None = None) -> dict[str, DataFrame]:
@@ -34,6 +34,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict[str, DataFra
     a = sub.add_parser("load")
     a.add_argument("raw_csv_dir")
     a.add_argument("raw_dir")
+    a.add_argument("--widen", action="store_true", help="doubles where whole-number columns hold other numbers")
     a = sub.add_parser("views")
     a.add_argument("raw_dir")
     a = sub.add_parser("export")
@@ -47,7 +48,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict[str, DataFra
     spark = spark or build_session()
 
     from souk.operators import profile as P
-    from souk.plans.build import build_and_export, ingest_raw
+    from souk.plans.build import build_and_export, load_raw
     from souk.plans.registry import Marketplace, register_views, view_catalog
     from souk.schemas import RAW_FILES
     from souk.sources.csv_source import read_raw_folder
@@ -59,8 +60,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict[str, DataFra
     elif args.cmd == "load":
         base = args.raw_csv_dir.rstrip("/")
         paths = {t: f"{base}/{f}" for t, f in RAW_FILES.items()}
-        _, report = ingest_raw(spark, paths, args.raw_dir)
-        out = {"reconcile": report}
+        stored, accounts = load_raw(spark, paths, args.raw_dir, args.widen)
+        out = {"reconcile": P.reconcile_loads(accounts, stored), "losses": P.load_losses(spark, accounts)}
     elif args.cmd == "views":
         register_views(Marketplace(_raw_parquet(spark, args.raw_dir)))
         out = {"views": view_catalog(spark)}

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.sources.csv_source import LoadAccount
+from souk.sources.publish import content_digest, row_hashes, stored_values
+
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
@@ -66,10 +69,17 @@ def profile_nulls(tables: Mapping[str, DataFrame]) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows after the first occurrence of an identical row (NULL equals NULL).
 
-    Grouping on all columns runs a partial aggregation before the shuffle,
-    so a heavily duplicated row is collapsed map-side.
+    Rows are grouped by a 128-bit digest, so the shuffle carries 16 bytes of a row
+    (and a heavily repeated row is collapsed map-side). Only the rows of
+    digests that repeat, met by a semi join, are then grouped on all their columns,
+    which settles whether equal digests are equal rows.
     """
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    a, b = row_hashes([F.col(f"`{c}`") for c in df.columns])
+    keyed = df.withColumn("_digest_a", a).withColumn("_digest_b", b)
+    digest = ["_digest_a", "_digest_b"]
+    repeated = keyed.groupBy(*digest).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*digest)
+    g = (keyed.join(repeated, digest, "left_semi").groupBy(*digest, *(f"`{c}`" for c in df.columns))
+         .agg(F.count(F.lit(1)).alias("_n")))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long")
                  .alias("duplicate_rows"))
 
@@ -89,14 +99,47 @@ def profile_sample(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
 
 
 def reconcile_counts(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:
-    """S3: source row count vs stored row count per table, and whether they match."""
-    def counts(tables: Mapping[str, DataFrame], stored_side: bool) -> DataFrame:
-        one, no = F.count(F.lit(1)), F.lit(0).cast("long")
-        return _union([tables[name].agg(one.alias("n")).select(
-            F.lit(name).alias("table_name"), (no if stored_side else F.col("n")).alias("s"),
-            (F.col("n") if stored_side else no).alias("t")) for name in source])
-
-    both = counts(source, False).unionByName(counts(stored, True))
-    return (both.groupBy("table_name").agg(F.sum("s").alias("source_rows"),
-                                           F.sum("t").alias("stored_rows"))
-            .withColumn("matches", F.col("source_rows") == F.col("stored_rows")))
+    """S3: source rows vs stored rows per table, by number and by content."""
+    sides = []
+    for side, tables in (("source", source), ("stored", stored)):
+        sides.append(_union([
+            df.agg(*content_digest(stored_values(df))).select(
+                F.lit(name).alias("table_name"), F.lit(side).alias("side"), "num_rows",
+                F.concat_ws(":", "digest_a", "digest_b").alias("digest"))
+            for name, df in ((n, tables[n]) for n in source)]))
+    both = sides[0].unionByName(sides[1])
+
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    return (both.groupBy("table_name").agg(
+        of("source", "num_rows").alias("source_rows"), of("stored", "num_rows").alias("stored_rows"),
+        (of("source", "digest") == of("stored", "digest")).alias("same_contents"))
+        .withColumn("matches", (F.col("source_rows") == F.col("stored_rows")) & F.col("same_contents")))
+
+
+def reconcile_loads(accounts: Mapping[str, LoadAccount], stored: Mapping[str, DataFrame]) -> DataFrame:
+    """S3 after a load: what the source texts held vs the stored rows, and what was lost.
+
+    The source side was counted and hashed from the texts while they were loaded, so
+    a value that did not survive its conversion is a difference. ``matches`` needs
+    equal rows, equal contents and no loss.
+    """
+    parts = []
+    for name, seen in accounts.items():
+        df = stored[name]
+        parts.append(df.agg(*content_digest(stored_values(df))).select(
+            F.lit(name).alias("table_name"), F.lit(seen.rows).cast("long").alias("source_rows"),
+            F.col("num_rows").alias("stored_rows"), F.lit(seen.broken_rows).cast("long").alias("broken_rows"),
+            F.lit(seen.lost_values).cast("long").alias("lost_values"),
+            ((F.col("digest_a") == seen.digest[0]) & (F.col("digest_b") == seen.digest[1])).alias("same_contents")))
+    return _union(parts).withColumn(
+        "matches", (F.col("source_rows") == F.col("stored_rows")) & F.col("same_contents")
+        & (F.col("broken_rows") == 0) & (F.col("lost_values") == 0))
+
+
+def load_losses(spark: SparkSession, accounts: Mapping[str, LoadAccount]) -> DataFrame:
+    """What loads lost: a row per table, column (NULL: whole rows) and reason."""
+    rows = [(name, *loss) for name, seen in accounts.items() for loss in seen.losses()]
+    return spark.createDataFrame(
+        rows, "table_name string, column_name string, reason string, num_lost long")

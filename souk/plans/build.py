@@ -1,7 +1,7 @@
 """Batch jobs of the model: CSV ingest, raw materialization, mart export.
 
 These are the entry points a scheduled rebuild runs, each a full
-recompute (idempotent overwrite):
+recompute whose tables replace the last ones together, or not at all:
 
 * ``ingest_raw``: nine CSVs -> raw Parquet tables (S1, S2) + reconciliation (S3);
 * ``build_and_export``: raw tables -> twenty views -> twelve Parquet marts
@@ -17,11 +17,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.operators.profile import reconcile_counts
+from souk.operators import facts as item_facts
+from souk.operators import logistics, reviews, sales
+from souk.operators.profile import reconcile_loads
 from souk.plans.registry import Marketplace, Params
-from souk.schemas import RAW_FILES
-from souk.sources.csv_source import materialize_raw, read_raw_csv, write_csv
+from souk.schemas import RAW_FILES, RAW_SCHEMAS
+from souk.sources.csv_source import LoadAccount, open_csv, widened, write_csv
 from souk.sources.marts import EXPORTED_MARTS, export_manifest, export_marts
+from souk.sources.publish import publish, read_all_published
 
 
 def stage_csv(raw: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
@@ -30,70 +33,101 @@ def stage_csv(raw: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
     return {t: write_csv(df, f"{base}/{RAW_FILES[t]}") for t, df in raw.items()}
 
 
-def ingest_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: str
+def load_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: str, widen: bool = False
+             ) -> tuple[dict[str, DataFrame], dict[str, LoadAccount]]:
+    """Load each CSV with its declared schema and publish all as raw tables.
+
+    Each file is read once: its rows are counted, hashed and typed in the pass that
+    writes them. With ``widen`` a table whose whole-number columns hold other numbers
+    (``3.5``) is loaded and published again with doubles there. Returns the stored
+    tables and what each load read and lost.
+    """
+    accounts: dict[str, LoadAccount] = {}
+    schemas = {t: RAW_SCHEMAS[t] for t in csv_paths}
+    while schemas:
+        opened = {t: open_csv(spark, csv_paths[t], t, schema) for t, schema in schemas.items()}
+        publish({t: df for t, (df, _) in opened.items()}, raw_folder)
+        accounts |= {t: account() for t, (_, account) in opened.items()}
+        schemas = {t: widened(schemas[t], accounts[t]) for t in schemas
+                   if widen and accounts[t].not_whole and widened(schemas[t], accounts[t]) != schemas[t]}
+    return read_all_published(spark, raw_folder, list(csv_paths)), accounts
+
+
+def ingest_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: str, widen: bool = False
                ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Read each CSV with its declared schema, write it as a raw Parquet table,
-    and return the stored tables plus the source-vs-stored row counts."""
-    base = raw_folder.rstrip("/")
-    source = {t: read_raw_csv(spark, p, t) for t, p in csv_paths.items()}
-    stored = {}
-    for t, df in source.items():
-        path = materialize_raw(df, f"{base}/{t}")
-        stored[t] = spark.read.parquet(path)
-    return stored, reconcile_counts(source, stored)
-
-
-# Cleaning views and raw lookups the marts read, with the columns they use.
+    """``load_raw`` with the comparison of sources and stored tables."""
+    stored, accounts = load_raw(spark, csv_paths, raw_folder, widen)
+    return stored, reconcile_loads(accounts, stored)
+
+
+# Inputs that several marts read, with the columns they use, and who reads them. The
+# items are not among them: the marts that read items share the item facts.
 STAGED_INPUTS = {
-    "clean_orders": ("order_id", "customer_id", "order_status", "order_purchase_ts",
-                     "order_delivered_customer_ts", "delivery_delay_days", "is_on_time"),
-    "clean_order_items": ("order_id", "product_id", "seller_id", "price", "freight_value",
-                          "item_total_value"),
-    "clean_products": ("product_id", "category_english"),
-    "clean_payments": ("order_id", "payment_type", "payment_installments", "payment_value"),
-    "clean_reviews": ("order_id", "review_score"),
-    "customers": ("customer_id", "customer_state"),
-    "sellers": ("seller_id", "seller_state"),
+    "clean_orders": (("order_id", "customer_id", "order_status", "order_purchase_ts",
+                      "order_delivered_customer_ts", "delivery_delay_days", "is_on_time"),
+                     {"sales_monthly_trend", "sales_by_category", "sales_by_state", "logistics_delivery_by_state",
+                      "logistics_delay_distribution", "logistics_route_performance", "reviews_score_by_delay"}),
+    "clean_payments": (("order_id", "payment_type", "payment_installments", "payment_value"),
+                       {"sales_payment_breakdown", "reviews_score_by_payment"}),
+    "clean_reviews": (("order_id", "review_score"),
+                      {"reviews_score_distribution", "reviews_score_by_delay", "reviews_score_by_category",
+                       "reviews_score_by_payment"}),
+    "customers": (("customer_id", "customer_state"),
+                  {"sales_by_state", "logistics_delivery_by_state", "logistics_route_performance"}),
 }
+FACT_MARTS = {"sales_monthly_trend", "sales_by_category", "sales_by_state", "logistics_freight_ratio",
+              "logistics_route_performance", "reviews_score_by_category"}
 
 
 class StagedMarketplace(Marketplace):
-    """A model whose cleaning layer was written once as Parquet tables.
+    """A model whose shared inputs were written once as Parquet tables.
 
-    The twelve marts then start from those tables: the raw tables are read
-    and cleaned once, not once per mart, and lineage is cut at the written
-    tables, so a lost executor recomputes from them rather than from raw.
+    The marts start from those tables: the raw tables are read and cleaned once,
+    and the items are looked up and added up once (``item_facts``), not once per
+    mart. Lineage is cut at the written tables, so a lost executor recomputes from
+    them rather than from raw. Inputs that were not staged come from ``raw``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, params: Params | None = None):
-        super().__init__({}, params)
-        base = folder.rstrip("/")
-        for name in STAGED_INPUTS:
-            self.__dict__[name] = spark.read.parquet(f"{base}/{name}")
+    def __init__(self, raw: Mapping[str, DataFrame], staged: Mapping[str, DataFrame], params: Params | None = None):
+        super().__init__(raw, params)
+        self.facts = staged.get("item_facts")
+        self._customers = staged.get("customers")
+        self.__dict__.update({n: df for n, df in staged.items() if n.startswith("clean_")})
+        if self.facts is not None:
+            self.__dict__.update(self._fact_marts(self.facts))
+
+    def _fact_marts(self, facts: DataFrame) -> dict[str, DataFrame]:
+        p, revenue = self.p, sales.revenue_of_facts(facts)
+        return {
+            "sales_monthly_trend": sales.monthly_trend(self.clean_orders, revenue, p.excluded_statuses),
+            "sales_by_category": sales.by_category(self.clean_orders, item_facts.sold(facts), p.excluded_statuses),
+            "sales_by_state": sales.by_state(self.clean_orders, revenue, self.customers, p.excluded_statuses),
+            "logistics_freight_ratio": logistics.freight_ratio(item_facts.freight_sums(facts), p.min_items_freight),
+            "logistics_route_performance": logistics.route_performance(
+                self.clean_orders, item_facts.sent(facts), self.customers, p.min_orders_route),
+            "reviews_score_by_category": reviews.score_by_category(
+                self.clean_reviews, item_facts.sold(facts), p.min_reviews_category),
+        }
 
     @property
     def customers(self) -> DataFrame:
-        return self.__dict__["customers"]
-
-    @property
-    def sellers(self) -> DataFrame:
-        return self.__dict__["sellers"]
+        return super().customers if self._customers is None else self._customers
 
 
-def stage_clean(model: Marketplace, folder: str, max_concurrent_jobs: int = 4
-                ) -> StagedMarketplace:
-    """Write the cleaning inputs of the marts (used columns only) to ``folder``."""
-    from concurrent.futures import ThreadPoolExecutor
+def stage_shared(model: Marketplace, folder: str, names=EXPORTED_MARTS, max_concurrent_jobs: int = 4
+                 ) -> StagedMarketplace:
+    """Write what several of the requested marts share (used columns only), once.
 
-    base = folder.rstrip("/")
-
-    def write(name: str) -> None:
-        df = getattr(model, name).select(*STAGED_INPUTS[name])
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-
-    with ThreadPoolExecutor(max_workers=max(1, max_concurrent_jobs)) as pool:
-        list(pool.map(write, STAGED_INPUTS))
-    return StagedMarketplace(model.clean_orders.sparkSession, base, model.p)
+    An input that a single requested mart reads is left in that mart's own plan.
+    """
+    wanted = set(names)
+    frames = {n: getattr(model, n).select(*columns) for n, (columns, readers) in STAGED_INPUTS.items()
+              if len(wanted & readers) > 1}
+    if len(wanted & FACT_MARTS) > 1:
+        frames["item_facts"] = item_facts.item_facts(model.clean_order_items, model.clean_products, model.sellers)
+    publish(frames, folder, max_concurrent_jobs=max_concurrent_jobs)
+    spark = model.clean_orders.sparkSession
+    return StagedMarketplace(model.raw, read_all_published(spark, folder, list(frames)), model.p)
 
 
 def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
@@ -102,12 +136,12 @@ def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
                      max_concurrent_jobs: int = 4) -> DataFrame:
     """Build the marts from raw tables, export them, return the manifest.
 
-    With ``staging_folder`` (a shared location), the cleaning inputs are
-    written there first and the marts are built from them.
+    With ``staging_folder`` (a shared location), what the marts have in common is
+    written there first and the marts are built from it.
     """
     model = Marketplace(raw, params)
     spark = model.clean_orders.sparkSession
     if staging_folder:
-        model = stage_clean(model, staging_folder, max_concurrent_jobs)
+        model = stage_shared(model, staging_folder, names, max_concurrent_jobs)
     export_marts(model.marts(), out_folder, names, max_concurrent_jobs)
     return export_manifest(spark, out_folder, names)

@@ -214,6 +214,12 @@ def view_registry(model: Marketplace) -> DataFrame:
     return out
 
 
+def view_names(spark: SparkSession, names: Sequence[str] = VIEW_NAMES) -> DataFrame:
+    """Names of the registered views, from the catalog alone (no view is run)."""
+    present = spark.sql("SHOW VIEWS").where("isTemporary").select(F.col("viewName").alias("view_name"))
+    return present.where(F.col("view_name").isin(*names)).orderBy("view_name")
+
+
 def view_catalog(spark: SparkSession, names: Sequence[str] = VIEW_NAMES) -> DataFrame:
     """The registered views that exist in the session catalog, sorted by
     name, each with its row count read through the catalog."""

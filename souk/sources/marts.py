@@ -2,17 +2,20 @@
 
 The marts are the serving contract: consumers read the exported Parquet,
 never the raw tables. Marts are bounded by key cardinality (months, states,
-categories, routes), so each is written as one file in its sorted order.
+categories, routes), so each is written as one file in its sorted order. They are
+published together (``souk.sources.publish``): a failed export leaves the last one
+readable, and what each mart held is recorded and checked when it is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.sources.publish import manifest, publish, read_all_published, read_published
+
 # The twelve marts that are exported, in export order.
 EXPORTED_MARTS = (
     "sales_monthly_trend",
@@ -30,63 +33,40 @@ EXPORTED_MARTS = (
 )
 
 
-def mart_path(base: str, name: str) -> str:
-    return f"{base.rstrip('/')}/{name}.parquet"
-
-
 def export_marts(marts: Mapping[str, DataFrame], base: str,
                  names=EXPORTED_MARTS, max_concurrent_jobs: int = 4) -> list[str]:
-    """Write each allow-listed mart to ``base/<name>.parquet`` (overwrite).
+    """Publish each allow-listed mart under ``base``, all of them at once.
 
-    Helper and cleaning views are not exported even if present in ``marts``.
-    The marts are independent jobs; up to ``max_concurrent_jobs`` of them are
-    submitted at once (Spark schedules jobs from several driver threads
-    concurrently), so one mart's small final stages overlap another's scans.
+    Helper and cleaning views are not exported even if present in ``marts``. The
+    marts are independent jobs, of which up to ``max_concurrent_jobs`` run at once;
+    readers see the old marts until all new ones are written.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    def write(name: str) -> str:
-        marts[name].coalesce(1).write.mode("overwrite").parquet(mart_path(base, name))
-        return name
+    publish({n: marts[n] for n in names}, base, one_file=True, max_concurrent_jobs=max_concurrent_jobs)
+    return list(names)
 
-    if max_concurrent_jobs <= 1:
-        return [write(n) for n in names]
-    with ThreadPoolExecutor(max_workers=max_concurrent_jobs) as pool:
-        return list(pool.map(write, names))
 
-
-def load_mart(spark: SparkSession, name: str, base: str) -> DataFrame:
+def load_mart(spark: SparkSession, name: str, base: str, check: bool = True) -> DataFrame:
     """Read an exported mart by name.
 
-    Raises ``ValueError`` for a name that is not an exported mart and
-    ``FileNotFoundError`` if the mart has not been exported yet.
+    Raises ``ValueError`` for a name that is not an exported mart,
+    ``FileNotFoundError`` if the mart has not been exported yet and (with ``check``)
+    ``DamagedTable`` if its files or contents are not those that were exported.
     """
     if name not in EXPORTED_MARTS:
         raise ValueError(f"Unknown mart '{name}'. Valid marts: {sorted(EXPORTED_MARTS)}")
-    path = mart_path(base, name)
     try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(f"{path} not found. Export the marts first.") from e
-        raise
-
-
-def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS,
-                    max_concurrent_reads: int = 4) -> DataFrame:
-    """One row per exported mart with its row and column count, read back
-    from the written Parquet (one small aggregate per mart, unioned into one
-    job). Resolving a Parquet source lists files and reads a footer on the
-    driver, so the readers are opened from a few threads."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=max(1, max_concurrent_reads)) as pool:
-        frames = list(pool.map(lambda n: load_mart(spark, n, base), names))
-    parts = []
-    for i, (name, df) in enumerate(zip(names, frames), start=1):
-        parts.append(df.agg(F.count(F.lit(1)).alias("num_rows"))
-                     .select(F.lit(i).alias("export_order"), F.lit(name).alias("mart"),
-                             "num_rows", F.lit(len(df.columns)).alias("num_columns")))
+        return read_published(spark, base, name, check)
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"{base}/{name} not found. Export the marts first.") from e
+
+
+def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS) -> DataFrame:
+    """Rows and columns of each exported mart, counted in the written Parquet."""
+    live = read_all_published(spark, base, names)
+    parts = [df.agg(F.count(F.lit(1)).alias("num_rows"))
+             .select(F.lit(i).alias("export_order"), F.lit(name).alias("mart"),
+                     "num_rows", F.lit(len(df.columns)).alias("num_columns"))
+             for i, (name, df) in enumerate(live.items(), start=1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -94,19 +74,10 @@ def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS,
 
 
 def export_sizes(spark: SparkSession, base: str, names=EXPORTED_MARTS) -> DataFrame:
-    """S8 (sizes): files and bytes of each exported mart.
-
-    Read through the ``binaryFile`` source selecting only ``path`` and
-    ``length``, so file contents are never read.
-    """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-             .option("recursiveFileLookup", "true").load(base.rstrip("/"))
-             .select("path", "length"))
-    mart = F.regexp_extract("path", r"/([^/]+)\.parquet/[^/]+$", 1)
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), mart).cast("int")
-    return (files.select(mart.alias("mart"), order.alias("export_order"), "length")
-            .where(F.col("export_order") > 0)
-            .groupBy("export_order", "mart")
-            .agg(F.count(F.lit(1)).alias("num_files"),
-                 F.sum("length").alias("size_bytes"))
-            .orderBy("export_order"))
+    """S8 (sizes): files, bytes, rows and content digest of each exported mart, as
+    its manifest entry records them."""
+    live = manifest(spark, base)
+    return spark.createDataFrame(
+        [(i, n, live[n].num_files, live[n].size_bytes, live[n].num_rows,
+          f"{live[n].digest_a}:{live[n].digest_b}") for i, n in enumerate(names, start=1) if n in live],
+        "export_order int, mart string, num_files long, size_bytes long, num_rows long, digest string")

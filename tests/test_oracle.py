@@ -31,8 +31,12 @@ def _keys():
 
 
 def test_every_query_has_an_oracle():
+    """Of the library's own queries; those of the optional folder name theirs themselves."""
     import __spark_entry__ as E
-    assert set(E.queries()) - NO_ORACLE == set(E.oracle_sql())
+    from souk.plans.queries import all_queries
+    from souk.testing.oracle_queries import all_oracle_sql
+    assert set(all_queries()) - NO_ORACLE == set(all_oracle_sql())
+    assert set(all_queries()) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_export_sizes(spark):
