@@ -43,14 +43,15 @@ def load_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: str,
     tables and what each load read and lost.
     """
     accounts: dict[str, LoadAccount] = {}
+    live = None
     schemas = {t: RAW_SCHEMAS[t] for t in csv_paths}
     while schemas:
         opened = {t: open_csv(spark, csv_paths[t], t, schema) for t, schema in schemas.items()}
-        publish({t: df for t, (df, _) in opened.items()}, raw_folder)
+        live = publish({t: df for t, (df, _) in opened.items()}, raw_folder)
         accounts |= {t: account() for t, (_, account) in opened.items()}
         schemas = {t: widened(schemas[t], accounts[t]) for t in schemas
                    if widen and accounts[t].not_whole and widened(schemas[t], accounts[t]) != schemas[t]}
-    return read_all_published(spark, raw_folder, list(csv_paths)), accounts
+    return read_all_published(spark, raw_folder, list(csv_paths), live), accounts
 
 
 def ingest_raw(spark: SparkSession, csv_paths: Mapping[str, str], raw_folder: str, widen: bool = False
@@ -125,9 +126,9 @@ def stage_shared(model: Marketplace, folder: str, names=EXPORTED_MARTS, max_conc
               if len(wanted & readers) > 1}
     if len(wanted & FACT_MARTS) > 1:
         frames["item_facts"] = item_facts.item_facts(model.clean_order_items, model.clean_products, model.sellers)
-    publish(frames, folder, max_concurrent_jobs=max_concurrent_jobs)
+    live = publish(frames, folder, max_concurrent_jobs=max_concurrent_jobs)
     spark = model.clean_orders.sparkSession
-    return StagedMarketplace(model.raw, read_all_published(spark, folder, list(frames)), model.p)
+    return StagedMarketplace(model.raw, read_all_published(spark, folder, list(frames), live), model.p)
 
 
 def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
@@ -143,5 +144,5 @@ def build_and_export(raw: Mapping[str, DataFrame], out_folder: str,
     spark = model.clean_orders.sparkSession
     if staging_folder:
         model = stage_shared(model, staging_folder, names, max_concurrent_jobs)
-    export_marts(model.marts(), out_folder, names, max_concurrent_jobs)
-    return export_manifest(spark, out_folder, names)
+    live = export_marts(model.marts(), out_folder, names, max_concurrent_jobs)
+    return export_manifest(spark, out_folder, names, live)

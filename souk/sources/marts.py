@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from souk.sources.publish import manifest, publish, read_all_published, read_published
@@ -34,15 +34,14 @@ EXPORTED_MARTS = (
 
 
 def export_marts(marts: Mapping[str, DataFrame], base: str,
-                 names=EXPORTED_MARTS, max_concurrent_jobs: int = 4) -> list[str]:
-    """Publish each allow-listed mart under ``base``, all of them at once.
+                 names=EXPORTED_MARTS, max_concurrent_jobs: int = 4) -> dict[str, Row]:
+    """Publish each allow-listed mart under ``base``, all of them at once; their entries.
 
     Helper and cleaning views are not exported even if present in ``marts``. The
     marts are independent jobs, of which up to ``max_concurrent_jobs`` run at once;
     readers see the old marts until all new ones are written.
     """
-    publish({n: marts[n] for n in names}, base, one_file=True, max_concurrent_jobs=max_concurrent_jobs)
-    return list(names)
+    return publish({n: marts[n] for n in names}, base, one_file=True, max_concurrent_jobs=max_concurrent_jobs)
 
 
 def load_mart(spark: SparkSession, name: str, base: str, check: bool = True) -> DataFrame:
@@ -60,9 +59,10 @@ def load_mart(spark: SparkSession, name: str, base: str, check: bool = True) ->
         raise FileNotFoundError(f"{base}/{name} not found. Export the marts first.") from e
 
 
-def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS) -> DataFrame:
+def export_manifest(spark: SparkSession, base: str, names=EXPORTED_MARTS,
+                    entries: Mapping[str, Row] | None = None) -> DataFrame:
     """Rows and columns of each exported mart, counted in the written Parquet."""
-    live = read_all_published(spark, base, names)
+    live = read_all_published(spark, base, names, entries)
     parts = [df.agg(F.count(F.lit(1)).alias("num_rows"))
              .select(F.lit(i).alias("export_order"), F.lit(name).alias("mart"),
                      "num_rows", F.lit(len(df.columns)).alias("num_columns"))

@@ -100,11 +100,13 @@ def publish(tables: Mapping[str, DataFrame], base: str, one_file: bool = False,
         seen = dict(zip(tables, pool.map(write, tables)))
     sizes = _files(spark, base, slots)
     version = 1 + max((e.version for e in before.values()), default=0)
-    entries = [(version, n, slots[n], seen[n].num_rows, *sizes.get(n, (0, 0)), seen[n].digest_a,
-                seen[n].digest_b, tables[n].schema.json()) for n in tables]
-    (spark.createDataFrame(entries, MANIFEST).coalesce(1)
+    entries = {n: Row(version=version, table_name=n, slot=slots[n], num_rows=seen[n].num_rows,
+                      num_files=sizes.get(n, (0, 0))[0], size_bytes=sizes.get(n, (0, 0))[1],
+                      digest_a=seen[n].digest_a, digest_b=seen[n].digest_b,
+                      schema=tables[n].schema.json()) for n in tables}
+    (spark.createDataFrame(list(entries.values()), MANIFEST).coalesce(1)
      .write.mode("append").json(f"{base.rstrip('/')}/manifest"))
-    return manifest(spark, base)
+    return {**before, **entries}
 
 
 def read_published(spark: SparkSession, base: str, name: str, check: bool = False) -> DataFrame:
@@ -119,9 +121,10 @@ def read_published(spark: SparkSession, base: str, name: str, check: bool = Fals
     return _opened(spark, base, entry, check)
 
 
-def read_all_published(spark: SparkSession, base: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Several tables from one look at the manifest."""
-    live = manifest(spark, base)
+def read_all_published(spark: SparkSession, base: str, names: Sequence[str],
+                       live: Mapping[str, Row] | None = None) -> dict[str, DataFrame]:
+    """Several tables from one look at the manifest (``live``: the one just published)."""
+    live = manifest(spark, base) if live is None else live
     missing = [n for n in names if n not in live]
     if missing:
         raise FileNotFoundError(f"{base}: no published tables {missing}")
