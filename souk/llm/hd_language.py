@@ -34,6 +34,7 @@ from souk.llm.common import WORKER, ship
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 1500    # documents learned from, per language
+SALTS = 64             # parts of a language's ids in which the least are found first
 UNIT = 10_000          # whole-number scale of a document's unit vector
 BLOCK_CHARS = 400_000  # characters worked on at once (a longer text is taken alone)
 SEED = 20
@@ -120,9 +121,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ship(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (read.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash))
-              .where(F.col("n") <= per_language).select("doc_id", "lang").distinct())
+    # the least of each (language, salt), then of each language: no task sees more
+    # than a share of one language's ids, or SALTS * per_language of them
+    chosen = read.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
+    chosen = chosen.select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
