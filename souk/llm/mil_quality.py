@@ -33,6 +33,7 @@ from souk.llm.common import ship
 
 PASSAGE = 600       # code points of a passage
 SAMPLE = 4_000      # labelled documents learned from
+FIT_PASSAGES = 512   # passages of a labelled document that the fit looks at, at most
 PAIRS = 64          # buckets of letter pairs
 HIDDEN, GATES = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.01, 1e-4
@@ -184,12 +185,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             for id_, label, text in zip(*(c.to_pylist() for c in b.columns)):
                 x = passage_features(text or "")
-                yield pa.RecordBatch.from_pydict({"doc_id": [id_], "label": [label],
-                                                  "x": [x.tobytes()]})
-
-    # at most ``sample`` rows of (id, label) are broadcast and as many bags collected
+                if len(x) > FIT_PASSAGES:  # evenly spread over the text
+                    x = x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([id_], b.column(0).type), pa.array([label], pa.float64()),
+                     pa.array([x.tobytes()], pa.binary())], ["doc_id", "label", "x"])
+
+    # at most ``sample`` rows of (id, label) are broadcast and as many bags collected,
+    # of at most FIT_PASSAGES passages each
+    kind = read.schema["doc_id"].dataType.simpleString()
     rows = sorted((read.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-                   .mapInArrow(run, "doc_id long, label double, x binary")).collect())
+                   .mapInArrow(run, f"doc_id {kind}, label double, x binary")).collect())
     y = np.array([float(r.label >= 0.5) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
