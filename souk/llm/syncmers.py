@@ -8,11 +8,13 @@ positions. Two fingerprints are matched by position: the longest run of common
 anchors in the same order, without crossings, counted twice over the anchors
 of both (1 for equal texts, 0 for nothing in common).
 
-Every stretch of 2k - s - 1 characters holds a syncmer. A text of fewer than
-twice as many may keep none when half of it is replaced, so it also lists its
-runs of ``GRAM`` characters, with marks before its start and after its end: what
-keeps its first or last character keeps an anchor. The empty text has one
-anchor, the hash of the whole text. Characters are code points.
+Every stretch of 2k - s - 1 characters holds a syncmer, but a short text may keep
+none when half of it is replaced. So every text, whatever its length, also lists
+the runs of ``GRAM`` characters that begin in its first or end in its last ``EDGE``
+characters, with marks before its start and after its end: what keeps its first or
+last character keeps an anchor, and a character more changes a few anchors at any
+length. The empty text has one anchor, the hash of the whole text. Characters are
+code points.
 
 ``neighbours`` gives each document the next one by id. Documents are dealt by
 id ranges whose bounds are ids of the table; the document on a bound goes to
@@ -40,7 +42,8 @@ from souk.llm.common import ship
 
 K = 16   # characters of a k-mer
 S = 8    # characters of its s-mers
-GRAM = 3  # characters of the runs that short texts list besides
+GRAM = 3  # characters of the runs that are listed besides
+EDGE = 22  # characters at each end of a text whose runs are listed
 BASE = 0x9E3779B97F4A7C15
 ROWS = 200
 
@@ -66,6 +69,14 @@ def _poly(codes: np.ndarray, size: int) -> np.ndarray:
     return _mixed(out)
 
 
+def _mixed_runs(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the run of ``GRAM`` items at each start."""
+    out = np.full(len(starts), GRAM, np.uint64)
+    for i in range(GRAM):
+        out = _mixed(out * np.uint64(BASE) + codes[starts + i])
+    return out
+
+
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Minimum of every run of ``size`` items, by doubling."""
     width = 1
@@ -91,10 +102,14 @@ def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
             out = np.zeros(len(closed), np.uint64)
             for column in pieces.T:
                 out = _mixed(out * np.uint64(BASE) + column)
-    if 0 < len(text) < 2 * (2 * k - s - 1):
+    if len(text):
         before, after = (np.full(GRAM - 1, mark, np.uint64) for mark in (1 << 32, 1 << 33))
-        runs = _poly(np.concatenate([before, codes, after]), GRAM)
-        places = np.concatenate([np.arange(len(runs)) - (GRAM - 1), closed])
+        edged = np.concatenate([before, codes, after])
+        last = len(edged) - GRAM   # where the last run begins
+        starts = np.unique(np.concatenate([np.arange(0, min(EDGE + GRAM - 1, last + 1)),
+                                           np.arange(max(0, last - EDGE - GRAM + 2), last + 1)]))
+        runs = _mixed_runs(edged, starts)
+        places = np.concatenate([starts - (GRAM - 1), closed])
         out = np.concatenate([runs, out])[np.argsort(places, kind="stable")]
     if len(out):
         return (out >> np.uint64(32)).astype(np.uint32)
