@@ -6,8 +6,9 @@ of the base rules and a compact record of its lines: the 128-bit hash of
 counts, per host, the distinct documents that hold a line; exact copies of a
 document count once, so a much-copied page does not turn its own lines into
 furniture. A line is removed when it stands in at least ``min_docs`` distinct
-documents and in more than ``max_share`` of its host's documents, whatever its
-length; lines without a word stay. A document that loses more than
+documents and in more than ``max_share`` of its host's documents, or in ``max_docs``
+documents, however many its host has. Its length does not matter; lines without a
+word stay. A document that loses more than
 ``max_removed`` of its words is depleted and rejected, and so is one that fails
 the base rules.
 
@@ -40,7 +41,8 @@ class LineRules:
     min_words: int = 50       # fewer words: rejected
     max_repeat_pct: int = 50  # more of the words in repeated windows: rejected
     min_docs: int = 10        # a removed line stands in this many documents of its host
-    max_share: float = 0.01   # ... and in more than this share of them
+    max_share: float = 0.01   # ... and in more than this share of them,
+    max_docs: int = 1000      # or in so many documents of a host of any size
     max_removed: float = 0.5  # a larger share of removed words: rejected
 
 
@@ -130,15 +132,15 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def frequent_lines(profiled: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """(line_a, line_b, n_docs) of the lines above the limits of their host."""
     held = profiled.select("host", "doc_hash", F.explode(
-        F.array_distinct(F.transform("lines", lambda x: F.struct(x["line_a"], x["line_b"])))
-    ).alias("x")).select("host", "doc_hash", "x.line_a", "x.line_b")
+        F.transform("lines", lambda x: F.struct(x["line_a"], x["line_b"]))).alias("x")).select("host", "doc_hash", "x.line_a", "x.line_b")
     counted = (held.distinct().groupBy("host", "line_a", "line_b")
                .agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= rules.min_docs))
     hosts = (profiled.select("host", "doc_hash").distinct()
              .groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
              .withColumnRenamed("host", "its_host"))
     return (counted.join(hosts, F.col("host").eqNullSafe(F.col("its_host")))
-            .where(F.col("n_docs") > rules.max_share * F.col("host_docs"))
+            .where((F.col("n_docs") > rules.max_share * F.col("host_docs"))
+                   | (F.col("n_docs") >= rules.max_docs))
             .select("line_a", "line_b", "n_docs"))
 
 
@@ -166,6 +168,13 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_lines(text: Column, numbers: Column) -> Column:
-    """``text`` without the lines of those numbers (0 is the first)."""
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(numbers, i))
-    return F.when(numbers.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    """``text`` without the lines of those numbers (0 is the first).
+
+    The lines and the kept numbers are bound once, as the one item of an array,
+    so that the inner lambda does not split the text for every line.
+    """
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(numbers, lambda i: i.cast("int")))
+    bound = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    left = F.transform(bound, lambda x: F.array_join(F.transform(x["kept"], lambda i: F.get(x["lines"], i)), "\n"))
+    return F.when(numbers.isNull(), text).otherwise(F.get(left, F.lit(0)))

@@ -27,7 +27,8 @@ def verdicts(rows, rules=line_quality.LineRules()) -> Counter:
     for r in rows:
         gone = [(number, line) for number, line in lines(r.text)
                 if len(held[r.source, line]) >= rules.min_docs
-                and len(held[r.source, line]) > rules.max_share * len(hosts[r.source])]
+                and (len(held[r.source, line]) > rules.max_share * len(hosts[r.source])
+                     or len(held[r.source, line]) >= rules.max_docs)]
         n_words, *_, failed = base_rules(r.text or "")
         removed = sum(len(line.split(" ")) for _, line in gone)
         out[r.doc_id, tuple(number for number, _ in gone), removed,
@@ -35,9 +36,9 @@ def verdicts(rows, rules=line_quality.LineRules()) -> Counter:
     return out
 
 
-def got(docs) -> Counter:
+def got(docs, rules=line_quality.LineRules()) -> Counter:
     return Counter((r.doc_id, tuple(sorted(r.drop_lines or ())), r.removed_words, r.kept)
-                   for r in line_quality.line_quality(docs).collect())
+                   for r in line_quality.line_quality(docs, rules=rules).collect())
 
 
 def test_long_lines_are_removed_and_deplete(spark):
@@ -52,3 +53,28 @@ def test_long_lines_are_removed_and_deplete(spark):
 def test_verdicts_equal_plain_counting(spark, edge):
     for docs in (edge, spark.read.parquet(f"{SF_SMALL}/documents.parquet")):
         assert got(docs) == verdicts(docs.collect())
+
+
+def test_an_absolute_limit_holds_on_hosts_of_any_size(spark):
+    """A line of 40 documents goes although it is far below the share of its host."""
+    rules = line_quality.LineRules(min_docs=5, max_share=0.5, max_docs=40)
+    rows = [(d, ("common head\n" if d < 40 else "rarer head\n" if d < 79 else "")
+             + " ".join(f"d{d}w{i}" for i in range(60)), "h") for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = got(docs, rules)
+    assert found == verdicts(docs.collect(), rules)
+    assert sum(n for (_, gone, _, _), n in found.items() if gone) == 40
+
+
+def test_time_grows_with_the_lines(spark):
+    """100,000 different lines in one text, half of them removed, in seconds."""
+    import time
+    from pyspark.sql import functions as F
+    text = "\n".join(f"line number {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.monotonic()
+    assert line_quality.line_quality(docs).first().n_dup_lines == 0
+    cut = docs.select(line_quality.drop_lines(
+        F.col("text"), F.transform(F.sequence(F.lit(0), F.lit(99_998), F.lit(2)), lambda i: i)).alias("t")).first().t
+    assert cut == "\n".join(f"line number {i}" for i in range(1, 100_000, 2))
+    assert time.monotonic() - began < 60
