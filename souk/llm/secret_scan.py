@@ -30,6 +30,7 @@ columns of the input are ignored. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,23 +55,93 @@ class Spread:
     min_repos: int = 10   # ... or one of several owners and so many repositories
 
 
+CHUNK = 256   # items that are worked on at once, so that no array is copied per item
+SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def chunks(items: Column) -> Column:
+    """The array cut into arrays of at most ``CHUNK`` items."""
+    return bound(items, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")),
+        lambda c: F.slice(x, c * CHUNK + 1, CHUNK)))
+
+
+def running_max(items: Column) -> Column:
+    """The largest of the items so far, for each item (an array of int)."""
+    empty = F.array().cast("array<int>")
+
+    def inside(chunk: Column) -> Column:
+        return F.aggregate(chunk, empty, lambda acc, x: F.array_append(
+            acc, F.greatest(x, F.get(acc, F.size(acc) - 1))))
+
+    zero = F.struct(F.lit(0).alias("top"), F.array().cast("array<array<int>>").alias("out"))
+    done = F.aggregate(F.transform(chunks(items), inside), zero, lambda acc, c: F.struct(
+        F.greatest(acc["top"], F.get(c, F.size(c) - 1)).alias("top"),
+        F.array_append(acc["out"], F.transform(c, lambda x: F.greatest(x, acc["top"]))).alias("out")),
+        lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(items) > 0, done).otherwise(empty)
+
+
+def count_up_to(sorted_items: Column, x: Column) -> Column:
+    """How many of the sorted items are not above ``x``, by halving."""
+    zero = F.struct(F.lit(0).alias("low"), F.size(sorted_items).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = F.get(sorted_items, middle) <= x
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(F.struct(
+            F.when(right, middle + 1).otherwise(acc["low"]).alias("low"),
+            F.when(right, acc["high"]).otherwise(middle).alias("high")))
+
+    rounds = F.ceil(F.log2(F.size(sorted_items) + 2.0)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), rounds), zero, halve, lambda acc: acc["low"])
+
+
 def _spans(text: Column, kind: int, pattern: str) -> Column:
     """Array of (start, kind, end, match) of every match of ``pattern``."""
     whole, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    span = "array<struct<start:int,kind:int,end:int,match:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["match"])
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
                        x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return F.struct(end.alias("at"), F.array_append(acc["found"], one).alias("found"))
+
+    def moved(found: Column, by: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(
+            (x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"),
+            x["match"].alias("match")))
 
     zipped = F.filter(F.arrays_zip(pieces.alias("piece"), whole.alias("match")),
                       lambda x: x["match"].isNotNull())
-    found = F.aggregate(zipped, zero, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(span))
+    # places inside a chunk of matches, then each chunk moved behind those before it
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    inside = F.transform(chunks(zipped), lambda c: F.aggregate(c, zero, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    found = F.aggregate(inside, none, lambda acc, c: F.struct(
+        (acc["at"] + c["at"]).alias("at"), F.array_append(acc["found"], moved(c["found"], acc["at"])).alias("found")),
+        lambda acc: F.flatten(acc["found"]))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """Tokens that share no character with a span of ``base`` (sorted by start)."""
+    starts = F.transform(base, lambda b: b["start"])
+    tops = running_max(F.transform(base, lambda b: b["end"]))
+
+    def free(t: Column, b: Column) -> Column:
+        return bound(count_up_to(b["starts"], t["start"]), lambda n: ~(
+            F.coalesce(F.get(b["tops"], n - 1) > t["start"], F.lit(False))
+            | F.coalesce(F.get(b["starts"], n) < t["end"], F.lit(False))))
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(bound(
+        F.struct(starts.alias("starts"), tops.alias("tops")), lambda b: F.filter(tokens, lambda t: free(t, b))))
 
 
 def _value(x: Column) -> Column:
@@ -91,9 +162,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.filter(_spans(F.col("text"), 3, TOKEN), lambda x: x["match"].rlike("[0-9]")
                  & x["match"].rlike("[a-z]") & x["match"].rlike("[A-Z]")).alias("token"))
     based = each.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    apart = F.filter("token", lambda t: ~F.exists(
-        "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    both = based.withColumn("found", F.concat("base", apart))
+    both = based.withColumn("found", F.concat("base", _apart(F.col("token"), F.col("base"))))
     hashed = F.transform("found", lambda x: F.struct(
         x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"),
         *digest128("value", _value(x))))
@@ -151,16 +220,28 @@ def span_list(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each span (overlapping ones as one) replaced by ``mark``."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        fresh = x["start"] >= acc["at"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], x["end"]).alias("at"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        spans, zero, step, lambda acc: F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    """``text`` with each span (overlapping ones as one) replaced by ``mark``.
+
+    Kept is what lies between the end of all spans so far and the next start beyond
+    it. The text is cut once per ``CHUNK`` of such gaps, and each gap from that cut.
+    """
+    def pieces(x: Column) -> Column:
+        gaps = F.filter(F.transform(x["spans"], lambda s, i: F.struct(
+            F.coalesce(F.get(x["tops"], i - 1), F.lit(0)).alias("begin"), s["start"].alias("end"))),
+            lambda g: g["begin"] <= g["end"])
+
+        def cut(chunk: Column) -> Column:
+            base = F.get(chunk, F.lit(0))["begin"]
+            last = F.get(chunk, F.size(chunk) - 1)["end"]
+            return bound(F.struct(F.substring(text, base + 1, last - base).alias("text"), base.alias("base"),
+                                  chunk.alias("gaps")), lambda c: F.array_join(F.transform(
+                                      c["gaps"], lambda g: F.concat(F.substring(
+                                          c["text"], g["begin"] - c["base"] + 1, g["end"] - g["begin"]), F.lit(mark))), ""))
+
+        end = F.get(x["tops"], F.size(x["tops"]) - 1)
+        return F.concat(F.array_join(F.transform(chunks(gaps), cut), ""),
+                        F.substring(text, end + 1, F.length(text)))
+
+    tops = running_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(
+        bound(F.struct(spans.alias("spans"), tops.alias("tops")), pieces))
