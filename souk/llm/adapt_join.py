@@ -46,10 +46,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import ship, stored
+from souk.llm.common import digest128, ship, stored
 from souk.llm.components import components
 from souk.llm.syncmers import _mixed
 
@@ -93,25 +93,25 @@ def set_id(tokens: np.ndarray) -> int | None:
 
 def _rows(batches: Iterator[pa.RecordBatch]):
     for b in batches:
-        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
 def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, id, n) per document and (token, seen) per frequent token (stored)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
-                        ("token", pa.int64()), ("seen", pa.int64())])
+    """Rows (doc_id, row_a, row_b, id, n) per document and (token, seen) per frequent
+    token (stored); ``docs`` has doc_id, text and the row's digest row_a, row_b."""
+    names = ["doc_id", "row_a", "row_b", "id", "n", "token", "seen"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, out = [], 0, []
 
-        def made(force: bool) -> Iterator[pa.RecordBatch]:
+        def due(force: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if out and (force or len(out) >= 2_000):
-                ids, keys, sizes = zip(*out)
-                none = [None] * len(out)
+                none = pa.nulls(len(out), pa.int64())
+                made = [pa.array(c, pa.int64()) for c in zip(*out)]
                 out.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in (ids, keys, sizes, none, none)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*made, none, none], schema=schema)
             if held and (force or size >= STRETCH):
                 tokens, seen = np.unique(np.concatenate(held), return_counts=True)
                 held, size = [], 0
@@ -119,18 +119,17 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                 tokens, seen = tokens[often], seen[often].astype(np.int64)
                 none = pa.nulls(len(tokens), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none, pa.array(tokens), pa.array(seen)], schema=schema)
+                    [none, none, none, none, none, pa.array(tokens), pa.array(seen)], schema=schema)
 
-        for doc, text in _rows(batches):
+        for doc, text, a, b in _rows(batches):
             tokens = shingles(text, words)
-            out.append((doc, set_id(tokens), len(tokens)))
+            out.append((doc, a, b, set_id(tokens), len(tokens)))
             held.append(tokens)
             size += len(tokens)
-            yield from made(False)
-        yield from made(True)
+            yield from due(False)
+        yield from due(True)
 
-    return stored(docs.mapInArrow(run, "doc_id long, id long, n long, token long, seen long"),
-                  "shingle-sets")
+    return stored(docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "shingle-sets")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -287,7 +286,7 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
                 if len(held) > 1_000:
                     held.clear()
                 for i, text in zip((u, v), both):
-                    if i not in held:
+                    if not len(held.get(i, ())):  # an id's other text gave nothing
                         tokens = shingles(text, words)
                         held[i] = tokens if set_id(tokens) == i else tokens[:0]
                 if len(held[u]) and len(held[v]) and _linked(held[u], held[v], percent):
@@ -305,11 +304,16 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, set_id (its class) and component_id."""
+                       words: int = WORDS, percent: int = PERCENT,
+                       row: list[Column] | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, set_id (its class), component_id, component_set
+    (the least class of its component) and row_a, row_b, a digest of ``row`` (columns of
+    ``docs`` that tell rows apart; otherwise of id and text)."""
     ship(docs.sparkSession)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = sets_and_counts(read, words)
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    digested = docs.select(doc_id.alias("doc_id"), text.alias("text"), *digest128("row", *(row or [doc_id, text])))
+    read = digested.select("doc_id", "text")
+    seen = sets_and_counts(digested, words)
     each = seen.where("n is not null")
     classes = stored(each.where("id is not null and doc_id is not null").groupBy("id")
                      .agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
@@ -322,7 +326,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = (found.join(classes, found["node"] == classes["id"])
              .groupBy("root").agg(F.min("doc_id").alias("component")))
     rooted = (classes.join(found, classes["id"] == found["node"], "left").join(named, "root", "left")
-              .select("id", F.coalesce("component", "doc_id").alias("component")))
+              .select("id", F.coalesce("component", "doc_id").alias("component"),
+                      F.coalesce("root", "id").alias("component_set")))
     return (each.join(rooted, "id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), "component_set", "row_a", "row_b",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
