@@ -1,22 +1,23 @@
 """How far the sources of a language differ in their words.
 
-A CountVectorizer with a least document frequency and no other limit
+Per language, a CountVectorizer with a least document frequency and no other limit
 (``vocabSize`` is the largest integer) turns each document into an exact sparse
-vector of term counts. A document has one language, so terms are counted as
-(language, term): one fit gives each language its own vocabulary, with its own
-document frequencies, without a pass per language.
-
-The vectors are written and read back as plain index and value arrays, whose
-sums per (language, source) are taken by Spark as whole numbers, combined in each
-task before they are shuffled: like the Summarizer's sums, but exact and without
-a dense buffer per group. From then on only the terms that a source has are
-rows. Pairs of sources are evaluated over terms that both have; the terms that
-one or neither has enter by how often each count occurs in a source, as their
-share in the other source is one and the same number.
-
-CountVectorizer holds its vocabulary on the driver, so the terms are dealt into
-slices by hash, as many as an estimate of the distinct terms asks for
-(``SLICE_TERMS`` each), and one is fitted after the other on the written terms.
+vector of term counts. Languages of more than one in ``LARGE`` documents (fewer
+than ``LARGE`` of them) have a fit each; all smaller ones share a fit, in which
+every term is marked with its language, so that it keeps its own document frequency.
+
+The vectors are unwrapped into index and value arrays, whose sums per (language,
+source) are taken by Spark as whole numbers, combined in each task before they
+are shuffled: like the Summarizer's sums, but exact and without a dense buffer per
+group. From then on only the terms that a source has are rows. Pairs of sources are
+evaluated over terms that both have; the terms that one or neither has enter by
+how often each count occurs in a source, as their share in the other source is one
+and the same number.
+
+CountVectorizer holds its vocabulary on the driver, so the terms of a fit are dealt
+into slices by hash, as many as an estimate of its distinct terms asks for
+(``SLICE_TERMS`` each), and one slice is fitted after the other. The estimate counts
+the distinct terms of one in ``SAMPLED`` hash values, written beside the terms.
 The pairs of one language's sources are as many as the contract asks for.
 
 Shares are in whole billionths: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N the
@@ -47,28 +48,34 @@ NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"   # ASCII that is no letter
 MARK = "\x00"                # between language and term; never in a term
 MIN_DF = 10                  # documents that hold a kept term
 ALL_TERMS = 2 ** 31 - 1      # vocabSize: the largest integer
+LARGE = 64                   # a language of more than one in so many documents has its own fit
 SLICE_TERMS = 4_000_000      # distinct terms of one fit, about
+SAMPLED = 256                # one in so many hash values is looked at for that
 TOP = 10                     # ranks of part ``term``
 ONE = 10 ** 9
-# A stored vector read as plain columns (its UDT's own layout).
-VECTORS = ("lang string, source string, "
-           "vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
 
 
 def term_lists(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, terms: each marked with its language, ASCII letters lowered."""
+    """lang, source, terms: runs of letters, ASCII ones lowered."""
     def col(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
-    lowered = F.translate(col(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    terms = F.filter(F.split(lowered, NOT_TERM), lambda x: x != "")
-    return (docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"), terms.alias("terms"))
-            .select("lang", "source", F.transform(
-                "terms", lambda x: F.concat("lang", F.lit(MARK), x)).alias("terms")))
+    text = col(text_col)
+    # ``lower`` is much faster, but means other letters too where there are any
+    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"),
+                       F.filter(F.split(lowered, NOT_TERM), lambda x: x != "").alias("terms"))
 
 
-def _slice_counts(lists: DataFrame, min_df: int) -> DataFrame | None:
-    """Counts (lang, source, term, count) of the kept terms; None if no term is kept."""
+def once(value: Column) -> Column:
+    """``value`` as a generated column: what reads it twice does not compute it twice."""
+    return F.explode(F.array(value))
+
+
+def _fitted(lists: DataFrame, min_df: int, marked: bool, fit: int) -> tuple[DataFrame, DataFrame] | None:
+    """The kept terms' counts (lang, source, number, count) and names (number, term) of
+    one fit; None if no term is kept. ``number`` is the term's index, with the fit."""
     spark = lists.sparkSession
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df),
@@ -77,30 +84,49 @@ def _slice_counts(lists: DataFrame, min_df: int) -> DataFrame | None:
         if "vocabulary size" in str(e):   # no term stands in so many documents
             return None
         raise
-    path = scratch_path(spark, "term-vectors")
-    model.transform(lists).select("lang", "source", "vector").write.parquet(path)
-    entries = spark.read.schema(VECTORS).parquet(path).select("lang", "source", F.explode(
-        F.arrays_zip(F.col("vector.indices").alias("at"), F.col("vector.values").alias("n"))).alias("x"))
-    sums = entries.groupBy("lang", "source", F.col("x.at").alias("at")).agg(
-        F.sum(F.col("x.n").cast("long")).alias("count"))
-    terms = [x.rsplit(MARK, 1)[1] for x in model.vocabulary]
-    names = spark.createDataFrame(pa.table({"at": pa.array(range(len(terms)), pa.int32()), "term": terms}))
-    return sums.join(names, "at").select("lang", "source", "term", "count")
-
-
-def group_counts(lists: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """Counts of every kept term in every (lang, source) that has it."""
+    first = fit << 32
+    sparse = model.transform(lists).select("lang", "source", once(F.unwrap_udt("vector")).alias("v"))
+    entries = sparse.select("lang", "source", "v", F.posexplode("v.indices").alias("i", "at"))
+    sums = entries.groupBy("lang", "source", "at").agg(
+        F.sum(F.get("v.values", F.col("i")).cast("long")).alias("count"))
+    terms = [x.split(MARK)[-1] for x in model.vocabulary] if marked else model.vocabulary
+    names = spark.createDataFrame(pa.table({"number": pa.array(range(first, first + len(terms)), pa.int64()), "term": terms}))
+    return (stored(sums.select("lang", "source", (F.col("at") + F.lit(first)).alias("number"), "count"), "term-counts"),
+            stored(names, "term-names"))
+
+
+def group_counts(lists: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS,
+                 large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """Counts of every kept term in every (lang, source) that has it, and the terms' names."""
     spark = lists.sparkSession
-    distinct = lists.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    slices = max(1, -(-distinct // slice_terms))
-    out = spark.createDataFrame([], "lang string, source string, term string, count long")
-    for i in range(slices):
-        mine = lists if slices == 1 else lists.withColumn("terms", F.filter(
-            "terms", lambda x: F.pmod(F.xxhash64(x), F.lit(slices)) == i))
-        found = _slice_counts(mine, min_df)
-        if found is not None:
-            out = out.unionByName(found)
-    return stored(out, "term-counts")
+    per_lang = lists.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    total = lists.count()
+    # fewer than ``large`` languages hold more than one in so many documents
+    own = [r.lang for r in per_lang.where(F.col("docs") * large > total).orderBy("lang").collect()]
+    part = F.array_position(F.lit(own) if own else F.array().cast("array<string>"), F.col("lang")).cast("int")
+    sample = F.filter("terms", lambda x: F.pmod(F.xxhash64(x), F.lit(SAMPLED)) == 0)
+    path = scratch_path(spark, "term-lists")
+    cut = lists.select("lang", "source", once(F.col("terms")).alias("terms"))
+    cut.select("lang", "source", "terms", sample.alias("sample"), part.alias("part")).write.partitionBy("part").parquet(path)
+    dealt = spark.read.schema("lang string, source string, terms array<string>, sample array<string>, part int").parquet(path)
+    seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode("sample").alias("t"))
+            .groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
+    counts = spark.createDataFrame([], "lang string, source string, number long, count long")
+    names = spark.createDataFrame([], "number long, term string")
+    fit = 0
+    for number in range(len(own) + 1):   # 0: the small languages together
+        mine = dealt.where(F.col("part") == number).select("lang", "source", "terms")
+        slices = max(1, -(-seen.get(number, 0) // slice_terms))
+        for i in range(slices):
+            some = mine if slices == 1 else mine.withColumn("terms", F.filter(
+                "terms", lambda x: F.pmod(F.xxhash64(x), F.lit(slices)) == i))
+            if number == 0:
+                some = some.withColumn("terms", F.transform("terms", lambda x: F.concat("lang", F.lit(MARK), x)))
+            found = _fitted(some, min_df, number == 0, fit)
+            fit += 1
+            if found is not None:
+                counts, names = counts.unionByName(found[0]), names.unionByName(found[1])
+    return counts, names
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -118,7 +144,7 @@ def term_divergence(p: Column, q: Column) -> Column:
 def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value for each ordered pair of sources of a language.
 
-    ``counts`` has p, ``groups`` total, terms (kept by the language), own (terms
+    ``counts`` has the shares p by term number, ``groups`` total, terms (kept by the language), own (terms
     the source has) and p_none (share of a term it does not have).
     """
     side = groups.select("lang", F.col("source").alias("item"), F.col("p_none").alias("q_none"),
@@ -130,9 +156,9 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
               .groupBy("lang", "source", "item")
               .agg(F.sum(F.col("times") * term_divergence(F.col("p"), F.col("q_none"))).alias("apart")))
     # terms that both have: their true value instead of the two taken above
-    a = counts.select("lang", "term", "source", "p", "p_none")
-    b = counts.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p_none").alias("q_none"))
-    shared = (a.join(b, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item")
+    a = counts.select("lang", "number", "source", "p", "p_none")
+    b = counts.select("number", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p_none").alias("q_none"))
+    shared = (a.join(b, "number").where("source < item").groupBy("lang", "source", "item")
               .agg(F.count("*").alias("both"), F.sum(
                   term_divergence(F.col("p"), F.col("q")) - term_divergence(F.col("p"), F.col("q_none"))
                   - term_divergence(F.col("p_none"), F.col("q"))).alias("change")))
@@ -159,12 +185,12 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                       source_col: str = "source", min_df: int = MIN_DF, top: int = TOP,
-                      slice_terms: int = SLICE_TERMS) -> DataFrame:
+                      slice_terms: int = SLICE_TERMS, large: int = LARGE) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources and each source's
     ``top`` terms that it uses more than its language."""
-    lists = stored(term_lists(docs, text_col, lang_col, source_col), "term-lists")
-    found = group_counts(lists, min_df, slice_terms)
-    per_term = found.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"))
+    lists = term_lists(docs, text_col, lang_col, source_col)
+    found, names = group_counts(lists, min_df, slice_terms, large)
+    per_term = found.groupBy("lang", "number").agg(F.sum("count").alias("lang_count"))
     per_lang = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
     per_group = found.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own"))
     groups = stored(
@@ -173,11 +199,11 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         .withColumn("p_none", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "term-groups")
     counts = stored(
         found.join(groups.select("lang", "source", "total", "terms", "lang_total", "p_none"), ["lang", "source"])
-        .join(per_term, ["lang", "term"])
-        .select("lang", "source", "term", "p_none", share(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
+        .join(per_term.drop("lang"), "number")
+        .select("lang", "source", "number", "p_none", share(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
                 share(F.col("lang_count"), F.col("lang_total"), F.col("terms")).alias("q")), "term-shares")
     pairs = _ranked(_pairs(counts.drop("q"), groups)).withColumn("part", F.lit("pair"))
-    terms = _ranked(counts.where("p > q").select(
+    terms = _ranked(counts.where("p > q").join(names, "number").select(
         "lang", "source", F.col("term").alias("item"), term_divergence(F.col("p"), F.col("q")).alias("value"))
     ).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
     return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")

@@ -56,11 +56,16 @@ def corpus():
     return rows + [(None, None, None), ("", "en", "empty"), ("!!! 12", "de", ""), ("alone", "lone", "s"), (None, "lone", "t")]
 
 
-@pytest.mark.parametrize("min_df,slice_terms", [(10, 4_000_000), (1, 4_000_000), (2, 5)])
-def test_equals_plain_counting(spark, min_df, slice_terms):
+@pytest.mark.parametrize("min_df,slice_terms,large", [
+    (10, 4_000_000, 64), (1, 4_000_000, 3), (2, 4_000_000, 1), (2, 400, 64)])
+def test_equals_plain_counting(spark, monkeypatch, min_df, slice_terms, large):
+    """A fit per language, all languages in one fit, some of each, and terms in slices."""
+    if slice_terms < 1000:   # look at every term, so that few make several slices
+        monkeypatch.setattr(divergence, "SAMPLED", 1)
+        slice_terms = 5
     rows = corpus()
     df = spark.createDataFrame([(*r, "v", "t") for r in rows], "text string, lang string, source string, value string, term string")
-    found = divergence.source_divergence(df.repartition(4), min_df=min_df, slice_terms=slice_terms)
+    found = divergence.source_divergence(df.repartition(4), min_df=min_df, slice_terms=slice_terms, large=large)
     assert got(found) == want(rows, min_df)
 
 
