@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,8 @@ from souk.llm import merkle, mil_quality, packing, reply_trees, secret_scan, syn
 from souk.llm.common import table
 from souk.session import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"   # folder of the public tokenizers' files
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def sha(text: Column) -> Column:

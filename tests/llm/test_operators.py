@@ -40,6 +40,59 @@ def test_op1_equals_the_library(spark, edge, none):
         assert r.n_tokens > 0 and len(r.ids_sha256) == 64
 
 
+def test_op1_whole_table_equals_the_library(spark):
+    tok = Tokenizer.from_file(queries.BYTE_BPE)
+    tok.encode_special_tokens = False
+    want = {}
+    for r in documents(spark):
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256)
+           for r in queries.op1_bpe_automaton(spark, SF_SMALL).collect()}
+    assert got == want
+
+
+def test_op1_random_merges_with_equal_labels():
+    """Any list of merges, also two that give the same label, encodes as merging by
+    rank does: the lowest pair first, from left to right."""
+    import random
+    rng, refused = random.Random(5), 0
+    for _ in range(80):
+        names, merges = ["a", "b", "c"], []
+        for _ in range(rng.randrange(2, 14)):
+            pair = rng.choice(names), rng.choice(names)
+            if pair not in merges and len(pair[0] + pair[1]) <= 8:
+                merges.append(pair)
+                if pair[0] + pair[1] not in names:
+                    names.append(pair[0] + pair[1])
+        if rng.random() < 0.5:   # the same label from other parts
+            merges += [m for m in (("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")) if m not in merges]
+            names += [x for x in ("ab", "bc", "abc") if x not in names]
+        ids, rank = {x: i for i, x in enumerate(names)}, {m: i for i, m in enumerate(merges)}
+        try:
+            auto = bpe_automaton.Automaton({i: x.encode() for x, i in ids.items()},
+                                           [(ids[u], ids[v], ids[u + v]) for u, v in merges], {})
+        except ValueError:
+            refused += 1
+            continue
+        enc = bpe_automaton.Encoder(auto)
+        for _ in range(150):
+            word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+            parts = list(word)
+            while True:
+                pairs = [rank.get(p, len(rank)) for p in zip(parts, parts[1:])]
+                if not pairs or min(pairs) == len(rank):
+                    break
+                u, v = merges[min(pairs)]
+                i = 0
+                while i + 1 < len(parts):
+                    if (parts[i], parts[i + 1]) == (u, v):
+                        parts[i:i + 2] = [u + v]
+                    i += 1
+            assert enc.encode_word(word.encode()) == [ids[p] for p in parts], (merges, word)
+    assert refused < 20
+
+
 def test_op1_arcs_are_those_of_merging():
     """Small automaton: the accepted split is what merging by rank gives."""
     merges = [("a", "b"), ("ab", "a"), ("b", "b"), ("a", "a"), ("aba", "bb"), ("aa", "aa")]
@@ -69,7 +122,7 @@ def test_op2_every_slot_once_and_resumable(spark, edge, none, tmp_path):
     rows = training_order.write_shards(edge, queries.WORD_BPE, str(tmp_path / "s"), length=64,
                                        shard_records=16).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    read = list(training_order.read_records(str(tmp_path / "s"), 3, len(rows), 64, 16))
+    read = list(training_order.read_records(spark, str(tmp_path / "s"), 3, len(rows), 64))
     assert len(read) == len(rows) - 3
     by_slot = {r.slot: r for r in rows}
     for i, record in enumerate(read):
@@ -81,6 +134,39 @@ def test_op2_every_slot_once_and_resumable(spark, edge, none, tmp_path):
     assert training_order.write_shards(none, queries.WORD_BPE, str(tmp_path / "e")).count() == 0
 
 
+def test_op2_written_once_and_alike_again(spark, edge, tmp_path):
+    """The shards are there on return, a second action writes nothing, and another
+    run of the same tasks leaves the same bytes."""
+    def shards(folder):
+        return {p: p.stat().st_mtime_ns for p in folder.glob("shard-*")}
+
+    made = training_order.write_shards(edge, queries.WORD_BPE, str(tmp_path / "a"), length=64, shard_records=16)
+    files = shards(tmp_path / "a")
+    named = {tmp_path / "a" / r.file for r in made.collect()}
+    assert named == set(files) and made.limit(1).count() == 1
+    assert shards(tmp_path / "a") == files
+    again = training_order.write_shards(edge, queries.WORD_BPE, str(tmp_path / "b"), length=64, shard_records=16)
+
+    def by_shard(rows, folder):
+        return {r.shard: (folder / r.file).read_bytes() for r in rows.collect()}
+
+    assert by_shard(made, tmp_path / "a") == by_shard(again, tmp_path / "b")
+    with pytest.raises(Exception, match="exist"):
+        training_order.write_shards(edge, queries.WORD_BPE, str(tmp_path / "a"))
+
+
+def test_op2_wide_ids_and_schemes(spark, edge, tmp_path):
+    """Ids beyond 16 bits are written in 32, and folders of other schemes are refused."""
+    spec = bpe_automaton.read_spec(queries.WORD_BPE)
+    assert training_order.id_code(spec, 2) == "H" and training_order.id_code(spec, 1 << 16) == "I"
+    rows = training_order.write_shards(edge, queries.WORD_BPE, f"file:{tmp_path}/w", length=32, end_id=70_000).collect()
+    read = list(training_order.read_records(spark, f"file:{tmp_path}/w", 0, len(rows), 32, "I"))
+    assert sum((r == 70_000).sum() for r in read) == edge.count()
+    assert {r.byte_offset % (32 * 4) for r in rows} == {0}
+    with pytest.raises(Exception):
+        training_order.write_shards(edge, queries.WORD_BPE, "nosuch://bucket/x")
+
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
                     r"([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
@@ -194,6 +280,51 @@ def test_op6_equals_all_pairs(spark, edge, none, monkeypatch):
     assert adapt_join.similar_components(none).count() == 0
 
 
+def test_op6_texts_joined_by_a_shuffle(spark, edge, monkeypatch):
+    """More needed texts than may be broadcast, in pairs and in cells."""
+    monkeypatch.setattr(adapt_join, "FILTER_ROWS", 0)
+    monkeypatch.setattr(adapt_join, "SMALL_LIST", 3)
+    docs = edge.select("doc_id", "text").union(spark.range(50, 80).selectExpr(
+        "id", "concat('a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd ', id div 3)"))
+    got = adapt_join.similar_components(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(docs.collect())
+
+
+def test_op4_equal_cosines_take_the_first_language(spark, edge):
+    learned = hd_language.learn(spark.createDataFrame(
+        [(i, "some plain words here", x) for i, x in enumerate(["zz", "aa", "mm"])],
+        "doc_id long, text string, lang string"))
+    assert learned["aa"] == learned["zz"]
+    found = {r.doc_id: r for r in hd_language.predict(edge, learned).collect()}
+    assert found[3].lang_pred == "aa" and found[1].lang_pred == "und"
+
+
+def test_op4_learns_the_same_documents_in_salts(spark):
+    """The k least by hash of each language, whatever the salts."""
+    rows = [(i, f"text {i}", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = hd_language.learn(docs, per_language=7)
+    least = docs.select("*", F.xxhash64("doc_id").alias("h")).collect()
+    chosen = [r.doc_id for x in "ab" for r in sorted((r for r in least if r.lang == x), key=lambda r: r.h)[:7]]
+    assert few == hd_language.learn(docs.where(F.col("doc_id").isin(chosen)))
+
+
+def test_op7_defined_cases(spark, edge, monkeypatch):
+    """Text ids, labels that repeat (their mean counts, 0.5 as 1), and bags of bounded size."""
+    monkeypatch.setattr(mil_quality, "FIT_PASSAGES", 4)
+    good, bad = "plain words make a sentence. " * 200, "#### $$$ |||| 1234 " * 200
+    docs = spark.createDataFrame([(f"g{i}", good + str(i)) for i in range(12)] + [(f"b{i}", bad + str(i)) for i in range(12)],
+                                 "doc_id string, text string")
+    labels = spark.createDataFrame(
+        [(f"g{i}", x) for i in range(12) for x in (1, 0)] + [(f"b{i}", 0) for i in range(12)], "doc_id string, quality int")
+    model = mil_quality.learn(docs, labels)
+    found = {r.doc_id: r.score for r in mil_quality.score(docs, model).collect()}
+    assert min(found[f"g{i}"] for i in range(12)) > max(found[f"b{i}"] for i in range(12))
+    scores = mil_quality.score(edge, model).collect()
+    assert len(scores) == edge.count() and all(0 <= r.score <= 1 for r in scores)
+    assert len({r.score for r in scores if r.doc_id in (0, 1)}) == 1
+
+
 def test_op7_held_out(spark, edge, none):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
     rows = [r for r in queries.op7_mil_quality(spark, SF_SMALL).collect()]
@@ -232,6 +363,20 @@ def test_op8_round_trip_and_branches(spark):
     assert paths == {("t", 1): ["a", "c"], ("t", 2): ["a", "b", ""], ("u", 1): ["y"], ("u", 2): ["x"]}
 
 
+def test_op8_defined_cases(spark):
+    """NULL conversations and roles, repeated turns, clashing columns, an empty table."""
+    rows = [(None, 0, "user", "n"), (None, 1, "assistant", None), (7, 0, "user", "a"), (7, 0, "user", "a"),
+            (7, 1, None, "b"), (7, 1, "assistant", "c" * 200_000), (8, None, "user", "d")]
+    messages = spark.createDataFrame([(*r, "x", 1) for r in rows],
+                                     "conv_id long, turn long, role string, text string, tree string, node int")
+    got = reply_trees.read_back(reply_trees.format_paths(reply_trees.number_turns(
+        messages.select("conv_id", "turn", "role", "text")))).collect()
+    texts = {r.tree.conv: sorted(x.text for x in r.turns) for r in got}
+    assert texts == {None: ["", "n"], 7: sorted(["a", "a", "b", "c" * 200_000]), 8: ["d"]}
+    empty = messages.select("conv_id", "turn", "role", "text").limit(0)
+    assert reply_trees.format_paths(reply_trees.number_turns(empty)).count() == 0
+
+
 def base_rules(text: str) -> tuple:
     w = [x for x in GAP.split(text) if x]
     seen = Counter(zip(w, w[1:], w[2:]))
