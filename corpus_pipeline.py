@@ -5,16 +5,15 @@ takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
 Parquet to the shared scratch folder and rereads it for the next stage. All but
 the last return the columns of ``documents``.
 
-A row's decision is joined to it by a digest of its id, host and text, or by
-its id; only rows with a decision are on the other side of those joins. Rows
-that repeat an id are copies of that document: the near-duplicate stage keeps
-the one with the least text. Rows without id are judged like all others and
-never taken for copies.
+A row's decision is joined to it by a digest of its columns, never by its id, so
+different documents of one id are judged each for itself; only rows with a
+decision are on the other side of those joins. Rows without id are judged like
+all others and never taken for copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.llm import adapt_join, hd_language, line_quality, packing, secret_scan
@@ -50,15 +49,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies, the document with the least id."""
-    found = adapt_join.similar_components(docs, words=COPY_WORDS, percent=COPY_PERCENT)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = (rows.where("doc_id is not null").join(copies, "doc_id", "anti")
-             .withColumn("copy of id", F.row_number().over(first))
-             .where(F.col("copy of id") == 1).select(*COLUMNS))
-    return named.union(rows.where("doc_id is null"))
+    """Keeps, of each group of near copies, the document with the least id.
+
+    Decided by row digest: rows of one id that are no near copies of each other all
+    stay. Of rows of that least id the one with the least digest stays, and one of
+    rows that are alike in every column.
+    """
+    row = [F.col(c) for c in COLUMNS]
+    found = stored(adapt_join.similar_components(docs, words=COPY_WORDS, percent=COPY_PERCENT, row=row)
+                   .where("doc_id is not null and set_id is not null")
+                   .groupBy("component_set", "doc_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("times")),
+                   "near-copies")
+    least = found.groupBy("component_set").agg(F.min(F.struct("doc_id", "row_a", "row_b")).alias("least"))
+    stays = ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("row_a") == F.col("least.row_a"))
+             & (F.col("row_b") == F.col("least.row_b")))
+    judged = found.join(least, "component_set").withColumn("stays", stays).where(~F.col("stays") | (F.col("times") > 1))
+    judged = stored(judged.select("row_a", "row_b", "stays"), "copies")
+    rows = docs.select(*COLUMNS).select(*COLUMNS, *digest128("row", *row))
+    kept = rows.join(judged.where("not stays"), ["row_a", "row_b"], "anti")
+    repeated = judged.where("stays").select("row_a", "row_b")
+    if not repeated.isEmpty():  # rows alike in every column: one of them
+        once = kept.join(repeated, ["row_a", "row_b"], "semi").dropDuplicates(["row_a", "row_b"])
+        kept = kept.join(repeated, ["row_a", "row_b"], "anti").unionByName(once)
+    return kept.select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
