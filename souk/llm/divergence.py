@@ -107,7 +107,9 @@ def group_counts(lists: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLIC
     sample = F.filter("terms", lambda x: F.pmod(F.xxhash64(x), F.lit(SAMPLED)) == 0)
     path = scratch_path(spark, "term-lists")
     cut = lists.select("lang", "source", once(F.col("terms")).alias("terms"))
-    cut.select("lang", "source", "terms", sample.alias("sample"), part.alias("part")).write.partitionBy("part").parquet(path)
+    # read twice and thrown away: written the way that costs the least
+    (cut.select("lang", "source", "terms", sample.alias("sample"), part.alias("part")).write.partitionBy("part")
+     .option("compression", "lz4").option("parquet.enable.dictionary", "false").parquet(path))
     dealt = spark.read.schema("lang string, source string, terms array<string>, sample array<string>, part int").parquet(path)
     seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode("sample").alias("t"))
             .groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
