@@ -61,6 +61,7 @@ HOT_TOKENS = 200_000   # frequent tokens that are put last (1.6 MB to broadcast)
 STRETCH = 3_000_000    # tokens counted at once while reading
 SMALL_LIST = 64        # documents of a list that are paired one by one
 BLOCK = 512            # documents of a cell's block
+PREFIX_ROWS = 50       # tokens of a prefix, about: what a class counts in the number of files
 FILTER_ROWS = 1_000_000  # (class, document) rows that may be broadcast: 16 MB
 
 
@@ -93,7 +94,8 @@ def set_id(tokens: np.ndarray) -> int | None:
 
 def _rows(batches: Iterator[pa.RecordBatch]):
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns))
+        for at in range(0, b.num_rows, 500):  # strings of a whole batch would be many
+            yield from zip(*(c.to_pylist() for c in b.slice(at, 500).columns))
 
 
 def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
@@ -113,8 +115,9 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
                 out.clear()
                 yield pa.RecordBatch.from_arrays([*made, none, none], schema=schema)
             if held and (force or size >= STRETCH):
-                tokens, seen = np.unique(np.concatenate(held), return_counts=True)
+                tokens = np.concatenate(held)
                 held, size = [], 0
+                tokens, seen = np.unique(tokens, return_counts=True)
                 often = seen >= 3
                 tokens, seen = tokens[often], seen[often].astype(np.int64)
                 none = pa.nulls(len(tokens), pa.int64())
@@ -193,13 +196,13 @@ def _pairs(shared: DataFrame, percent: int) -> DataFrame:
             .where("matches >= asked").select("u", "v"))
 
 
-def _cells(shared: DataFrame, percent: int) -> DataFrame:
+def _cells(shared: DataFrame, percent: int, width: int) -> DataFrame:
     """(cell, band, first, second, own, id): the documents of long lists by cell and blocks."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     rows = shared.select("token", "id", F.explode(F.array(band, band + 1)).alias("band"))
     least = rows.groupBy("token", "band").agg(F.min("id").alias("cell"))
     member = rows.join(least, ["token", "band"]).select("cell", "band", "id").distinct()
-    member = stored(member, "join-cells")
+    member = stored(member, "join-cells", rows=width)
     sizes = (member.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("size"))
              .where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
     own = member.join(sizes, ["cell", "band"]).withColumn(
@@ -254,17 +257,19 @@ def _block_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
 
 
 def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
-             percent: int, repeated: bool) -> DataFrame:
-    """Verified links (u, v) between classes; ``repeated``: some ids come twice."""
+             percent: int, repeated: bool) -> tuple[DataFrame, int]:
+    """Verified links (u, v) between classes, and how many there are at most;
+    ``repeated``: some ids come twice."""
+    width = PREFIX_ROWS * classes.count()
     first = classes.select("id", F.col("doc_id").alias("first"))
     heads = stored(prefixes(docs, hot, words, percent).join(first, "id")
                    .where("doc_id = first").dropDuplicates(["id"])
-                   .select("id", F.col("n").cast("int").alias("n"), "tokens"), "join-prefixes")
+                   .select("id", F.col("n").cast("int").alias("n"), "tokens"), "join-prefixes", rows=width)
     # dealt by token once: the counts and the join read the same shuffle
     rows = heads.select("id", "n", F.posexplode("tokens").alias("at", "token")).repartition("token")
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("list")).where("list > 1")
     level = F.greatest(F.lit(1), F.col("at") - F.floor((100 - percent) * F.col("n") / 100) + 1)
-    shared = stored(rows.join(lists, "token").withColumn("level", level.cast("int")), "join-shared")
+    shared = stored(rows.join(lists, "token").withColumn("level", level.cast("int")), "join-shared", rows=width)
     cost = shared.where("level = 1").groupBy("id").agg(F.sum(F.col("list") - 1).alias("cost"))
     asked = F.lit(1)
     for c in COSTS:
@@ -272,8 +277,8 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
     least = F.col("n") - F.floor((100 - percent) * F.col("n") / 100)  # any partner shares so many
     shared_cost = shared.join(cost, "id", "left").withColumn(
         "asked", F.least(asked, least.cast("int")))
-    pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs")
-    cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent), "join-blocks")
+    pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs", rows=width)
+    cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent, width), "join-blocks", rows=width)
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(
         cells.select("id")).distinct()
     texts = whole_texts(docs, classes.join(wanted, "id", "semi").select("id", "doc_id"), repeated)
@@ -282,7 +287,7 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
         for b in batches:
             held: dict[int, np.ndarray] = {}  # pairs come sorted, so sets repeat
             kept = []
-            for u, v, *both in zip(*(c.to_pylist() for c in b.columns)):
+            for u, v, *both in _rows([b]):
                 if len(held) > 1_000:
                     held.clear()
                 for i, text in zip((u, v), both):
@@ -300,7 +305,7 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
                 .select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
     in_cells = (cells.join(texts, "id").groupBy("cell", "band", "first", "second")
                 .applyInPandas(lambda pdf: _block_links(pdf, words, percent), "u long, v long"))
-    return verified.union(in_cells)
+    return verified.union(in_cells), pairs.count() + cells.count()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -316,13 +321,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = sets_and_counts(digested, words)
     each = seen.where("n is not null")
     classes = stored(each.where("id is not null and doc_id is not null").groupBy("id")
-                     .agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
+                     .agg(F.min("doc_id").alias("doc_id")), "shingle-classes", rows=each.count())
     # at most HOT_TOKENS numbers come to the driver
     often = (seen.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
              .orderBy(F.col("seen").desc(), "token").limit(HOT_TOKENS).toPandas())
     hot = often.sort_values(["seen", "token"])["token"].to_numpy(np.int64)  # rarest first
     repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
-    found = components(links_of(read, classes, hot, words, percent, repeated))
+    found = components(*links_of(read, classes, hot, words, percent, repeated))
     named = (found.join(classes, found["node"] == classes["id"])
              .groupBy("root").agg(F.min("doc_id").alias("component")))
     rooted = (classes.join(found, classes["id"] == found["node"], "left").join(named, "root", "left")

@@ -55,7 +55,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import WORKER, ship
+from souk.llm.common import ship, worker_tables
 
 # White space as the tokenizer's pattern means it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -283,9 +283,10 @@ def read_spec(path: str) -> str:
 def worker_encoder(shared: Broadcast) -> Encoder:
     """The worker's encoder: compiled once, its tables kept for later tasks."""
     name = "bpe", hashlib.sha256(shared.value.encode()).digest()
-    if name not in WORKER:
-        WORKER[name] = Encoder(Automaton.from_spec(shared.value))
-    return WORKER[name]
+    kept = worker_tables("automata")
+    if name not in kept:
+        kept[name] = Encoder(Automaton.from_spec(shared.value))
+    return kept[name]
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

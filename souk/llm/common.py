@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from souk.session import scratch_path
 
+FILE_ROWS = 250_000  # short rows of a file of ``stored``
+
 # ASCII white space as the operators' word rules name it.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -20,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage: what follows reads files that outlive any executor,
-    and a plan used twice is computed once.
+    and a plan used twice is computed once. ``rows``, if known, is about how many
+    short rows (of a few numbers) it has: they go to as many files as that asks for,
+    and two for each core at least, instead of one for each shuffle partition.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,4 +66,13 @@ def ship(spark: SparkSession) -> None:
 
 
 # What a Python worker keeps from task to task (bounded tables, by operator).
-WORKER: dict = {}
+WORKER: dict[str, dict] = {}
+
+
+def worker_tables(operator: str) -> dict:
+    """The tables that this Python worker keeps for ``operator``. A worker serves one stage
+    after the other, so it lets go of what it kept for another operator."""
+    if operator not in WORKER:
+        WORKER.clear()
+        WORKER[operator] = {}
+    return WORKER[operator]

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from souk.llm.common import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) of every node that has a link to another; the root is the
     component's least node.
 
     Links are rehung in turns: onto the least neighbour of each node for its
     larger neighbours, then for its smaller ones, until nothing changes. Each
-    turn is written to the shared scratch folder; one sum per turn reaches the
-    driver.
+    turn is written to the shared scratch folder, in files for its number of links
+    (``rows``: at most so many are given); one sum per turn reaches the driver.
     """
     def least(both: DataFrame) -> DataFrame:
         return both.groupBy("u").agg(F.min("v").alias("m"))
 
     now = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .where("u > v").distinct(), "links")
+                 .where("u > v").distinct(), "links", rows=rows)
     state = None
     while True:
         sums = now.agg(F.count(F.lit(1)).alias("n"),
@@ -37,4 +37,4 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u > v").distinct()
         small = large.join(least(large), "u")
         now = stored(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+                     .union(small.select("u", F.col("m").alias("v"))).distinct(), "links", rows=sums.n)

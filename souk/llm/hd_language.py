@@ -30,27 +30,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from souk.llm.common import WORKER, ship
+from souk.llm.common import ship, worker_tables
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 1500    # documents learned from, per language
 SALTS = 64             # parts of a language's ids in which the least are found first
 UNIT = 10_000          # whole-number scale of a document's unit vector
+BLOCK_ROWS = 128       # texts worked on at once, at most
 BLOCK_CHARS = 400_000  # characters worked on at once (a longer text is taken alone)
+KINDS = 2_000          # distinct trigrams whose vectors are held at once (8 MB)
 SEED = 20
 UNDETERMINED = "und"
 
 
 def _letters() -> np.ndarray:
     """Code point -> lower-case letter's code point, 0 for anything else."""
-    if "letters" not in WORKER:
+    kept = worker_tables("language")
+    if "letters" not in kept:
         table = np.zeros(0x110000, np.int64)
         for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 table[c] = ord(x.lower()[0])
-        WORKER["letters"] = table
-    return WORKER["letters"]
+        kept["letters"] = table
+    return kept["letters"]
 
 
 def letter_vector(letter: int) -> np.ndarray:
@@ -60,8 +63,8 @@ def letter_vector(letter: int) -> np.ndarray:
 
 def trigram_vectors(grams: np.ndarray) -> np.ndarray:
     """One row per trigram (three letters in 21 bits each)."""
-    known = WORKER.setdefault("letter vectors", {})
-    rolled = []
+    known = worker_tables("language").setdefault("letter vectors", {})
+    out = None
     for place, shift in enumerate((42, 21, 0)):
         letters, which = np.unique(grams >> shift & 0x1FFFFF, return_inverse=True)
         for x in letters.tolist():
@@ -69,8 +72,9 @@ def trigram_vectors(grams: np.ndarray) -> np.ndarray:
                 if len(known) > 6_000:
                     known.clear()
                 known[x, place] = np.roll(letter_vector(x), 2 - place)
-        rolled.append(np.stack([known[x, place] for x in letters.tolist()])[which])
-    return rolled[0] * rolled[1] * rolled[2]
+        rolled = np.stack([known[x, place] for x in letters.tolist()])[which]
+        out = rolled if out is None else np.multiply(out, rolled, out=out)
+    return out
 
 
 def text_vectors(texts: list[str]) -> np.ndarray:
@@ -88,9 +92,9 @@ def text_vectors(texts: list[str]) -> np.ndarray:
     if grams:
         kinds, which = np.unique(np.concatenate(grams), return_inverse=True)
         owner = np.concatenate(owners)
-        for at in range(0, len(kinds), 20_000):  # bounds the matrices' memory
-            some = (which >= at) & (which < at + 20_000)
-            width = min(20_000, len(kinds) - at)
+        for at in range(0, len(kinds), KINDS):
+            some = (which >= at) & (which < at + KINDS)
+            width = min(KINDS, len(kinds) - at)
             counts = np.bincount(owner[some] * width + which[some] - at,
                                  minlength=len(texts) * width).reshape(len(texts), width)
             out += counts.astype(np.float32) @ trigram_vectors(kinds[at:at + width])
@@ -101,13 +105,15 @@ def text_vectors(texts: list[str]) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]):
     """(rows, texts) of runs of rows of bounded size; the text is the last column."""
     for b in batches:
-        texts = b.column(b.num_columns - 1).to_pylist()
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= BLOCK_CHARS or i - begin >= 127 or i == len(texts) - 1:
-                yield b.slice(begin, i + 1 - begin), [t or "" for t in texts[begin:i + 1]]
-                begin, size = i + 1, 0
+        for at in range(0, b.num_rows, BLOCK_ROWS):  # strings of a whole batch would be many
+            part = b.slice(at, BLOCK_ROWS)
+            texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            begin = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= BLOCK_CHARS or i == len(texts) - 1:
+                    yield part.slice(begin, i + 1 - begin), texts[begin:i + 1]
+                    begin, size = i + 1, 0
 
 
 def held_out(id_: Column, parts: int, part: int) -> Column:

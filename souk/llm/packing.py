@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.bpe_automaton import byte_symbols, read_spec
-from souk.llm.common import WORKER, ship
+from souk.llm.common import ship, worker_tables
 
 SIZE = 4096
 OPEN_WINDOWS = 64
@@ -92,9 +92,10 @@ class WordIds(dict):
 def worker_words(spec: Broadcast, code: str = "I") -> WordIds:
     """The worker's table of words, kept for later tasks."""
     name = "words", code, hashlib.sha256(spec.value.encode()).digest()
-    if name not in WORKER:
-        WORKER[name] = WordIds(spec.value, code)
-    return WORKER[name]
+    kept = worker_tables("word ids")
+    if name not in kept:
+        kept[name] = WordIds(spec.value, code)
+    return kept[name]
 
 
 class Windows:
