@@ -6,10 +6,11 @@ vector of term counts. Languages of more than one in ``LARGE`` documents (fewer
 than ``LARGE`` of them) have a fit each; all smaller ones share a fit, in which
 every term is marked with its language, so that it keeps its own document frequency.
 
-The vectors are unwrapped into index and value arrays, whose sums per (language,
-source) are taken by Spark as whole numbers, combined in each task before they
-are shuffled: like the Summarizer's sums, but exact and without a dense buffer per
-group. From then on only the terms that a source has are rows. Pairs of sources are
+Texts are written once with ASCII letters lowered and a space for other ASCII, and
+split into terms where they are read. The vectors are unwrapped into index and value
+arrays, which each task sums per (language, source) over stretches of ``ENTRIES``
+entries before Spark shuffles and sums them as whole numbers: like the Summarizer's
+sums, but exact and without a dense buffer per group. From then on only the terms that a source has are rows. Pairs of sources are
 evaluated over terms that both have; the terms that one or neither has enter by
 how often each count occurs in a source, as their share in the other source is one
 and the same number.
@@ -17,7 +18,7 @@ and the same number.
 CountVectorizer holds its vocabulary on the driver, so the terms of a fit are dealt
 into slices by hash, as many as an estimate of its distinct terms asks for
 (``SLICE_TERMS`` each), and one slice is fitted after the other. The estimate counts
-the distinct terms of one in ``SAMPLED`` hash values, written beside the terms.
+the distinct terms of one in ``SAMPLED`` hash values.
 The pairs of one language's sources are as many as the contract asks for.
 
 Shares are in whole billionths: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N the
@@ -33,39 +34,61 @@ an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import stored
+from souk.llm.common import ship, stored
 from souk.session import scratch_path
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"   # ASCII that is no letter
+SPACED = bytes(i if i >= 128 or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256))
 MARK = "\x00"                # between language and term; never in a term
 MIN_DF = 10                  # documents that hold a kept term
 ALL_TERMS = 2 ** 31 - 1      # vocabSize: the largest integer
 LARGE = 64                   # a language of more than one in so many documents has its own fit
 SLICE_TERMS = 4_000_000      # distinct terms of one fit, about
+ENTRIES = 2_000_000          # entries of vectors that a task sums at once (24 MB)
 SAMPLED = 256                # one in so many hash values is looked at for that
 TOP = 10                     # ranks of part ``term``
 ONE = 10 ** 9
 
 
-def term_lists(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, terms: runs of letters, ASCII ones lowered."""
-    def col(name: str) -> Column:
-        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+def read_texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """lang, source, text as strings without NULLs."""
+    def col(name: str, as_name: str) -> Column:
+        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).alias(as_name)
 
-    text = col(text_col)
-    # ``lower`` is much faster, but means other letters too where there are any
-    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
-        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"),
-                       F.filter(F.split(lowered, NOT_TERM), lambda x: x != "").alias("terms"))
+    return docs.select(col(lang_col, "lang"), col(source_col, "source"), col(text_col, "text"))
+
+
+def spaced(texts: DataFrame) -> DataFrame:
+    """The same rows; in the texts ASCII letters are lowered and other ASCII is a space.
+
+    Each byte becomes one byte and those of other letters stay, so a batch's texts
+    are translated at once, whatever their lengths.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(2)
+            valid, offsets, data = text.buffers()
+            if data is not None:
+                data = pa.py_buffer(data.to_pybytes().translate(SPACED))
+            made = pa.Array.from_buffers(text.type, len(text), [valid, offsets, data], offset=text.offset)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["lang", "source", "text"])
+
+    return texts.mapInArrow(run, "lang string, source string, text string")
+
+
+def terms_of(text: Column) -> Column:
+    """The terms of a spaced text."""
+    return F.array_remove(F.split(text, " "), "")
 
 
 def once(value: Column) -> Column:
@@ -73,6 +96,44 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def vector_sums(vectors: DataFrame, entries: int = ENTRIES) -> DataFrame:
+    """lang, source, at, count: sums of the vectors (lang, source, indices, values), by stretches of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), parts in held.items():
+                at, count = (np.concatenate(x) for x in zip(*parts))
+                if len(at) * 16 > at.max(initial=0):   # a row for each index there is
+                    sums = np.bincount(at, count)
+                    at = np.flatnonzero(sums)
+                    sums = sums[at]
+                else:
+                    at, which = np.unique(at, return_inverse=True)
+                    sums = np.bincount(which, count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(at)), pa.repeat(source, len(at)), pa.array(at.astype(np.int32)),
+                     pa.array(sums.astype(np.int64))], ["lang", "source", "at", "count"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            offsets = b.column(2).offsets.to_numpy().tolist()
+            at, count = b.column(2).values.to_numpy(), b.column(3).values.to_numpy()
+            for i, group in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                begin, end = offsets[i], offsets[i + 1]
+                if begin < end:
+                    held.setdefault(group, []).append((at[begin:end], count[begin:end]))
+            size += offsets[-1] - offsets[0]
+            if size >= entries:
+                yield from summed()
+                held, size = {}, 0
+        yield from summed()
+
+    return vectors.mapInArrow(run, "lang string, source string, at int, count long")
+
+
 def _fitted(lists: DataFrame, min_df: int, marked: bool, fit: int) -> tuple[DataFrame, DataFrame] | None:
     """The kept terms' counts (lang, source, number, count) and names (number, term) of
     one fit; None if no term is kept. ``number`` is the term's index, with the fit."""
@@ -86,38 +147,36 @@ def _fitted(lists: DataFrame, min_df: int, marked: bool, fit: int) -> tuple[Data
         raise
     first = fit << 32
     sparse = model.transform(lists).select("lang", "source", once(F.unwrap_udt("vector")).alias("v"))
-    entries = sparse.select("lang", "source", "v", F.posexplode("v.indices").alias("i", "at"))
-    sums = entries.groupBy("lang", "source", "at").agg(
-        F.sum(F.get("v.values", F.col("i")).cast("long")).alias("count"))
+    sums = (vector_sums(sparse.select("lang", "source", "v.indices", "v.values"))
+            .groupBy("lang", "source", "at").agg(F.sum("count").alias("count")))
     terms = [x.split(MARK)[-1] for x in model.vocabulary] if marked else model.vocabulary
     names = spark.createDataFrame(pa.table({"number": pa.array(range(first, first + len(terms)), pa.int64()), "term": terms}))
     return (stored(sums.select("lang", "source", (F.col("at") + F.lit(first)).alias("number"), "count"), "term-counts"),
             stored(names, "term-names"))
 
 
-def group_counts(lists: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS,
+def group_counts(texts: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS,
                  large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Counts of every kept term in every (lang, source) that has it, and the terms' names."""
-    spark = lists.sparkSession
-    per_lang = lists.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    total = lists.count()
+    spark = texts.sparkSession
+    per_lang = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    total = texts.count()
     # fewer than ``large`` languages hold more than one in so many documents
     own = [r.lang for r in per_lang.where(F.col("docs") * large > total).orderBy("lang").collect()]
     part = F.array_position(F.lit(own) if own else F.array().cast("array<string>"), F.col("lang")).cast("int")
-    sample = F.filter("terms", lambda x: F.pmod(F.xxhash64(x), F.lit(SAMPLED)) == 0)
-    path = scratch_path(spark, "term-lists")
-    cut = lists.select("lang", "source", once(F.col("terms")).alias("terms"))
-    # read twice and thrown away: written the way that costs the least
-    (cut.select("lang", "source", "terms", sample.alias("sample"), part.alias("part")).write.partitionBy("part")
+    path = scratch_path(spark, "term-texts")
+    # read a few times and thrown away: written the way that costs the least
+    (spaced(texts).select("lang", "source", "text", part.alias("part")).write.partitionBy("part")
      .option("compression", "lz4").option("parquet.enable.dictionary", "false").parquet(path))
-    dealt = spark.read.schema("lang string, source string, terms array<string>, sample array<string>, part int").parquet(path)
-    seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode("sample").alias("t"))
-            .groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
+    dealt = spark.read.schema("lang string, source string, text string, part int").parquet(path)
+    # generated, not filtered as arrays, so that it is compiled; spaces in a row make one empty string more
+    seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode(F.split("text", " ")).alias("t"))
+            .where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
     counts = spark.createDataFrame([], "lang string, source string, number long, count long")
     names = spark.createDataFrame([], "number long, term string")
     fit = 0
     for number in range(len(own) + 1):   # 0: the small languages together
-        mine = dealt.where(F.col("part") == number).select("lang", "source", "terms")
+        mine = dealt.where(F.col("part") == number).select("lang", "source", terms_of(F.col("text")).alias("terms"))
         slices = max(1, -(-seen.get(number, 0) // slice_terms))
         for i in range(slices):
             some = mine if slices == 1 else mine.withColumn("terms", F.filter(
@@ -190,13 +249,13 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
                       slice_terms: int = SLICE_TERMS, large: int = LARGE) -> DataFrame:
     """lang, source, part, item, value, rank: pairs of sources and each source's
     ``top`` terms that it uses more than its language."""
-    lists = term_lists(docs, text_col, lang_col, source_col)
-    found, names = group_counts(lists, min_df, slice_terms, large)
+    texts = read_texts(docs, text_col, lang_col, source_col)
+    found, names = group_counts(texts, min_df, slice_terms, large)
     per_term = found.groupBy("lang", "number").agg(F.sum("count").alias("lang_count"))
     per_lang = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
     per_group = found.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own"))
     groups = stored(
-        lists.select("lang", "source").distinct().join(per_lang, "lang", "left").join(per_group, ["lang", "source"], "left")
+        texts.select("lang", "source").distinct().join(per_lang, "lang", "left").join(per_group, ["lang", "source"], "left")
         .fillna(0, ["terms", "lang_total", "total", "own"])
         .withColumn("p_none", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "term-groups")
     counts = stored(

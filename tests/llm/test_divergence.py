@@ -83,3 +83,42 @@ def test_long_texts_and_large_counts(spark):
     big = spark.sql("select 9000000000000L as c, 90000000000000L as n, 7L as v").select(
         divergence.share(*(divergence.F.col(x) for x in "cnv")).alias("p")).first().p
     assert big == 1 + 10 ** 9 * 9000000000002 // 90000000000014
+
+
+def test_every_ascii_character_and_letters_of_others():
+    """Each byte of a spaced text stands where it stood; other letters stay as they are."""
+    for i in range(256):
+        c = bytes([i]) if i < 128 else b""
+        want_byte = c.lower() if c.isalpha() else b" " if i < 128 else bytes([i])
+        assert divergence.SPACED[i:i + 1] == want_byte
+    text = "Ab\x00c\x7fÉTÉ_straße\tＫelvin K-1\n"
+    assert text.encode().translate(divergence.SPACED).decode().split() == TERM.findall(text.translate(LOWER))
+
+
+@pytest.mark.parametrize("entries", [1, 7, 10 ** 6])
+def test_sums_of_stretches(spark, entries):
+    """Dense and sparse indices, empty vectors, and rows of a group in several stretches."""
+    rows = [(f"l{i % 2}", f"s{i % 3}", [j * (1 if i % 2 else 10 ** 8) for j in range(i % 5)], [float(i + j) for j in range(i % 5)])
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, source string, indices array<int>, values array<double>")
+    found, sums = Counter(), Counter()
+    for r in divergence.vector_sums(df.repartition(3), entries).collect():
+        found[r.lang, r.source, r["at"]] += r["count"]
+    for lang, source, at, count in rows:
+        for a, c in zip(at, count):
+            sums[lang, source, a] += int(c)
+    assert +found == +sums
+
+
+def test_words_are_written_as_texts(spark, monkeypatch):
+    """What is written once and read for every fit is a text a row, no list of words."""
+    seen = []
+    kept = divergence.scratch_path
+
+    def path(session, label):
+        seen.append(kept(session, label))
+        return seen[-1]
+    monkeypatch.setattr(divergence, "scratch_path", path)
+    df = spark.createDataFrame(corpus(), "text string, lang string, source string")
+    assert got(divergence.source_divergence(df)) == want(corpus(), 10)
+    assert [f.dataType.simpleString() for f in spark.read.parquet(seen[0]).schema if f.name != "part"] == ["string"] * 3
