@@ -18,7 +18,7 @@ and the same number.
 CountVectorizer holds its vocabulary on the driver, so the terms of a fit are dealt
 into slices by hash, as many as an estimate of its distinct terms asks for
 (``SLICE_TERMS`` each), and one slice is fitted after the other. The estimate counts
-the distinct terms of one in ``SAMPLED`` hash values.
+the distinct terms of one in ``SAMPLED`` hash values, taken while the texts are translated.
 The pairs of one language's sources are as many as the contract asks for.
 
 Shares are in whole billionths: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), N the
@@ -44,9 +44,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import ship, stored
+from souk.llm.syncmers import _mixed
 from souk.session import scratch_path
 
 SPACED = bytes(i if i >= 128 or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256))
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)   # the first i bytes of eight
+ROWS = 500                   # texts translated at once
 MARK = "\x00"                # between language and term; never in a term
 MIN_DF = 10                  # documents that hold a kept term
 ALL_TERMS = 2 ** 31 - 1      # vocabSize: the largest integer
@@ -66,24 +69,50 @@ def read_texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -
     return docs.select(col(lang_col, "lang"), col(source_col, "source"), col(text_col, "text"))
 
 
-def spaced(texts: DataFrame) -> DataFrame:
+def word_keys(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of spaced texts side by side starts, and its key: a hash of its first and
+    last eight bytes and its length. ``bounds`` are the texts' ends, after a first 0."""
+    inside = text != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    begins, ends = bounds[:-1][bounds[:-1] < len(text)], bounds[1:][bounds[1:] > 0] - 1
+    first[begins], last[ends] = inside[begins], inside[ends]
+    starts, after = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = after - starts
+    eight = np.ndarray(len(text) + 1, "<u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+    mask = MASKS[np.minimum(size, 8)]
+    head, tail = eight[starts] & mask, eight[np.maximum(after - 8, starts)] & mask
+    return starts, _mixed(_mixed(head + size.astype(np.uint64)) ^ tail)
+
+
+def spaced(texts: DataFrame, sampled: int = SAMPLED) -> DataFrame:
     """The same rows; in the texts ASCII letters are lowered and other ASCII is a space.
+    ``sample`` has the keys of the words of one in ``sampled`` key values.
 
-    Each byte becomes one byte and those of other letters stay, so a batch's texts
-    are translated at once, whatever their lengths.
+    Each byte becomes one byte and those of other letters stay, so the texts of
+    ``ROWS`` rows are translated at once, whatever their lengths.
     """
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(2)
-            valid, offsets, data = text.buffers()
-            if data is not None:
-                data = pa.py_buffer(data.to_pybytes().translate(SPACED))
-            made = pa.Array.from_buffers(text.type, len(text), [valid, offsets, data], offset=text.offset)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["lang", "source", "text"])
-
-    return texts.mapInArrow(run, "lang string, source string, text string")
+            text = b.column(2).cast(pa.string())
+            offsets = np.frombuffer(text.buffers()[1] or b"", np.int32)[text.offset:]
+            for at in range(0, b.num_rows, ROWS):
+                n = min(ROWS, b.num_rows - at)
+                bounds = offsets[at:at + n + 1]
+                some, bounds = (int(bounds[0]), int(bounds[-1] - bounds[0])), bounds - bounds[0]
+                data = text.buffers()[2].slice(*some).to_pybytes().translate(SPACED) if some[1] else b""
+                starts, keys = word_keys(np.frombuffer(data, np.uint8), bounds)
+                chosen = keys % np.uint64(sampled) == 0
+                sample = pa.ListArray.from_arrays(pa.array(np.searchsorted(starts[chosen], bounds), pa.int32()),
+                                                  pa.array(keys[chosen].view(np.int64)))
+                made = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), made, sample],
+                                                 ["lang", "source", "text", "sample"])
+
+    return texts.mapInArrow(run, "lang string, source string, text string, sample array<long>")
 
 
 def terms_of(text: Column) -> Column:
@@ -134,9 +163,10 @@ def vector_sums(vectors: DataFrame, entries: int = ENTRIES) -> DataFrame:
     return vectors.mapInArrow(run, "lang string, source string, at int, count long")
 
 
-def _fitted(lists: DataFrame, min_df: int, marked: bool, fit: int) -> tuple[DataFrame, DataFrame] | None:
-    """The kept terms' counts (lang, source, number, count) and names (number, term) of
-    one fit; None if no term is kept. ``number`` is the term's index, with the fit."""
+def _fitted(lists: DataFrame, min_df: int, lang: str | None, fit: int) -> tuple[DataFrame, DataFrame] | None:
+    """The kept terms' counts (lang, source, number, count) and names (number, lang, term) of
+    one fit; None if no term is kept. ``number`` is the term's index, with the fit; a fit of
+    several languages (``lang`` None) has terms that are marked with theirs."""
     spark = lists.sparkSession
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df),
@@ -148,9 +178,12 @@ def _fitted(lists: DataFrame, min_df: int, marked: bool, fit: int) -> tuple[Data
     first = fit << 32
     sparse = model.transform(lists).select("lang", "source", once(F.unwrap_udt("vector")).alias("v"))
     sums = (vector_sums(sparse.select("lang", "source", "v.indices", "v.values"))
+            .repartition("lang", "source", "at")   # tasks have summed already
             .groupBy("lang", "source", "at").agg(F.sum("count").alias("count")))
-    terms = [x.split(MARK)[-1] for x in model.vocabulary] if marked else model.vocabulary
-    names = spark.createDataFrame(pa.table({"number": pa.array(range(first, first + len(terms)), pa.int64()), "term": terms}))
+    marked = [x.rsplit(MARK, 1) if lang is None else (lang, x) for x in model.vocabulary]
+    langs, terms = [x for x, _ in marked], [x for _, x in marked]
+    names = spark.createDataFrame(pa.table({"number": pa.array(range(first, first + len(terms)), pa.int64()),
+                                            "lang": pa.array(langs, pa.string()), "term": pa.array(terms, pa.string())}))
     return (stored(sums.select("lang", "source", (F.col("at") + F.lit(first)).alias("number"), "count"), "term-counts"),
             stored(names, "term-names"))
 
@@ -166,14 +199,12 @@ def group_counts(texts: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLIC
     part = F.array_position(F.lit(own) if own else F.array().cast("array<string>"), F.col("lang")).cast("int")
     path = scratch_path(spark, "term-texts")
     # read a few times and thrown away: written the way that costs the least
-    (spaced(texts).select("lang", "source", "text", part.alias("part")).write.partitionBy("part")
+    (spaced(texts, SAMPLED).select("lang", "source", "text", "sample", part.alias("part")).write.partitionBy("part")
      .option("compression", "lz4").option("parquet.enable.dictionary", "false").parquet(path))
-    dealt = spark.read.schema("lang string, source string, text string, part int").parquet(path)
-    # generated, not filtered as arrays, so that it is compiled; spaces in a row make one empty string more
-    seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode(F.split("text", " ")).alias("t"))
-            .where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
+    dealt = spark.read.schema("lang string, source string, text string, sample array<long>, part int").parquet(path)
+    seen = {r.part: r.n * SAMPLED for r in dealt.select("part", "lang", F.explode("sample").alias("t")).groupBy("part").agg(F.approx_count_distinct(F.struct("lang", "t")).alias("n")).collect()}
     counts = spark.createDataFrame([], "lang string, source string, number long, count long")
-    names = spark.createDataFrame([], "number long, term string")
+    names = spark.createDataFrame([], "number long, lang string, term string")
     fit = 0
     for number in range(len(own) + 1):   # 0: the small languages together
         mine = dealt.where(F.col("part") == number).select("lang", "source", terms_of(F.col("text")).alias("terms"))
@@ -183,7 +214,7 @@ def group_counts(texts: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLIC
                 "terms", lambda x: F.pmod(F.xxhash64(x), F.lit(slices)) == i))
             if number == 0:
                 some = some.withColumn("terms", F.transform("terms", lambda x: F.concat("lang", F.lit(MARK), x)))
-            found = _fitted(some, min_df, number == 0, fit)
+            found = _fitted(some, min_df, own[number - 1] if number else None, fit)
             fit += 1
             if found is not None:
                 counts, names = counts.unionByName(found[0]), names.unionByName(found[1])
@@ -251,20 +282,25 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     ``top`` terms that it uses more than its language."""
     texts = read_texts(docs, text_col, lang_col, source_col)
     found, names = group_counts(texts, min_df, slice_terms, large)
-    per_term = found.groupBy("lang", "number").agg(F.sum("count").alias("lang_count"))
-    per_lang = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
-    per_group = found.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own"))
+    per_term = found.groupBy("number").agg(F.sum("count").alias("lang_count"))
+    per_group = stored(found.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own")),
+                       "term-totals")
+    per_lang = (per_group.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+                .join(names.groupBy("lang").agg(F.count("*").alias("terms")), "lang"))
     groups = stored(
         texts.select("lang", "source").distinct().join(per_lang, "lang", "left").join(per_group, ["lang", "source"], "left")
         .fillna(0, ["terms", "lang_total", "total", "own"])
         .withColumn("p_none", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "term-groups")
     counts = stored(
         found.join(groups.select("lang", "source", "total", "terms", "lang_total", "p_none"), ["lang", "source"])
-        .join(per_term.drop("lang"), "number")
+        .join(per_term, "number")
         .select("lang", "source", "number", "p_none", share(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
                 share(F.col("lang_count"), F.col("lang_total"), F.col("terms")).alias("q")), "term-shares")
     pairs = _ranked(_pairs(counts.drop("q"), groups)).withColumn("part", F.lit("pair"))
-    terms = _ranked(counts.where("p > q").join(names, "number").select(
-        "lang", "source", F.col("term").alias("item"), term_divergence(F.col("p"), F.col("q")).alias("value"))
-    ).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    # only what is among the first by value, or equal to the last of them, needs its name
+    value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+    first = (counts.where("p > q").select("lang", "source", "number", term_divergence(F.col("p"), F.col("q")).alias("value"))
+             .withColumn("at_least", F.rank().over(value)).where(F.col("at_least") <= top))
+    terms = _ranked(first.join(names.select("number", F.col("term").alias("item")), "number")
+                    .select("lang", "source", "item", "value")).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
     return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")

@@ -121,4 +121,18 @@ def test_words_are_written_as_texts(spark, monkeypatch):
     monkeypatch.setattr(divergence, "scratch_path", path)
     df = spark.createDataFrame(corpus(), "text string, lang string, source string")
     assert got(divergence.source_divergence(df)) == want(corpus(), 10)
-    assert [f.dataType.simpleString() for f in spark.read.parquet(seen[0]).schema if f.name != "part"] == ["string"] * 3
+    assert [f.dataType.simpleString() for f in spark.read.parquet(seen[0]).schema if f.name not in ("part", "sample")] == ["string"] * 3
+
+
+def test_keys_of_words(spark):
+    """A key for each word of each text, equal for equal words, whatever stands around them or meets at a text's end."""
+    texts = ["", "Alpha beta", "", "x", "x y", " lead trail ", "straße-über.K12 abcdefghijklmnopq abcdefghijklmnopq", "beta", "alpha,x"]
+    df = spark.createDataFrame([("l", "s", x) for x in texts], "lang string, source string, text string").coalesce(1)
+    found = divergence.spaced(df, 1).collect()
+    keys = {}
+    for text, r in zip(texts, found):
+        words = TERM.findall(text.translate(LOWER))
+        assert r.text.split() == words and len(r.sample) == len(words)
+        for w, k in zip(words, r.sample):
+            assert keys.setdefault(w, k) == k
+    assert len(set(keys.values())) == len(keys)
