@@ -177,9 +177,12 @@ def _fitted(lists: DataFrame, min_df: int, lang: str | None, fit: int) -> tuple[
         raise
     first = fit << 32
     sparse = model.transform(lists).select("lang", "source", once(F.unwrap_udt("vector")).alias("v"))
-    sums = (vector_sums(sparse.select("lang", "source", "v.indices", "v.values"))
-            .repartition("lang", "source", "at")   # tasks have summed already
-            .groupBy("lang", "source", "at").agg(F.sum("count").alias("count")))
+    sums = vector_sums(sparse.select("lang", "source", "v.indices", "v.values"))
+    key = ["lang", "source", "at"] if lang is None else ["source", "at"]
+    # tasks have summed already, so rows are dealt first
+    sums = sums.select(*key, "count").repartition(*key).groupBy(*key).agg(F.sum("count").alias("count"))
+    if lang is not None:
+        sums = sums.withColumn("lang", F.lit(lang))
     marked = [x.rsplit(MARK, 1) if lang is None else (lang, x) for x in model.vocabulary]
     langs, terms = [x for x, _ in marked], [x for _, x in marked]
     names = spark.createDataFrame(pa.table({"number": pa.array(range(first, first + len(terms)), pa.int64()),
@@ -282,7 +285,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     ``top`` terms that it uses more than its language."""
     texts = read_texts(docs, text_col, lang_col, source_col)
     found, names = group_counts(texts, min_df, slice_terms, large)
-    per_term = found.groupBy("number").agg(F.sum("count").alias("lang_count"))
+    # a term has a row per source of its language at most
+    per_term = F.sum("count").over(Window.partitionBy("number"))
     per_group = stored(found.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("own")),
                        "term-totals")
     per_lang = (per_group.groupBy("lang").agg(F.sum("total").alias("lang_total"))
@@ -292,8 +296,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         .fillna(0, ["terms", "lang_total", "total", "own"])
         .withColumn("p_none", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "term-groups")
     counts = stored(
-        found.join(groups.select("lang", "source", "total", "terms", "lang_total", "p_none"), ["lang", "source"])
-        .join(per_term, "number")
+        found.withColumn("lang_count", per_term).join(groups.select("lang", "source", "total", "terms", "lang_total", "p_none"), ["lang", "source"])
         .select("lang", "source", "number", "p_none", share(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
                 share(F.col("lang_count"), F.col("lang_total"), F.col("terms")).alias("q")), "term-shares")
     pairs = _ranked(_pairs(counts.drop("q"), groups)).withColumn("part", F.lit("pair"))
