@@ -15,6 +15,11 @@ evaluated over terms that both have; the terms that one or neither has enter by
 how often each count occurs in a source, as their share in the other source is one
 and the same number.
 
+A fit only has to find which terms stand in ``min_df`` documents, so it reads no
+occurrence that cannot matter: of documents that lie together (``TOGETHER`` bytes) a
+term is read from ``min_df`` ones of a language at most. The vocabulary is the same;
+counts are taken from the vectors of the whole texts.
+
 CountVectorizer holds its vocabulary on the driver, so the terms of a fit are dealt
 into slices by hash, as many as an estimate of its distinct terms asks for
 (``SLICE_TERMS`` each), and one slice is fitted after the other. The estimate counts
@@ -38,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +62,8 @@ ALL_TERMS = 2 ** 31 - 1      # vocabSize: the largest integer
 LARGE = 64                   # a language of more than one in so many documents has its own fit
 SLICE_TERMS = 4_000_000      # distinct terms of one fit, about
 ENTRIES = 2_000_000          # entries of vectors that a task sums at once (24 MB)
+ROWS_TOGETHER = 10_000       # and rows
+TOGETHER = 8_000_000         # bytes of texts that are looked through at once for a fit
 SAMPLED = 256                # one in so many hash values is looked at for that
 TOP = 10                     # ranks of part ``term``
 ONE = 10 ** 9
@@ -116,8 +124,44 @@ def spaced(texts: DataFrame, sampled: int = SAMPLED) -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    """The terms of a spaced text."""
-    return F.array_remove(F.split(text, " "), "")
+    """The terms of a spaced text, and empty ones: no fit has those, so no vector counts them."""
+    return F.split(text, " ")
+
+
+def deciding(texts: DataFrame, min_df: int, together: int = TOGETHER) -> DataFrame:
+    """lang and distinct terms of spaced texts, of ``together`` bytes at once: a term is left
+    out where it stands in ``min_df`` earlier ones of the language. What stands in ``min_df``
+    documents of a language does so here, and the reverse."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < b.num_rows:
+                upto = np.searchsorted(ends, together + (ends[at - 1] if at else 0), "right")
+                n = int(min(max(upto - at, 1), ROWS_TOGETHER))
+                lang = b.column(0).slice(at, n)
+                words = pc.split_pattern(b.column(1).slice(at, n), " ")
+                coded = words.flatten().dictionary_encode()
+                terms = coded.dictionary
+                doc = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy())
+                code = coded.indices.to_numpy().astype(np.int64)
+                some = code != terms.index("").as_py()   # -1: none is empty
+                of_lang = lang.dictionary_encode().indices.to_numpy().astype(np.int64) * len(terms)
+                keys = ((of_lang[doc] + code) * n + doc)[some]   # at most rows, terms and rows: 64 bits hold it
+                keys.sort()
+                first = np.ones(len(keys), bool)
+                first[1:] = keys[1:] != keys[:-1]
+                term, doc = np.divmod(keys[first], n)
+                kept = np.ones(len(term), bool)
+                kept[min_df:] = term[min_df:] != term[:-min_df]
+                doc, code = doc[kept], term[kept] % max(len(terms), 1)
+                by_doc = np.argsort(doc, kind="stable")
+                offsets = np.searchsorted(doc[by_doc], np.arange(n + 1))
+                yield pa.RecordBatch.from_arrays([lang, pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()), terms.take(pa.array(code[by_doc])))], ["lang", "terms"])
+                at += n
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, terms array<string>")
 
 
 def once(value: Column) -> Column:
@@ -163,14 +207,16 @@ def vector_sums(vectors: DataFrame, entries: int = ENTRIES) -> DataFrame:
     return vectors.mapInArrow(run, "lang string, source string, at int, count long")
 
 
-def _fitted(lists: DataFrame, min_df: int, lang: str | None, fit: int) -> tuple[DataFrame, DataFrame] | None:
+def _fitted(lists: DataFrame, deciders: DataFrame, min_df: int, lang: str | None,
+            fit: int) -> tuple[DataFrame, DataFrame] | None:
     """The kept terms' counts (lang, source, number, count) and names (number, lang, term) of
-    one fit; None if no term is kept. ``number`` is the term's index, with the fit; a fit of
-    several languages (``lang`` None) has terms that are marked with theirs."""
+    one fit; None if no term is kept. ``deciders`` are the lists that the fit needs. ``number``
+    is the term's index, with the fit; a fit of several languages (``lang`` None) has terms
+    that are marked with theirs."""
     spark = lists.sparkSession
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df),
-                                vocabSize=ALL_TERMS).fit(lists)
+                                vocabSize=ALL_TERMS).fit(deciders)
     except IllegalArgumentException as e:
         if "vocabulary size" in str(e):   # no term stands in so many documents
             return None
@@ -210,14 +256,17 @@ def group_counts(texts: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLIC
     names = spark.createDataFrame([], "number long, lang string, term string")
     fit = 0
     for number in range(len(own) + 1):   # 0: the small languages together
-        mine = dealt.where(F.col("part") == number).select("lang", "source", terms_of(F.col("text")).alias("terms"))
+        mine = dealt.where(F.col("part") == number).select("lang", "source", "text")
         slices = max(1, -(-seen.get(number, 0) // slice_terms))
         for i in range(slices):
-            some = mine if slices == 1 else mine.withColumn("terms", F.filter(
-                "terms", lambda x: F.pmod(F.xxhash64(x), F.lit(slices)) == i))
-            if number == 0:
-                some = some.withColumn("terms", F.transform("terms", lambda x: F.concat("lang", F.lit(MARK), x)))
-            found = _fitted(some, min_df, own[number - 1] if number else None, fit)
+            def chosen(lists: DataFrame, i: int = i) -> DataFrame:
+                if slices > 1:
+                    lists = lists.withColumn("terms", F.filter("terms", lambda x: F.pmod(F.xxhash64(x), F.lit(slices)) == i))
+                if number == 0:
+                    lists = lists.withColumn("terms", F.transform("terms", lambda x: F.concat("lang", F.lit(MARK), x)))
+                return lists
+            lists = mine.select("lang", "source", terms_of(F.col("text")).alias("terms"))
+            found = _fitted(chosen(lists), chosen(deciding(mine, min_df)), min_df, own[number - 1] if number else None, fit)
             fit += 1
             if found is not None:
                 counts, names = counts.unionByName(found[0]), names.unionByName(found[1])
@@ -227,8 +276,10 @@ def group_counts(texts: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLIC
 def share(count: Column, total: Column, terms: Column) -> Column:
     """p in billionths; NULL where the language keeps no term."""
     whole = (count + 2).cast("decimal(20,0)") * F.lit(ONE).cast("decimal(10,0)")
-    return F.try_add(F.lit(1).cast("long"), F.call_function(
-        "div", whole, F.nullif(total + 2 * terms, F.lit(0)).cast("decimal(20,0)")))
+    of = F.nullif(total + 2 * terms, F.lit(0))
+    small = F.call_function("div", (count + 2) * ONE, of)   # 64 bits hold the product
+    return F.try_add(F.lit(1).cast("long"), F.when(count < 9 * ONE, small).otherwise(
+        F.call_function("div", whole, of.cast("decimal(20,0)"))))
 
 
 def term_divergence(p: Column, q: Column) -> Column:
@@ -278,6 +329,16 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order))
 
 
+def _greatest(values: DataFrame, top: int) -> DataFrame:
+    """Rows (lang, source, digits) of each group without those of fewer digits than the first
+    ``top`` have: few are left to sort."""
+    above = Window.partitionBy("lang", "source").orderBy(F.desc("digits")).rowsBetween(Window.unboundedPreceding, -1)
+    least = (values.groupBy("lang", "source", "digits").agg(F.count(F.lit(1)).alias("times"))
+             .withColumn("above", F.coalesce(F.sum("times").over(above), F.lit(0))).where(F.col("above") < top)
+             .select("lang", "source", "digits"))
+    return values.join(least, ["lang", "source", "digits"])
+
+
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                       source_col: str = "source", min_df: int = MIN_DF, top: int = TOP,
                       slice_terms: int = SLICE_TERMS, large: int = LARGE) -> DataFrame:
@@ -302,8 +363,9 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     pairs = _ranked(_pairs(counts.drop("q"), groups)).withColumn("part", F.lit("pair"))
     # only what is among the first by value, or equal to the last of them, needs its name
     value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
-    first = (counts.where("p > q").select("lang", "source", "number", term_divergence(F.col("p"), F.col("q")).alias("value"))
-             .withColumn("at_least", F.rank().over(value)).where(F.col("at_least") <= top))
+    more = (counts.where("p > q").select("lang", "source", "number", term_divergence(F.col("p"), F.col("q")).alias("value"))
+            .withColumn("digits", F.length(F.bin("value"))))
+    first = _greatest(more, top).withColumn("at_least", F.rank().over(value)).where(F.col("at_least") <= top)
     terms = _ranked(first.join(names.select("number", F.col("term").alias("item")), "number")
                     .select("lang", "source", "item", "value")).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
     return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")

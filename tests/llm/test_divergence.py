@@ -136,3 +136,49 @@ def test_keys_of_words(spark):
         for w, k in zip(words, r.sample):
             assert keys.setdefault(w, k) == k
     assert len(set(keys.values())) == len(keys)
+
+
+@pytest.mark.parametrize("min_df,together", [(1, 10 ** 6), (3, 10 ** 6), (10, 10 ** 6), (3, 400), (3, 1)])
+def test_a_fit_reads_only_what_decides(spark, min_df, together):
+    """The same terms stand in ``min_df`` documents of their language; others of them are left out."""
+    rows = [(t.translate(LOWER).encode().translate(divergence.SPACED).decode(), lang or "")
+            for t, lang, _ in corpus() if t is not None] + [("a\u2003b\u0085c", "en")] * 4
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2).cache()
+    whole, left = Counter(), Counter()
+    for text, lang in rows:
+        whole.update((lang, t) for t in set(TERM.findall(text)))
+    for r in divergence.deciding(df, min_df, together).collect():
+        assert len(set(r.terms)) == len(r.terms)
+        left.update((r.lang, t) for t in r.terms)
+    assert {t for t in left if left[t] >= min_df} == {t for t in whole if whole[t] >= min_df}
+    assert all(left[t] == whole[t] for t in whole if whole[t] < min_df) and not left.keys() - whole.keys()
+    if together > 1000:   # two tasks
+        assert max(left.values()) <= 2 * min_df < max(whole.values())
+
+
+def test_the_vocabulary_is_fitted_on_what_decides(spark, monkeypatch):
+    """The fit reads at most ``min_df`` documents of a term from each task."""
+    read = []
+    fit = divergence.CountVectorizer.fit
+    monkeypatch.setattr(divergence.CountVectorizer, "fit", lambda self, df: read.append(
+        sum(len(r.terms) for r in df.select("terms").collect())) or fit(self, df))
+    rows = [("one two one", "en", f"s{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    assert got(divergence.source_divergence(df)) == want(rows, 10)
+    assert sum(read) == 20   # of 600
+    whole = divergence.share(*(divergence.F.col(x) for x in "cnv"))
+    for c in (8_999_999_999, 9_000_000_000, 9_223_372_036_854_775_000 // 2):
+        p = spark.sql(f"select {c}L as c, {2 * c}L as n, 7L as v").select(whole.alias("p")).first().p
+        assert p == 1 + 10 ** 9 * (c + 2) // (2 * c + 14)
+
+
+def test_only_the_greatest_are_sorted(spark):
+    """No row of the first ten, nor one equal to the last of them, is left out; most others are."""
+    values = {("l", "a"): [0] * 30, ("l", "b"): list(range(1000)) + [512] * 20, ("m", "a"): [5], ("m", "b"): [1 << 40, *range(12)]}
+    rows = [(*k, v) for k, x in values.items() for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, value long").withColumn("digits", divergence.F.length(divergence.F.bin("value")))
+    left = Counter((r.lang, r.source, r.value) for r in divergence._greatest(df, 10).collect())
+    for k, x in values.items():
+        last = sorted(x, reverse=True)[:10][-1]
+        assert all(left[(*k, v)] == x.count(v) for v in x if v >= last)
+    assert sum(n for k, n in left.items() if k[:2] == ("l", "b")) < 600
