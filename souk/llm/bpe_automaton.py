@@ -29,8 +29,9 @@ A label's bytes have one derivation, so of two merges that give the same label
 only the first one whose parts meet makes it. A list in which a label is made only
 after a merge that uses it has no order of gadgets and raises.
 
-Words repeat, so each Python worker keeps what it has encoded in tables that
-are emptied when full: memory does not grow with the corpus.
+Words repeat, and so do their beginnings: each Python worker keeps what it has encoded,
+and the states of words' first bytes, in tables of bounded size: memory does not grow
+with the corpus. Decoding reads the labels alone, no automaton.
 
 Defined cases: a NULL text is encoded as an empty one (no ids); NULL ids decode
 to an empty text; NULL document ids are kept; repeated rows each give a row; an
@@ -45,7 +46,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,9 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 # The pre-splitting pattern of byte-level BPE.
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+"
           r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+")
-TABLE_LIMIT = 200_000   # entries of a worker's tables before they are emptied
+TABLE_LIMIT = 100_000   # entries of a worker's tables before they become the older ones
 KEPT_CHARS = 40         # longer chunks are encoded each time
+BEGUN = 7               # bytes of a word whose states are kept
 ROWS = 200              # rows of an output batch
 
 
@@ -75,6 +77,13 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def read_labels(spec: dict) -> tuple[dict[int, bytes], dict[str, int]]:
+    """Bytes of the labels by id, and ids of the special tokens, of a vocabulary file."""
+    symbols = byte_symbols()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    return {i: bytes(symbols[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in special}, special
+
+
 class Automaton:
     """States, arcs and labels compiled from a vocabulary file's merges."""
 
@@ -123,11 +132,10 @@ class Automaton:
     def from_spec(cls, text: str) -> Automaton:
         """Compile the JSON text of a vocabulary file."""
         spec = json.loads(text)
-        vocab, symbols = spec["model"]["vocab"], byte_symbols()
+        vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        return cls({i: bytes(symbols[c] for c in s) for s, i in vocab.items() if s not in special},
-                   [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
+        labels, special = read_labels(spec)
+        return cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
     def add_gadget(self, u: int, v: int, w: int) -> None:
         unmade = {x for x in (u, v) if not self.is_made(x)}
@@ -161,30 +169,41 @@ class Automaton:
 
 
 class Encoder:
-    """Table-driven encoding and decoding in one Python worker."""
+    """Table-driven encoding in one Python worker."""
 
     def __init__(self, automaton: Automaton):
         self.a = automaton
         self.arcs = _Table(self._arc)
         self.step = _Table(self._step)
         self.split = regex.compile(PIECES).findall
-        self.words = _Table(lambda w: _packed(self.encode_word(w.encode())))
-        self.after_space = _Table(lambda part: self.words[" " + part] if part.isalpha()
-                                  else self._pieces(" " + part))
+        self.begun = _Table(self._follow)
+        self.words = _Table(lambda w: self.after_space[w[1:]] if w[0] == " " and w[1:].isalpha()
+                            else _packed(self.encode_word(w.encode())))
+        self.after_space = _Table(self._after_space)
         marks = sorted(map(re.escape, automaton.special), key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(marks) + ")") if marks else None
         self.inner_space = re.compile("(?<=[^" + SPACE + "]) ").split
         self.odd_space = re.compile("[" + SPACE + "] ").search
-        self.flat: np.ndarray | None = None
-        self.symbols = {**automaton.labels,
-                        **{i: s.encode() for s, i in automaton.special.items()}}
 
     def encode_word(self, word: bytes) -> list[int]:
         """The accepted path over ``word``, by one state per byte."""
+        size = self.a.size
+        begun = self.begun[word[:BEGUN]] if len(word) > BEGUN else (0, (-1,))
+        states = self._follow(word, *begun)[1]
+        at, path = len(word), []
+        while at:
+            label = states[at]
+            path.append(label)
+            at -= size[label]
+        path.reverse()
+        return path
+
+    def _follow(self, word: bytes, node: int = 0, begun: Sequence[int] = (-1,)) -> tuple[int, list[int]]:
+        """The node and all states after ``word``, whose first bytes led to ``node`` and ``begun``."""
         step, ends, size, shorter, arcs = self.step, self.a.ends, self.a.size, self.a.shorter, self.arcs
-        states = [-1]   # last label of each prefix's encoding; -1 before the word
-        node = at = 0
-        for byte in word:
+        states = [*begun]   # last label of each prefix's encoding; -1 before the word
+        at = len(states) - 1
+        for byte in word[at:]:
             at += 1
             node = step[node << 8 | byte]
             label = ends[node]
@@ -196,13 +215,7 @@ class Encoder:
                     break
                 label = shorter[label]
             states.append(label)
-        path = []
-        while at:
-            label = states[at]
-            path.append(label)
-            at -= size[label]
-        path.reverse()
-        return path
+        return node, states
 
     def _step(self, key: int) -> int:
         """The longest node that the bytes so far, with the next one, end with."""
@@ -218,6 +231,14 @@ class Encoder:
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
+    def _after_space(self, part: str) -> bytes:
+        """The ids of a space and ``part``, before another space or the end."""
+        if part.isalpha():
+            return _packed(self.encode_word((" " + part).encode()))
+        if part[-1:] in {".", ","} and part[:-1].isalpha():   # always two pieces
+            return self.after_space[part[:-1]] + self.words[part[-1]]
+        return self._pieces(" " + part)
+
     def _plain(self, text: str) -> bytes:
         """A space after a non-space always begins a piece, so the text is cut
         there and equal cuts are looked up."""
@@ -239,13 +260,19 @@ class Encoder:
             _packed([self.a.special[x]]) if x in self.a.special
             else self._plain(x) for x in self.marks.split(text))
 
+
+class Decoder:
+    """The labels' bytes in one Python worker."""
+
+    def __init__(self, labels: dict[int, bytes], special: dict[str, int]):
+        symbols = {**labels, **{i: s.encode() for s, i in special.items()}}
+        top = max(symbols, default=0) + 1
+        self.sizes = np.array([len(symbols.get(i, b"")) for i in range(top)])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(symbols.get(i, b"") for i in range(top)), "u1")
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of ``ids`` cut at ``ends``: the labels' bytes, side by side."""
-        if self.flat is None:
-            top = max(self.symbols, default=0) + 1
-            self.sizes = np.array([len(self.symbols.get(i, b"")) for i in range(top)])
-            self.begin = np.cumsum(self.sizes) - self.sizes
-            self.flat = np.frombuffer(b"".join(self.symbols.get(i, b"") for i in range(top)), "u1")
         sizes = self.sizes[ids]
         after = np.cumsum(sizes)
         from_ = np.repeat(self.begin[ids] - (after - sizes), sizes)
@@ -259,19 +286,23 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Table(dict):
-    """Remembers what ``make`` gives for a key; long texts are not kept, and
-    the table is emptied when full."""
+    """Remembers what ``make`` gives for a key; long texts are not kept. When full, the
+    table becomes the older one, of which only what is asked for again is kept."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        made = self.make(key)
-        if not (isinstance(key, str) and len(key) > KEPT_CHARS):
-            if len(self) >= TABLE_LIMIT:
-                self.clear()
-            self[key] = made
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+            if isinstance(key, str) and len(key) > KEPT_CHARS:
+                return made
+        if len(self) >= TABLE_LIMIT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
         return made
 
 
@@ -280,13 +311,22 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def worker_encoder(shared: Broadcast) -> Encoder:
-    """The worker's encoder: compiled once, its tables kept for later tasks."""
-    name = "bpe", hashlib.sha256(shared.value.encode()).digest()
+def _kept(shared: Broadcast, name: str, make: Callable):
+    """What ``make`` gives for the vocabulary file: made once by a worker, kept for later tasks."""
+    key = name, hashlib.sha256(shared.value.encode()).digest()
     kept = worker_tables("automata")
-    if name not in kept:
-        kept[name] = Encoder(Automaton.from_spec(shared.value))
-    return kept[name]
+    if key not in kept:
+        kept[key] = make(shared.value)
+    return kept[key]
+
+
+def worker_encoder(shared: Broadcast) -> Encoder:
+    """The worker's encoder, with its tables."""
+    return _kept(shared, "bpe", lambda text: Encoder(Automaton.from_spec(text)))
+
+
+def worker_decoder(shared: Broadcast) -> Decoder:
+    return _kept(shared, "labels", lambda text: Decoder(*read_labels(json.loads(text))))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +366,11 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = tokens.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared)
+        decoder = worker_decoder(shared)
         for b in _sliced(batches):
             ids = b.column(1).fill_null(pa.scalar([], pa.list_(pa.int32())))
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-            texts = encoder.decode(ids.flatten().to_numpy(), ends)
+            texts = decoder.decode(ids.flatten().to_numpy(), ends)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
