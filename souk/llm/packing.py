@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
+import os
 import re
 import struct
 from bisect import bisect_left, insort
@@ -38,11 +40,11 @@ from souk.llm.common import ship, worker_tables
 SIZE = 4096
 OPEN_WINDOWS = 64
 SLACK = 16              # tokens of a window that may stay empty
-TABLE_LIMIT = 400_000   # remembered words of a worker
+TABLE_LIMIT = 800_000   # remembered words of a worker, about 200 bytes each
 KEPT_CHARS = 40
 ROWS = 500
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() cuts here, the tokenizer does not
-PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 TRUE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -50,10 +52,12 @@ class WordIds(dict):
     """Ids of a text under a tokenizer that drops white space.
 
     White space separates, so the ids of a text are those of its words, side
-    by side. Equal words are looked up here. A new word of Latin letters and
-    closing marks goes straight to the tokenizer's model, in lower case and
-    byte symbols, which is all that its other steps do to such a word; any
-    other word goes through the whole tokenizer.
+    by side. Equal words are looked up here; a text of Latin-1 characters is
+    lowered first, as the tokenizer does, so that a word has one entry in
+    capitals or not. A new word of Latin letters and closing ASCII marks goes
+    straight to the tokenizer's model, in lower case and byte symbols, which is
+    all that its other steps do to such a word; any other word goes through the
+    whole tokenizer.
     """
 
     def __init__(self, spec: str, code: str = "I"):
@@ -62,29 +66,48 @@ class WordIds(dict):
         self.tokenizer, self.code = Tokenizer.from_str(spec), code
         self.model, self.plain = self.tokenizer.model, PLAIN_WORD.fullmatch
         self.symbols = str.maketrans({b: s for s, b in byte_symbols().items()})
+        # special tokens are found before lowering: a text that may hold one stays as it is
+        self.special = os.path.commonprefix([x["content"] for x in json.loads(spec).get("added_tokens", [])])
 
     def __missing__(self, word: str) -> bytes:
-        if plain := self.plain(word):
+        if word.isascii() and word.isalpha() and word.islower():
+            made = self._of_model(word)
+        elif plain := self.plain(word):
             letters, marks = plain.groups()
             low = letters.lower()
             if marks or low != letters:
                 made = self[low] + self[marks] if marks else self[low]
             else:
-                symbols = low if low.isascii() else low.encode().decode("latin-1").translate(self.symbols)
-                ids = [t.id for t in self.model.tokenize(symbols)]
-                made = struct.pack(f"<{len(ids)}{self.code}", *ids)
+                made = self._of_model(low.encode().decode("latin-1").translate(self.symbols))
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            made = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            made = self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= KEPT_CHARS:
             if len(self) >= TABLE_LIMIT:
                 self.clear()
             self[word] = made
         return made
 
+    def _of_model(self, symbols: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(symbols)])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _lowered(self, text: str) -> str:
+        """``text`` in lower case if that changes no id: NFC leaves Latin-1 as it is, and
+        each of its letters is lowered by itself."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        low = text.lower()
+        return text if self.special in low else low
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        text = self._lowered(text)
         words = TRUE_SPACE.split(text) if any(c in text for c in ODD_SPACE) else text.split()
         return b"".join(map(self.__getitem__, words))
 
