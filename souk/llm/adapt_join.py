@@ -18,13 +18,25 @@ to ``LEVELS`` and never more than t; a pair uses the smaller of its two levels.
 sizes or the places of a common token rule out are not made.
 
 Lists. A token's list of up to ``SMALL_LIST`` documents gives pairs, which are
-counted and verified on their whole texts. Longer lists (groups of near copies)
-give no pairs: all of a list's documents of like size go to the cell of the
-list's least document, cells are cut into blocks, and a task compares two blocks at
-once and returns at most one link per document, enough to join what belongs
-together. So a group of near copies costs rows in proportion to its size times
-its number of blocks. Every pair that shares a prefix token meets in a list or
-cell, so no link between different texts is lost.
+counted. Longer lists (groups of near copies, and in a large table unlike texts
+that share a token) give no pairs: all of a list's documents of like size go to
+the cell of the list's least document, cells are cut into blocks of ``MARKED``, and
+two blocks are compared at once. Every pair that shares a prefix token meets in a
+list or cell, so no link between different texts is lost.
+
+Marks. What meets is first compared by marks: the parity of a set's tokens in
+each of about n places (``parities``). Two marks differ in no more places than the
+sets have tokens that only one of them has, so marks that differ in more than a
+link allows rule a pair out, and only what is left is compared by its whole
+texts: marks are a small part of a text, and unlike texts never travel.
+
+Two turns. First the texts of pairs that look alike by their marks are compared, one
+pair a document at most from the lists, and from the cells enough pairs to join what
+looks alike. Then only pairs that their marks allow and that are not in one
+component yet are left: those of lists one by one, those of cells in blocks of
+``BLOCK`` whole texts, of which a task compares two at once. So a group of near
+copies costs texts in proportion to its size; only documents whose likeness to
+others is close below the limit cost texts times the number of their blocks.
 
 Broadcast are at most ``HOT_TOKENS`` numbers and ``FILTER_ROWS`` id pairs. Links and components stay
 distributed; each step that is used twice is written to the shared scratch
@@ -46,7 +58,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import digest128, ship, stored
@@ -60,7 +72,10 @@ COSTS = (0, 2, 8, 32, 128)  # one match more is asked for above each estimated c
 HOT_TOKENS = 200_000   # frequent tokens that are put last (1.6 MB to broadcast)
 STRETCH = 3_000_000    # tokens counted at once while reading
 SMALL_LIST = 64        # documents of a list that are paired one by one
-BLOCK = 512            # documents of a cell's block
+MARKED = 4_096         # documents of a cell's block that are compared by their marks
+MARK_BITS = 32_768     # places of a mark at most
+FEW = 64               # documents whose marks are compared all at once
+BLOCK = 512            # documents of a cell's block that are compared by their texts
 PREFIX_ROWS = 50       # tokens of a prefix, about: what a class counts in the number of files
 FILTER_ROWS = 1_000_000  # (class, document) rows that may be broadcast: 16 MB
 
@@ -135,8 +150,23 @@ def sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
     return stored(docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "shingle-sets")
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """The mark of a set: for each place whether an odd number of tokens falls on it. Places
+    are a power of two, so the halves of a longer mark make a shorter one."""
+    places = max(64, min(MARK_BITS, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount(tokens & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(mark: bytes, size: int) -> bytes:
+    while len(mark) > size:
+        both = np.frombuffer(mark, np.uint8).reshape(2, -1)
+        mark = (both[0] ^ both[1]).tobytes()
+    return mark
+
+
 def prefixes(docs: DataFrame, hot: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, id, n, tokens): the first tokens of each set in the common order."""
+    """(doc_id, id, n, mark, tokens): the first tokens of each set in the common order."""
     order = np.argsort(hot)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
@@ -144,27 +174,28 @@ def prefixes(docs: DataFrame, hot: np.ndarray, words: int, percent: int) -> Data
         hot, rank = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part, cols = b.slice(at, 500), ([], [], [], [])
+                part, cols = b.slice(at, 500), ([], [], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     tokens = shingles(text, words)
                     n = len(tokens)
                     if not n or doc is None:
                         continue
-                    key = set_id(tokens)
+                    key, mark = set_id(tokens), parities(tokens)
                     if len(hot):
                         place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                         often = hot[place] == tokens
                         last = tokens[often][np.argsort(rank[place[often]])]
                         tokens = np.concatenate([tokens[~often], last])
                     least = (percent * n + 99) // 100
-                    for col, v in zip(cols, (doc, key, n, tokens[:n - least + LEVELS])):
+                    for col, v in zip(cols, (doc, key, n, mark, tokens[:n - least + LEVELS])):
                         col.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(c, pa.int64()) for c in cols[:3]),
-                         pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "id", "n", "tokens"])
+                         pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
+                        ["doc_id", "id", "n", "mark", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, id long, n long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, id long, n long, mark binary, tokens array<long>")
 
 
 def whole_texts(docs: DataFrame, needed: DataFrame, repeated: bool) -> DataFrame:
@@ -196,21 +227,143 @@ def _pairs(shared: DataFrame, percent: int) -> DataFrame:
             .where("matches >= asked").select("u", "v"))
 
 
-def _cells(shared: DataFrame, percent: int, width: int) -> DataFrame:
-    """(cell, band, first, second, own, id): the documents of long lists by cell and blocks."""
+def _like(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(u, v, near): the pairs that their marks allow; near: they look alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for u, v, n, x, y in _rows([b]):
+                size = min(len(x), len(y))
+                differ = (int.from_bytes(_folded(x, size)) ^ int.from_bytes(_folded(y, size))).bit_count()
+                if (100 + percent) * differ <= (100 - percent) * n:
+                    kept.append((u, v, bool(differ <= _expected(n, 8 * size, percent))))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*kept)], ["u", "v", "near"])
+
+    both = pairs
+    for c in ("u", "v"):
+        both = both.join(marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"),
+                                      F.col("mark").alias(f"mark_{c}")), c)
+    return both.select("u", "v", (F.col("n_u") + F.col("n_v")).cast("long"), "mark_u", "mark_v").mapInArrow(
+        run, "u long, v long, near boolean")
+
+
+def _expected(both, places: int, percent: int):
+    """Places in which marks differ on the average at the least similarity; ``both``: the
+    sizes of the two sets together."""
+    return places / 2 * -np.expm1(-2 / places * (100 - percent) / (100 + percent) * both)
+
+
+def _members(shared: DataFrame, percent: int) -> DataFrame:
+    """(cell, band, id, upper): the documents of long lists by cell; like sizes have the same
+    band or, in the upper one of two, one document is ``upper``."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    rows = shared.select("token", "id", F.explode(F.array(band, band + 1)).alias("band"))
-    least = rows.groupBy("token", "band").agg(F.min("id").alias("cell"))
-    member = rows.join(least, ["token", "band"]).select("cell", "band", "id").distinct()
-    member = stored(member, "join-cells", rows=width)
+    rows = (shared.select("token", "id", band.alias("own_band"), F.explode(F.array(band, band + 1)).alias("band"))
+            .withColumn("upper", F.col("band") == F.col("own_band")).drop("own_band"))
+    least = rows.groupBy("token", "band").agg(F.min("id").alias("cell"), F.max("upper").alias("any"))
+    return (rows.join(least.where("any"), ["token", "band"])
+            .select("cell", "band", "id", "upper").distinct())
+
+
+def _blocks(member: DataFrame, most: int) -> DataFrame:
+    """``member`` (cell, band, id, ...) with (first, second, own), once for each two blocks of its
+    cell that a document is in one of; cells of one document are left out."""
     sizes = (member.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("size"))
-             .where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
+             .where("size > 1").withColumn("blocks", F.ceil(F.col("size") / most).cast("int")))
     own = member.join(sizes, ["cell", "band"]).withColumn(
         "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return own.withColumn("other", other).select(
-        "cell", "band", F.least("own", "other").alias("first"),
-        F.greatest("own", "other").alias("second"), "own", "id")
+    return (own.withColumn("other", other).withColumn("first", F.least("own", "other"))
+            .withColumn("second", F.greatest("own", "other")).drop("size", "blocks", "other"))
+
+
+def _look_alike(n, upper, side, root, marks: list[bytes], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the documents of two blocks (of one, if all have the same ``side``): pairs, enough to join
+    what looks alike, and which documents have another that their marks allow. Documents of one
+    ``root``, or neither of them ``upper``, are not compared."""
+    size = min(map(len, marks))
+    bits = np.frombuffer(b"".join(_folded(m, size) for m in marks), np.uint64).reshape(len(marks), -1)
+    group, pairs, allowed = np.arange(len(n)), [], np.zeros(len(n), bool)
+
+    def meet(x: int, others: np.ndarray, told: bool) -> None:
+        others = others[(root[others] != root[x]) & (upper[others] | upper[x])]
+        if not told:
+            others = others[group[others] != group[x]]
+        differ = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        both = n[others] + n[x]
+        if told:
+            ok = (100 + percent) * differ <= (100 - percent) * both
+            others, differ, both = others[ok], differ[ok], both[ok]
+            allowed[others] = True
+            allowed[x] |= len(others) > 0
+        for y in others[differ <= _expected(both, 8 * size, percent)].tolist():
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
+                if told:
+                    pairs.append((x, y))
+
+    every = np.arange(len(n))
+    if side[0] != side[-1]:  # what looks alike within a block is paired where it is compared with itself
+        blocks = [every[side == side[0]], every[side != side[0]]]
+        for some in blocks:
+            for k, x in enumerate(some.tolist()):
+                meet(x, some[k + 1:], False)
+        for x in blocks[0].tolist():
+            meet(x, blocks[1], True)
+    elif len(n) > FEW:
+        for x in range(len(n) - 1):
+            meet(x, every[x + 1:], True)
+    else:
+        differ = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+        ok = ((100 + percent) * differ <= (100 - percent) * (n[:, None] + n[None])) & (root[:, None] != root[None])
+        for x in np.flatnonzero(ok.any(axis=1)).tolist():
+            meet(x, x + 1 + np.flatnonzero(ok[x, x + 1:]), True)
+    return pairs, allowed
+
+
+def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """Of ``blocks`` (cell, band, first, second, own, id, n, upper, root, mark): rows (u, v) of pairs that
+    look alike, and rows (cell, band, id) of documents that their marks allow to be like another."""
+    keys = ["cell", "band", "first", "second"]
+    columns = [*keys, "own", "id", "n", "upper", "root", "mark"]
+    schema = pa.schema([(c, pa.int64()) for c in ("u", "v", "cell", "band", "id")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            held.append(b)
+            yield from found(held, False)
+        yield from found(held, True)
+
+    def found(held: list, ended: bool) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        col = {c: rows.column(c).to_numpy() for c in columns[:-1]}
+        new = np.zeros(max(0, rows.num_rows - 1), bool)
+        for c in keys:
+            new |= col[c][1:] != col[c][:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()][:rows.num_rows]
+        if not ended and cuts:  # the last ones may go on in the next batch
+            held.extend(rows.slice(cuts[-1]).to_batches())
+        elif cuts:
+            cuts.append(rows.num_rows)
+        marks, pairs, docs = rows.column("mark").to_pylist(), [], []
+        for at, to in zip(cuts, cuts[1:]):
+            if to - at < 2:
+                continue
+            n, upper, side, root, ids = (col[c][at:to] for c in ("n", "upper", "own", "root", "id"))
+            linked, allowed = _look_alike(n, upper, side, root, marks[at:to], percent)
+            pairs += [(ids[x], ids[y]) for x, y in linked]
+            docs += [(col["cell"][at], col["band"][at], i) for i in ids[allowed]]
+        none = [None] * 3
+        out = [(min(p), max(p), *none) for p in pairs] + [(None, None, *d) for d in docs]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    return (blocks.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "own")
+            .mapInArrow(run, "u long, v long, cell long, band long, id long"))
 
 
 def _own_sets(ids, texts, words: int) -> tuple[list[int], list[np.ndarray]]:
@@ -256,33 +409,8 @@ def _block_links(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
-             percent: int, repeated: bool) -> tuple[DataFrame, int]:
-    """Verified links (u, v) between classes, and how many there are at most;
-    ``repeated``: some ids come twice."""
-    width = PREFIX_ROWS * classes.count()
-    first = classes.select("id", F.col("doc_id").alias("first"))
-    heads = stored(prefixes(docs, hot, words, percent).join(first, "id")
-                   .where("doc_id = first").dropDuplicates(["id"])
-                   .select("id", F.col("n").cast("int").alias("n"), "tokens"), "join-prefixes", rows=width)
-    # dealt by token once: the counts and the join read the same shuffle
-    rows = heads.select("id", "n", F.posexplode("tokens").alias("at", "token")).repartition("token")
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("list")).where("list > 1")
-    level = F.greatest(F.lit(1), F.col("at") - F.floor((100 - percent) * F.col("n") / 100) + 1)
-    shared = stored(rows.join(lists, "token").withColumn("level", level.cast("int")), "join-shared", rows=width)
-    cost = shared.where("level = 1").groupBy("id").agg(F.sum(F.col("list") - 1).alias("cost"))
-    asked = F.lit(1)
-    for c in COSTS:
-        asked = asked + (F.coalesce("cost", F.lit(0)) > c).cast("int")
-    least = F.col("n") - F.floor((100 - percent) * F.col("n") / 100)  # any partner shares so many
-    shared_cost = shared.join(cost, "id", "left").withColumn(
-        "asked", F.least(asked, least.cast("int")))
-    pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs", rows=width)
-    cells = stored(_cells(shared.where(F.col("list") > SMALL_LIST), percent, width), "join-blocks", rows=width)
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(
-        cells.select("id")).distinct()
-    texts = whole_texts(docs, classes.join(wanted, "id", "semi").select("id", "doc_id"), repeated)
-
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose texts are similar enough."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: dict[int, np.ndarray] = {}  # pairs come sorted, so sets repeat
@@ -300,12 +428,71 @@ def links_of(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*kept)], ["u", "v"])
 
-    verified = (pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-                .join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-                .select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
-    in_cells = (cells.join(texts, "id").groupBy("cell", "band", "first", "second")
+    return (pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+            .join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
+            .select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).union(pairs.select("v"))
+
+
+def joined(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
+           percent: int, repeated: bool) -> DataFrame:
+    """(node, root) of the classes that are linked to another; ``repeated``: some ids come twice."""
+    width = PREFIX_ROWS * classes.count()
+    first = classes.select("id", F.col("doc_id").alias("first"))
+    heads = stored(prefixes(docs, hot, words, percent).join(first, "id")
+                   .where("doc_id = first").dropDuplicates(["id", "doc_id"])  # the join's keys: no other shuffle
+                   .select("id", F.col("n").cast("int").alias("n"), "mark", "tokens"), "join-prefixes", rows=width)
+    marks = heads.select("id", "n", "mark")
+    # dealt by token once, for the counts too
+    rows = heads.select("id", "n", F.posexplode("tokens").alias("at", "token"))
+    level = F.greatest(F.lit(1), F.col("at") - F.floor((100 - percent) * F.col("n") / 100) + 1)
+    shared = stored(rows.withColumn("list", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("list > 1")
+                    .withColumn("level", level.cast("int")), "join-shared", rows=width)
+    cost = shared.where("level = 1").groupBy("id").agg(F.sum(F.col("list") - 1).alias("cost"))
+    asked = F.lit(1)
+    for c in COSTS:
+        asked = asked + (F.coalesce("cost", F.lit(0)) > c).cast("int")
+    least = F.col("n") - F.floor((100 - percent) * F.col("n") / 100)  # any partner shares so many
+    shared_cost = shared.join(cost, "id", "left").withColumn(
+        "asked", F.least(asked, least.cast("int")))
+    pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs", rows=width)
+    pairs = stored(_like(pairs, marks, percent), "join-like", rows=width)
+    cells = stored(_members(shared.where(F.col("list") > SMALL_LIST), percent), "join-cells", rows=width)
+
+    def compared(member: DataFrame) -> DataFrame:
+        return stored(_compared(_blocks(member, MARKED).join(marks, "id"), percent), "join-compared", rows=width)
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return whole_texts(docs, classes.join(ids.distinct(), "id", "semi").select("id", "doc_id"), repeated)
+
+    alike = compared(cells.withColumn("root", F.col("id")))
+    tried = stored(pairs.where("near").groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+                   .union(alike.where("u is not null").select("u", "v")).distinct(), "join-tried", rows=width)
+    found = components(_verified(tried, texts(_ends(tried)), words, percent), tried.count())
+
+    root = {c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v", "id")}
+    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
+    rest = stored(pairs.join(tried, ["u", "v"], "anti").join(root["u"], "u", "left").join(root["v"], "v", "left")
+                  .where(apart).select("u", "v"), "join-rest", rows=width)
+    member = (alike.where("id is not null").select("cell", "band", "id").distinct()
+              .join(root["id"], "id", "left").withColumn("root", F.coalesce("root_id", "id")).drop("root_id"))
+    several = member.groupBy("cell", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    member = member.join(several.where("low < high").select("cell", "band"), ["cell", "band"])
+    still = compared(member.join(cells, ["cell", "band", "id"]))
+    blocks = stored(_blocks(still.where("id is not null").select("cell", "band", "id").distinct(), BLOCK),
+                    "join-blocks", rows=width)
+    n_rest, n_blocks = rest.count(), blocks.count()
+    if not n_rest + n_blocks:
+        return found
+    held = texts(_ends(rest).union(blocks.select("id")))
+    in_cells = (blocks.join(held, "id").groupBy("cell", "band", "first", "second")
                 .applyInPandas(lambda pdf: _block_links(pdf, words, percent), "u long, v long"))
-    return verified.union(in_cells), pairs.count() + cells.count()
+    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+                      .union(_verified(rest, held, words, percent)).union(in_cells),
+                      found.count() + n_rest + n_blocks)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -327,7 +514,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .orderBy(F.col("seen").desc(), "token").limit(HOT_TOKENS).toPandas())
     hot = often.sort_values(["seen", "token"])["token"].to_numpy(np.int64)  # rarest first
     repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
-    found = components(*links_of(read, classes, hot, words, percent, repeated))
+    found = joined(read, classes, hot, words, percent, repeated)
     named = (found.join(classes, found["node"] == classes["id"])
              .groupBy("root").agg(F.min("doc_id").alias("component")))
     rooted = (classes.join(found, classes["id"] == found["node"], "left").join(named, "root", "left")
