@@ -13,13 +13,15 @@ out of the prefixes.
 Prefixes. With n tokens, at least t = ceil(0.9 n) of which any partner shares,
 two partners have at least l tokens in common in their first n - t + l tokens.
 A document whose tokens lead to many others (the estimated candidate cost, the
-sum of its tokens' lists) takes a longer prefix and asks for more matches, up
+partners in its tokens' lists) takes a longer prefix and asks for more matches, up
 to ``LEVELS`` and never more than t; a pair uses the smaller of its two levels. Pairs that their
 sizes or the places of a common token rule out are not made.
 
-Lists. A token's list of up to ``SMALL_LIST`` documents gives pairs, which are
+Lists. A token has a list for each band of sizes: the documents of that band and of
+the next smaller one, as partners' sizes are no further apart; two documents meet in
+the larger one's band only. A list of up to ``SMALL_LIST`` documents gives pairs, which are
 counted. Longer lists (groups of near copies, and in a large table unlike texts
-that share a token) give no pairs: all of a list's documents of like size go to
+that share a token) give no pairs: all of a list's documents go to
 the cell of the list's least document, cells are cut into blocks of ``MARKED``, and
 two blocks are compared at once. Every pair that shares a prefix token meets in a
 list or cell, so no link between different texts is lost.
@@ -210,18 +212,33 @@ def whole_texts(docs: DataFrame, needed: DataFrame, repeated: bool) -> DataFrame
     return stored(found.dropDuplicates(["id", "text"]) if repeated else found, "join-texts")
 
 
+def _lists(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (id, n, at, token) with (band, upper, list, partners) for each list that they are
+    in with a partner: upper, if the band is that of the document's own size. The rows are dealt by token."""
+    token, band = Window.partitionBy("token"), Window.partitionBy("token", "band")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    met = (rows.withColumn("found", F.count(F.lit(1)).over(token)).where("found > 1").drop("found")
+           .withColumn("own", own).withColumn("band", F.explode(F.array(own, own + 1)))
+           .withColumn("upper", F.col("band") == F.col("own")).drop("own"))
+    listed = met.withColumn("list", F.count(F.lit(1)).over(band)).withColumn(
+        "uppers", F.sum(F.col("upper").cast("int")).over(band))
+    partners = F.when(F.col("upper"), F.col("list") - 1).otherwise(F.col("uppers"))
+    return listed.withColumn("partners", partners).where("partners > 0").drop("uppers")
+
+
 def _pairs(shared: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) from the small lists, after the multi-match count."""
-    a = shared.select("token", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "level", "asked")))
-    b = shared.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "level", "asked")))
+    names = ("id", "n", "at", "level", "asked", "upper")
+    a = shared.select("token", "band", *(F.col(c).alias(f"{c}_a") for c in names))
+    b = shared.select("token", "band", *(F.col(c).alias(f"{c}_b") for c in names))
     both, asked = F.col("n_a") + F.col("n_b"), F.least("asked_a", "asked_b")
     # of the first ``asked`` common tokens, up to asked - 1 stand before this one
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    possible = ((F.col("id_a") < F.col("id_b"))
+    possible = ((F.col("id_a") < F.col("id_b")) & (F.col("upper_a") | F.col("upper_b"))
                 & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
                 & ((100 + percent) * (rest + asked - 1) >= percent * both)
                 & (F.greatest("level_a", "level_b") <= asked))
-    return (a.join(b, "token").where(possible)
+    return (a.join(b, ["token", "band"]).where(possible)
             .groupBy(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
             .agg(F.count(F.lit(1)).alias("matches"), F.first(asked).alias("asked"))
             .where("matches >= asked").select("u", "v"))
@@ -254,15 +271,11 @@ def _expected(both, places: int, percent: int):
     return places / 2 * -np.expm1(-2 / places * (100 - percent) / (100 + percent) * both)
 
 
-def _members(shared: DataFrame, percent: int) -> DataFrame:
-    """(cell, band, id, upper): the documents of long lists by cell; like sizes have the same
-    band or, in the upper one of two, one document is ``upper``."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    rows = (shared.select("token", "id", band.alias("own_band"), F.explode(F.array(band, band + 1)).alias("band"))
-            .withColumn("upper", F.col("band") == F.col("own_band")).drop("own_band"))
-    least = rows.groupBy("token", "band").agg(F.min("id").alias("cell"), F.max("upper").alias("any"))
-    return (rows.join(least.where("any"), ["token", "band"])
-            .select("cell", "band", "id", "upper").distinct())
+def _members(shared: DataFrame) -> DataFrame:
+    """(cell, band, id, upper): the documents of long lists by cell."""
+    rows = shared.select("token", "band", "id", "upper")
+    least = rows.groupBy("token", "band").agg(F.min("id").alias("cell"))
+    return rows.join(least, ["token", "band"]).select("cell", "band", "id", "upper").distinct()
 
 
 def _blocks(member: DataFrame, most: int) -> DataFrame:
@@ -449,9 +462,8 @@ def joined(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
     # dealt by token once, for the counts too
     rows = heads.select("id", "n", F.posexplode("tokens").alias("at", "token"))
     level = F.greatest(F.lit(1), F.col("at") - F.floor((100 - percent) * F.col("n") / 100) + 1)
-    shared = stored(rows.withColumn("list", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("list > 1")
-                    .withColumn("level", level.cast("int")), "join-shared", rows=width)
-    cost = shared.where("level = 1").groupBy("id").agg(F.sum(F.col("list") - 1).alias("cost"))
+    shared = stored(_lists(rows, percent).withColumn("level", level.cast("int")), "join-shared", rows=width)
+    cost = shared.where("level = 1").groupBy("id").agg(F.sum("partners").alias("cost"))
     asked = F.lit(1)
     for c in COSTS:
         asked = asked + (F.coalesce("cost", F.lit(0)) > c).cast("int")
@@ -460,7 +472,7 @@ def joined(docs: DataFrame, classes: DataFrame, hot: np.ndarray, words: int,
         "asked", F.least(asked, least.cast("int")))
     pairs = stored(_pairs(shared_cost.where(F.col("list") <= SMALL_LIST), percent), "join-pairs", rows=width)
     pairs = stored(_like(pairs, marks, percent), "join-like", rows=width)
-    cells = stored(_members(shared.where(F.col("list") > SMALL_LIST), percent), "join-cells", rows=width)
+    cells = stored(_members(shared.where(F.col("list") > SMALL_LIST)), "join-cells", rows=width)
 
     def compared(member: DataFrame) -> DataFrame:
         return stored(_compared(_blocks(member, MARKED).join(marks, "id"), percent), "join-compared", rows=width)

@@ -53,6 +53,16 @@ def test_op6_unlike_texts_of_long_lists_do_not_travel(spark, monkeypatch, tables
     assert sum(tables["join-cells"]) >= 80 and sum(tables["join-texts"]) == 0
 
 
+def test_op6_lists_hold_like_sizes(spark, monkeypatch, tables):
+    """Texts of unlike sizes that share passages are in no list together, whatever its length."""
+    monkeypatch.setattr(adapt_join, "SMALL_LIST", 8)
+    monkeypatch.setattr(adapt_join, "HOT_TOKENS", 0)
+    texts = [t + " " + " ".join(f"d{d}y{i}" for i in range(int(210 * (1.3 ** d - 1)))) for d, t in enumerate(unlike(11))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert components(docs) == {i: i for i in range(11)}
+    assert sum(tables["join-shared"]) == sum(tables["join-cells"]) == 0
+
+
 def test_op6_texts_of_near_copies_do_not_grow_with_blocks(spark, monkeypatch, tables):
     monkeypatch.setattr(adapt_join, "SMALL_LIST", 8)
     monkeypatch.setattr(adapt_join, "BLOCK", 8)
